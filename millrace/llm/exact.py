@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 from millrace.llm.common import shared_folder, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The stream's settings: state on disk, a change log instead of whole snapshots, no space set aside before it is used.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: A digest is hot with more rows than this and than a HOT_SHARE-th of all rows.
 HOT_ROWS, HOT_SHARE = 1000, 10_000
 
@@ -48,19 +53,18 @@ def keyed_state(feed: str, schema, state: str, spark) -> DataFrame:
     def store(changed: DataFrame, batch: int) -> None:
         changed.write.option("compression", "zstd").mode("overwrite").parquet(f"{state}/changes/batch={batch}")
 
-    old = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    old = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         seen = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10_000).parquet(feed)
         kept = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("who").alias("keep"))
         query = kept.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{state}/log").foreachBatch(store).start()
         query.awaitTermination()
     finally:
-        if old is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, old)
-    changes = f"digest string, n long, keep struct<doc_id: long, place: struct<file: string, row: long>>, batch int"
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    changes = "digest string, n long, keep struct<doc_id: long, place: struct<file: string, row: long>>, batch int"
     found = spark.read.schema(changes).parquet(f"{state}/changes")
     return found.groupBy("digest").agg(F.max("n").alias("n"), F.max("keep").alias("keep"))  # both only ever grow
 
@@ -70,7 +74,7 @@ def matched(rows: DataFrame, state: DataFrame, hot: DataFrame, how: str = "left"
     hot = F.broadcast(hot.select(F.col("digest").alias("hot_digest"), F.col("n").alias("hot_n"), F.col("keep").alias("hot_keep")))
     rows = rows.join(hot, F.col("digest") == F.col("hot_digest"), "left")
     rows = rows.withColumn("key", F.when(F.col("hot_digest").isNull(), F.col("digest")).otherwise(F.concat(F.lit("hot "), F.xxhash64("who").cast("string"))))
-    rows = rows.join(state.withColumnRenamed("digest", "key"), "key", "left")
+    rows = rows.join(state.withColumnRenamed("digest", "key").hint("merge"), "key", "left")  # it grows with the rows: never broadcast
     rows = rows.withColumn("n", F.coalesce("hot_n", "n")).withColumn("keep", F.coalesce("hot_keep", "keep")).drop("key", "hot_digest", "hot_n", "hot_keep")
     return rows if how == "left" else rows.filter(F.col("n").isNotNull())
 
