@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, exact, jaccard, packing, quality, sharding, substrings
+from millrace.llm import bytebpe, editcounts, exact, fingerprints, jaccard, packing, quality, sharding, substrings
 from millrace.llm.common import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORD_TOKENIZER, carry={"ids_crc32": F.crc32("ids")})
 
 
+def op2_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
@@ -35,6 +40,25 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after a script of edits: one in each third, and an addition at the end."""
+    pattern = public_tokenizers.PATTERN
+    trees = editcounts.count_trees(documents(spark, sf_dir), RANK_FILE, pattern)
+    n = F.char_length("text")
+
+    def edit(at, removed: int, inserted):
+        return F.struct(at.cast("long").alias("position"), F.lit(removed).cast("long").alias("removed"), inserted.alias("inserted"))
+
+    script = F.array(
+        edit(F.floor(n / 6), 16, F.substring("text", -12, 12)),
+        edit(F.floor(n / 2), 9, F.lit("")),
+        edit(F.floor(n * 5 / 6), 0, F.concat(F.lit("\n"), F.substring("text", 1, 24))),
+        edit(n + 24, 0, F.lit(" edited")),
+    )
+    counted = editcounts.apply_edits(trees.withColumn("edits", script), RANK_FILE, pattern)
+    return counted.select("doc_id", "n_chars", "n_tokens", F.char_length("edited").cast("long").alias("edited_chars"), "edited_tokens", "encoded_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir))
 
