@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of text in one step of vectorised work, in bytes; bounds a worker's memory whatever the batch holds.
 CHUNK_BYTES = 4 << 20
@@ -34,9 +36,20 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id (long) and text, null text as empty; other columns, whatever their names, are left behind."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id (long) and text, null text as empty; other columns, but for those to carry, are left behind."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """The documents with `_place`, a struct (file, row) that is each row's own; tables that aren't files are written first."""
+    if "_place" in docs.columns and isinstance(docs.schema["_place"].dataType, StructType):
+        return docs
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_place")
+    try:
+        return docs.select("*", place)
+    except AnalysisException:
+        return written(docs).select("*", place)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,20 +70,24 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
     yield batch.slice(low)
 
 
-def per_chunk(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
-    """mapInArrow over slices of bounded size; work returns the output's columns by name."""
+def per_chunk(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """mapInArrow over slices of bounded size; work returns the output's columns by name. carry: columns of df to hand through, where
+    work returns a row for each of its own."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    full = _parse_datatype_string(schema)
+    for name in carry:
+        full = full.add(df.schema[name])
+    arrow = to_arrow_schema(full)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, column):
-                out = work(part)
+                out = work(part) | {name: part.column(name) for name in carry}
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) and out[f.name].type == f.type else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, full)
 
 
 def spread(*columns: str, parts: int) -> Column:

@@ -17,11 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_folder, written
+from millrace.llm.common import located, shared_folder, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The stream's settings: state on disk, a change log instead of whole snapshots, no space set aside before it is used.
@@ -38,15 +37,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """The documents with `_place`, a struct that is each row's own; tables that aren't files are written first."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_place")
-    try:
-        return docs.select("*", place)
-    except AnalysisException:
-        return written(docs).select("*", place)
-
-
 def keyed_state(feed: str, schema, state: str, spark) -> DataFrame:
     """Runs the stream over the feed; digest, n, keep (doc_id and place of the row that stays)."""
 
@@ -111,4 +101,4 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns."""
     located_docs = located(docs)
     stay = dedup(docs).filter("kept").select("_place")
-    return located_docs.join(stay, "_place", "left_semi").select(*docs.columns)
+    return located_docs.join(stay.hint("merge"), "_place", "left_semi").select(*docs.columns)

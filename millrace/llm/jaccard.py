@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import per_chunk, texts, written
+from millrace.llm.common import chunks, per_chunk, texts, written
 from millrace.llm.graph import components
 from millrace.llm.shingles import minhashes, shingle_sets
 
 THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 0.8, 32, 4, 32, 1e-7
-#: Members of a bucket or cluster that meet in a task: at most two blocks.
-BLOCK = 512
+#: A block of a bucket or cluster, in members and in shingles; two of them at most meet in a task.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 #: Pairs compared at once.
 PAIRS = 1 << 16
 
@@ -52,15 +52,15 @@ def _digests(found: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(found[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)], np.uint64).view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, set (digest of the shingle set), n (its size), sig (BANDS * ROWS 16-bit MinHash values)."""
+def signatures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, set (digest of the shingle set), n (its size), sig (BANDS * ROWS 16-bit MinHash values), and the columns to carry."""
 
     def work(batch: pa.RecordBatch) -> dict:
         found, starts = shingle_sets(batch.column("text").to_pylist())
         sig = minhashes(found, starts, BANDS * ROWS)
         return {"doc_id": batch.column("doc_id"), "set": _digests(found, starts), "n": np.diff(starts), "sig": [s.tobytes() for s in sig]}
 
-    return per_chunk(texts(docs), work, "doc_id long, set long, n long, sig binary")
+    return per_chunk(texts(docs, carry), work, "doc_id long, set long, n long, sig binary", carry=carry)
 
 
 def survivors(sig: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -112,23 +112,24 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = after
 
 
-def blocked(rows: DataFrame, key: str, size: str, member: str) -> DataFrame:
-    """Deals each group's rows to tasks: one for a group up to BLOCK, else one for each two blocks. Adds first, second, side."""
+def blocked(rows: DataFrame, size: str, member: str, weight: str | None = None) -> DataFrame:
+    """Deals each group's rows to tasks: one for a group of one block, else one for each two blocks. Adds first, second, side."""
     blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    if weight:
+        blocks = F.least(F.greatest(blocks, F.ceil(F.col(weight) / BLOCK_SHINGLES).cast("int")), F.col(size).cast("int"))
     own = F.pmod(F.xxhash64(member), blocks).cast("int")
     both = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("first"), F.greatest(own, o).alias("second"), F.when(own == o, 0).when(own < o, 1).otherwise(2).cast("int").alias("side")))
     return rows.withColumn("_at", F.explode(both)).select("*", "_at.first", "_at.second", "_at.side").drop("_at")
 
 
-def grouped(df: DataFrame, key: str, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow over whole groups (key, first, second) of rows that were dealt and sorted by them; many groups to a call."""
+def grouped(df: DataFrame, key: str, by: str, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """mapInArrow over whole groups (key, first, second) of rows that were dealt and sorted by them: as many groups to a call
+    as lie in CHUNK_BYTES of the column by."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in chunks(whole, by)):
             ids = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (key, "first", "second")])
             change = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1
             cut = 0 if last is None or (ids[:, 0] != last).any() else None
@@ -189,11 +190,11 @@ def likely_edges(classes: DataFrame, threshold: float) -> DataFrame:
         linked = np.flatnonzero(ids != ids[label])
         return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], names=["a", "b"])
 
-    return grouped(blocked(members, "bucket", "size", "set"), "bucket", work, "a long, b long")
+    return grouped(blocked(members, "size", "set"), "bucket", "sig", work, "a long, b long")
 
 
 def verified(clustered: DataFrame, threshold: float) -> DataFrame:
-    """Exact links within clusters. Input: cluster, size, set, copies, n, sig, text. Output rows per set and task: set, label
+    """Exact links within clusters. Input: cluster, size, weight (its shingles), set, copies, n, sig, text. Output rows per set and task: set, label
     (the least row of a spanning forest of the links), classes, documents (linked to the set in this task)."""
 
     def work(table: pa.Table) -> pa.RecordBatch:
@@ -219,7 +220,7 @@ def verified(clustered: DataFrame, threshold: float) -> DataFrame:
         keep = np.flatnonzero(classes)
         return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[label[keep]]), pa.array(classes[keep]), pa.array(documents[keep])], names=["set", "label", "classes", "documents"])
 
-    return grouped(blocked(clustered, "cluster", "size", "set"), "cluster", work, "set long, label long, classes long, documents long")
+    return grouped(blocked(clustered, "size", "set", "weight"), "cluster", "text", work, "set long, label long, classes long, documents long")
 
 
 def intersections(code: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -244,15 +245,17 @@ def intersections(code: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.
     return out
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id among all that links join), n_links (other documents of at
-    least this similarity, copies too), n_different (linked classes of other sets), copies (documents of the same set)."""
-    rows = written(signatures(docs))
+    least this similarity, copies too), n_different (linked classes of other sets), copies (documents of the same set), label (equal where class_id's documents are
+    the same, null doc_ids too), and the columns to carry."""
+    rows = written(signatures(docs, carry))
     first = F.min(F.struct("doc_id", "n", "sig"))
     classes = written(rows.groupBy("set").agg(F.count(F.lit(1)).alias("copies"), first.alias("r")).select("set", "copies", "r.doc_id", "r.n", "r.sig"))
     clusters = components(written(likely_edges(classes, threshold).distinct())).select(F.col("id").alias("set"), F.col("label").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    wanted = clusters.join(sizes, "cluster").join(classes, "set")
+    members = written(clusters.join(classes, "set"))
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    wanted = members.join(sizes, "cluster")
     whole = texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**62))))
     named = wanted.withColumn("key", F.coalesce("doc_id", F.lit(-(2**62)))).drop("doc_id")
     with_text = named.join(whole.select("key", "text"), "key")
@@ -263,8 +266,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joined = components(links.select(F.col("set").alias("a"), F.col("label").alias("b"))).select(F.col("id").alias("set"), "label")
     named = classes.select("set", "copies", "doc_id").join(joined, "set", "left").withColumn("label", F.coalesce("label", "set"))
     heads = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    per_class = named.join(heads, "label").join(counts, "set", "left").select("set", "copies", "class_id", F.coalesce("classes", F.lit(0)).alias("n_different"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", "set").join(per_class, "set").select("doc_id", "class_id", "n_links", "n_different", "copies")
+    per_class = named.join(heads, "label").join(counts, "set", "left").select("set", "copies", "class_id", "label", F.coalesce("classes", F.lit(0)).alias("n_different"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows.select("doc_id", "set", *carry).join(per_class, "set").select("doc_id", "class_id", "n_links", "n_different", "copies", "label", *carry)
 
 
 def own_texts(candidates: DataFrame) -> DataFrame:
@@ -275,6 +278,6 @@ def own_texts(candidates: DataFrame) -> DataFrame:
         own = pa.array(_digests(found, starts) == batch.column("set").to_numpy())
         return {c: batch.column(c).filter(own) for c in columns}
 
-    schema = "set long, cluster long, size long, copies long, n long, sig binary, text string"
+    schema = "set long, cluster long, size long, weight long, copies long, n long, sig binary, text string"
     columns = [c.split()[0] for c in schema.split(", ")]
     return per_chunk(candidates.select(*columns), work, schema).dropDuplicates(["set"])

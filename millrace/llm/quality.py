@@ -103,15 +103,15 @@ def statistics(texts_: list[bytes]) -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the statistics of each whole text."""
+def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, x (the statistics of each whole text) and the columns to carry."""
 
     def work(batch: pa.RecordBatch) -> dict:
         raw = batch.column("text").cast(pa.binary()).to_pylist()
         values = statistics(raw)
         return {"doc_id": batch.column("doc_id"), "x": pa.ListArray.from_arrays(np.arange(len(raw) + 1, dtype=np.int32) * len(NAMES), values.astype(np.float32).ravel())}
 
-    return per_chunk(texts(docs), work, "doc_id long, x array<float>")
+    return per_chunk(texts(docs, carry), work, "doc_id long, x array<float>", carry=carry)
 
 
 class Projection:
@@ -167,10 +167,10 @@ def isotonic(bins: np.ndarray, n: np.ndarray, positive: np.ndarray) -> tuple[np.
     return found[:, 0] / found[:, 1], found[:, 2] / found[:, 1]
 
 
-def classify(docs: DataFrame, labels: DataFrame, components: int = COMPONENTS, gamma: float = GAMMA, ridge: float = RIDGE, seed: int = SEED) -> DataFrame:
-    """doc_id, held_out, score (probability of label 1, 0 to 1) of every document."""
+def classify(docs: DataFrame, labels: DataFrame, components: int = COMPONENTS, gamma: float = GAMMA, ridge: float = RIDGE, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score (probability of label 1, 0 to 1) and the columns to carry of every document."""
     spark = docs.sparkSession
-    rows = written(features(docs))
+    rows = written(features(docs, carry))
     held_out = F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4)) == 2, F.lit(False))
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
     train = written(rows.filter(~held_out).join(taught, "doc_id").select("x", "y"))
@@ -182,7 +182,7 @@ def classify(docs: DataFrame, labels: DataFrame, components: int = COMPONENTS, g
 
     m = summed(train, moments, 1 + 2 * d)
     if not m[0]:
-        return rows.select("doc_id", held_out.alias("held_out"), F.lit(0.5).alias("score"))
+        return rows.select("doc_id", held_out.alias("held_out"), F.lit(0.5).alias("score"), *carry)
     mean = m[1 : 1 + d] / m[0]
     project = Projection(mean, np.sqrt(np.maximum(m[1 + d :] / m[0] - mean**2, 0)), components, gamma, seed)
     k = components + 1
@@ -212,4 +212,4 @@ def classify(docs: DataFrame, labels: DataFrame, components: int = COMPONENTS, g
         at = np.concatenate([raw(_stack(x.iloc[low : low + 4096])) for low in range(0, len(x), 4096)])
         return pd.Series(np.clip(np.interp(at, knots, values) * 0.999 + at * 0.001, 0, 1))  # the last term orders ties
 
-    return rows.select("doc_id", held_out.alias("held_out"), score("x").alias("score"))
+    return rows.select("doc_id", held_out.alias("held_out"), score("x").alias("score"), *carry)

@@ -29,8 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import per_chunk, written
-from millrace.llm.exact import located
+from millrace.llm.common import located, per_chunk, written
 from millrace.llm.shingles import mix
 from millrace.llm.suffix import permuted_prefixes, suffix_array
 
