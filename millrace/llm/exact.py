@@ -100,5 +100,5 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns."""
     located_docs = located(docs)
-    stay = dedup(docs).filter("kept").select("_place")
+    stay = dedup(located_docs).filter("kept").select("_place")
     return located_docs.join(stay.hint("merge"), "_place", "left_semi").select(*docs.columns)
