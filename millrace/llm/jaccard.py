@@ -112,6 +112,14 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = after
 
 
+def heads(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each row the least id that it can reach: the same in all buckets that hold a group's least member."""
+    label = forest(len(ids), left, right)
+    least = ids.copy()
+    np.minimum.at(least, label, ids)
+    return least[label]
+
+
 def blocked(rows: DataFrame, size: str, member: str, weight: str | None = None) -> DataFrame:
     """Deals each group's rows to tasks: one for a group of one block, else one for each two blocks. Adds first, second, side."""
     blocks = F.ceil(F.col(size) / BLOCK).cast("int")
@@ -185,17 +193,17 @@ def likely_edges(classes: DataFrame, threshold: float) -> DataFrame:
         sig, n = _sigs(table), table.column("n").to_numpy()
         found = [(left[ok], right[ok]) for left, right in pairs(starts, sizes, side) if len(ok := survivors(sig, left, right, n, threshold))]
         left, right = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
-        label = forest(table.num_rows, left, right)
         ids = table.column("set").to_numpy()
-        linked = np.flatnonzero(ids != ids[label])
-        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], names=["a", "b"])
+        head = heads(ids, left, right)
+        linked = np.flatnonzero(ids != head)
+        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(head[linked])], names=["a", "b"])
 
     return grouped(blocked(members, "size", "set"), "bucket", "sig", work, "a long, b long")
 
 
 def verified(clustered: DataFrame, threshold: float) -> DataFrame:
     """Exact links within clusters. Input: cluster, size, weight (its shingles), set, copies, n, sig, text. Output rows per set and task: set, label
-    (the least row of a spanning forest of the links), classes, documents (linked to the set in this task)."""
+    (the least set that links reach), classes, documents (linked to the set in this task)."""
 
     def work(table: pa.Table) -> pa.RecordBatch:
         starts, sizes, side = bounds(table, "cluster")
@@ -216,9 +224,9 @@ def verified(clustered: DataFrame, threshold: float) -> DataFrame:
                 documents += np.bincount(x, copies[y], len(ids)).astype(np.int64)
             lefts.append(left)
             rights.append(right)
-        label = forest(len(ids), np.concatenate(lefts), np.concatenate(rights)) if lefts else np.arange(len(ids))
+        head = heads(ids, np.concatenate(lefts), np.concatenate(rights)) if lefts else ids
         keep = np.flatnonzero(classes)
-        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[label[keep]]), pa.array(classes[keep]), pa.array(documents[keep])], names=["set", "label", "classes", "documents"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(head[keep]), pa.array(classes[keep]), pa.array(documents[keep])], names=["set", "label", "classes", "documents"])
 
     return grouped(blocked(clustered, "size", "set", "weight"), "cluster", "text", work, "set long, label long, classes long, documents long")
 
@@ -251,7 +259,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, carry: tuple[str
     the same, null doc_ids too), and the columns to carry."""
     rows = written(signatures(docs, carry))
     first = F.min(F.struct("doc_id", "n", "sig"))
-    classes = written(rows.groupBy("set").agg(F.count(F.lit(1)).alias("copies"), first.alias("r")).select("set", "copies", "r.doc_id", "r.n", "r.sig"))
+    classes = written(rows.groupBy("set").agg(F.count(F.lit(1)).alias("copies"), first.alias("r"), F.min("doc_id").alias("least")).select("set", "copies", "least", "r.doc_id", "r.n", "r.sig"))
     clusters = components(written(likely_edges(classes, threshold).distinct())).select(F.col("id").alias("set"), F.col("label").alias("cluster"))
     members = written(clusters.join(classes, "set"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
@@ -264,9 +272,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, carry: tuple[str
     links = written(verified(with_text, threshold))
     counts = links.groupBy("set").agg(F.sum("classes").alias("classes"), F.sum("documents").alias("documents"))
     joined = components(links.select(F.col("set").alias("a"), F.col("label").alias("b"))).select(F.col("id").alias("set"), "label")
-    named = classes.select("set", "copies", "doc_id").join(joined, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    heads = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    per_class = named.join(heads, "label").join(counts, "set", "left").select("set", "copies", "class_id", "label", F.coalesce("classes", F.lit(0)).alias("n_different"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = classes.select("set", "copies", "least").join(joined, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    least = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    per_class = named.join(least, "label").join(counts, "set", "left").select("set", "copies", "class_id", "label", F.coalesce("classes", F.lit(0)).alias("n_different"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return rows.select("doc_id", "set", *carry).join(per_class, "set").select("doc_id", "class_id", "n_links", "n_different", "copies", "label", *carry)
 
 
