@@ -70,7 +70,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
     yield batch.slice(low)
 
 
-def per_chunk(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def per_chunk(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", carry: tuple[str, ...] = (), limit: int = CHUNK_BYTES) -> DataFrame:
     """mapInArrow over slices of bounded size; work returns the output's columns by name. carry: columns of df to hand through, where
     work returns a row for each of its own."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -83,7 +83,7 @@ def per_chunk(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, column):
+            for part in chunks(batch, column, limit):
                 out = work(part) | {name: part.column(name) for name in carry}
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) and out[f.name].type == f.type else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 

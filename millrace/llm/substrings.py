@@ -22,6 +22,7 @@ dropped; an empty table gives no rows.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +36,33 @@ from millrace.llm.suffix import permuted_prefixes, suffix_array
 
 LENGTH = 400
 GRAM = 128
-#: Different contexts of an anchor above which it is hot: this many, or this share of all anchors (so their number is bounded).
-HOT, HOT_SHARE = 1000, 5000
+#: Different contexts of an anchor above which it is hot: this many (about ten megabytes), or this share of all contexts, so that hot
+#: anchors are HOT_SHARE at most.
+HOT, HOT_SHARE = 20_000, 1_000_000
+#: Bytes of text hashed at once: so much that the arrays stay in a processor's cache.
+HASH_BYTES = 1 << 19
 #: Bytes of a suffix array.
 SHARD_BYTES = 4 << 20
+BASE = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers from 0 to n, and their inverses, modulo 2 ** 64."""
+    up, down = np.full(n + 1, BASE, np.uint64), np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hash of the gram (a power of two) bytes from each place on."""
-    value, width = _TABLE[data], 1
-    while width < gram:
-        left, right = value[:-width] * np.uint64(0x9E3779B97F4A7C15), value[width:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        value = (left ^ (left >> np.uint64(29))) + (right ^ (right >> np.uint64(31)))
-        width *= 2
-    return value
+    """Hash of the gram bytes from each place on: differences of one running sum, brought to a common power and mixed."""
+    up, down = _powers(max(len(data), 1 << 20))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
+    value = sums[gram:] - sums[:-gram]
+    value *= down[: len(value)]
+    return mix(value)
 
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -106,7 +119,7 @@ def all_contexts(rows: DataFrame, length: int, gram: int, hot: list[int]) -> Dat
         digest = np.array([xxhash.xxh3_64_intdigest(raw[o][a : b + length], b - a) for o, a, b in zip(owner.tolist(), low.tolist(), high.tolist(), strict=True)], np.uint64).view(np.int64)
         return {"anchor": anchor, "digest": digest, "key": batch.column("key").to_numpy()[owner] if len(owner) else [], "low": low, "high": high}
 
-    return per_chunk(rows, work, "anchor long, digest long, key long, low long, high long")
+    return per_chunk(rows, work, "anchor long, digest long, key long, low long, high long", limit=HASH_BYTES)
 
 
 def repeated_windows(strings: list[bytes], spans: list[int], length: int) -> list[np.ndarray]:

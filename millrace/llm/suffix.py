@@ -20,50 +20,55 @@ def types(text: np.ndarray) -> np.ndarray:
     return rise[nearest] > 0
 
 
-def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each value the number of equal ones before it; the distinct values; how often each comes."""
-    order = np.argsort(values, kind="stable")
-    ordered = values[order]
-    heads = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-    counts = np.diff(np.append(heads, len(values)))
-    rank = np.empty(len(values), np.int64)
-    rank[order] = np.arange(len(values)) - np.repeat(heads, counts)
-    return rank, ordered[heads], counts
+def _groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    new = np.empty(len(ordered), bool)
+    new[0] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    heads = np.flatnonzero(new)
+    counts = np.empty_like(heads)
+    counts[:-1] = heads[1:] - heads[:-1]
+    counts[-1] = len(ordered) - heads[-1]
+    return heads, counts
 
 
 def _induce(sa: np.ndarray, text: np.ndarray, smaller: np.ndarray, starts: np.ndarray, ends: np.ndarray, left: bool) -> None:
     """One scan: from the left it places the L suffixes from bucket starts, from the right the S suffixes from bucket ends."""
     n = len(text)
-    edge = (starts if left else ends).copy()
-    done, width = 0, 1024  # places from the end of the scan that lie behind it
+    edge = (starts if left else ends - 1).copy()
+    sign = 1 if left else -1
+    # the bucket that each suffix's left neighbour goes to in this scan, or -1; an empty place (-1) finds the last entry
+    goes = np.full(n + 1, -1, np.int16 if len(starts) < 1 << 15 else np.int32)
+    np.copyto(goes[1:n], text[:-1], where=smaller[:-1] != left, casting="unsafe")
+    view = sa if left else sa[::-1]
+    counting = np.arange(1 << 18)
+    done, width = 0, 1024  # places from the scan's beginning that lie behind it
     while done < n:
         high = min(n, done + width)
-        block = sa[done:high] if left else sa[n - high : n - done][::-1]
-        index = np.flatnonzero(block > 0)
-        before = block[index] - 1
-        wanted = smaller[before] != left
-        index, before = index[wanted], before[wanted]
+        block = view[done:high]
+        bucket = goes[block]
+        index = np.flatnonzero(bucket >= 0)
         if not len(index):
             done, width = high, min(2 * width, 1 << 18)
             continue
-        char = text[before]
-        rank, chars, counts = _ranks(char)
-        place = edge[char] + rank if left else edge[char] - 1 - rank
-        first = int(place.min()) if left else n - 1 - int(place.max())
+        bucket = bucket[index]
+        order = np.argsort(bucket, kind="stable")
+        heads, counts = _groups(bucket[order])
+        chars = bucket[order[heads]]
+        base = edge[chars]
+        index = index[order]
+        first = int(base.min()) if left else n - 1 - int(base.max())
+        place = np.repeat(base - sign * heads, counts) + sign * counting[: len(index)]
         if first < high:
-            fits = index < first - done
-            width = max(16, 2 * (first - done))
+            keep = index < first - done
+            counts = np.add.reduceat(keep, heads, dtype=np.int64)
+            index, place = index[keep], place[keep]
+            width = min(max(16, 2 * (first - done)), 1 << 18)
             high = first
-            if not fits.all():
-                index, before, place, char = index[fits], before[fits], place[fits], char[fits]
-                if len(char):
-                    chars, counts = np.unique(char, return_counts=True)
-                else:
-                    chars, counts = chars[:0], counts[:0]
         else:
             width = min(2 * width, 1 << 18)
-        sa[place] = before
-        edge[chars] += counts if left else -counts
+        sa[place] = block[index] - 1
+        edge[chars] = base + sign * counts
         done = high
 
 
@@ -71,12 +76,11 @@ def _induced(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, buckets: np
     """The array induced from leftmost smaller suffixes given in order (their order within a bucket is kept)."""
     ends = np.cumsum(buckets)
     starts = ends - buckets
-    sa = np.full(len(text), -1, np.int64)
-    char = text[lms]
-    rank, chars, counts = _ranks(char)
-    total = np.zeros(len(buckets), np.int64)
-    total[chars] = counts
-    sa[ends[char] - total[char] + rank] = lms
+    sa = np.full(len(text), -1, np.int32)
+    order = np.argsort(text[lms], kind="stable")
+    heads, counts = _groups(text[lms][order])
+    chars = text[lms][order[heads]]
+    sa[np.repeat(ends[chars] - counts - heads, counts) + np.arange(len(lms))] = lms[order]
     _induce(sa, text, smaller, starts, ends, True)
     held = sa >= 0
     held[held] = smaller[sa[held]]
@@ -90,7 +94,7 @@ def suffix_array(text: np.ndarray, alphabet: int | None = None) -> np.ndarray:
     """Sorted suffixes of an array of small integers that ends with its only 0."""
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     smaller = types(text)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = smaller[1:] & ~smaller[:-1]
@@ -99,9 +103,8 @@ def suffix_array(text: np.ndarray, alphabet: int | None = None) -> np.ndarray:
     rough = _induced(text, smaller, lms, buckets)
     ordered = rough[is_lms[rough]]
     # name the leftmost smaller substrings: neighbours in order get one name if they are equal
-    following = np.full(n, n - 1, np.int64)
-    following[lms[:-1]] = lms[1:]
-    length = following - np.arange(n) + 1
+    length = np.ones(n, np.int32)
+    length[lms[:-1]] = lms[1:] - lms[:-1] + 1
     a, b = ordered[:-1], ordered[1:]
     same = length[a] == length[b]
     same[:1] = False  # the last suffix stands alone
@@ -114,7 +117,7 @@ def suffix_array(text: np.ndarray, alphabet: int | None = None) -> np.ndarray:
         step += 1
         alive = alive[~differ]
         alive = alive[length[a[alive]] > step]
-    names = np.zeros(n, np.int64)
+    names = np.zeros(n, np.int32)
     names[ordered] = np.concatenate([[0], np.cumsum(~same)])
     reduced = names[lms]
     if reduced.max() + 1 == len(lms):
