@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
+MODULES = ("records", "corpus", "events")
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,9 +22,17 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Imports the modules that register queries."""
+    for name in MODULES:
+        importlib.import_module(f"millrace.plans.{name}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLES
