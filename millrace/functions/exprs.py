@@ -31,10 +31,15 @@ def lookup(code: Column, table: Mapping[str, str], default: str | None = None) -
     return out.otherwise(F.lit(default).cast("string"))
 
 
-def hash_draw(seed: int, key: Column, name: str, total: int) -> Column:
-    """A reproducible whole number from 0 to total - 1: 60 bits of sha256(seed:key:name)."""
+def hash_number(seed: int, key: Column, name: str) -> Column:
+    """A reproducible whole number of 60 bits: the head of sha256(seed:key:name)."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(f":{name}")), 256)
-    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.lit(total))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
+def hash_draw(seed: int, key: Column, name: str, total: int) -> Column:
+    """A reproducible whole number from 0 to total - 1."""
+    return F.pmod(hash_number(seed, key, name), F.lit(total))
 
 
 def weighted(draw: Column, weights: Mapping[str, int]) -> Column:
@@ -85,8 +90,8 @@ def content_id(prefix: str, text: Column) -> Column:
 
 
 def nearest_rank(value: str, percent: int, name: str) -> Column:
-    """The nearest-rank percentile of a group."""
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {value})").alias(name)
+    """The nearest-rank percentile of a group's whole numbers."""
+    return F.expr(f"cast(percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {value}) AS bigint)").alias(name)
 
 
 def length_statistics(value: str) -> list[Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab
-from millrace.functions.exprs import content_id, number_text
+from millrace.functions.exprs import computed_once, content_id, number_text
 from millrace.sources.cases import phrase
 
 
@@ -17,7 +17,7 @@ def fragments(df: DataFrame) -> DataFrame:
     descriptor = F.concat(F.coalesce(phrase("composition"), F.lit("")), F.coalesce(phrase("echogenicity"), F.lit("")), F.lit("结节"))
     dims = F.concat(F.lit("大小约"), F.array_join(F.transform("dims", number_text), "×"), F.lit("mm"))
     parts = {"location": location, "descriptor": descriptor, "dimensions": dims} | {f: phrase(f) for f in ("shape", "margin", "echogenic_foci", "vascularity", "lymph_nodes")}
-    return df.withColumn("parts", F.struct(*[v.alias(k) for k, v in parts.items()]))
+    return computed_once(df, {"parts": F.struct(*[v.alias(k) for k, v in parts.items()])})
 
 
 def lead(family: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab
-from millrace.functions.exprs import length_statistics
+from millrace.functions.exprs import computed_once, length_statistics
 from millrace.operators.constraints import violations
 from millrace.operators.render import fragments, rendered, sample_id
 from millrace.sources.cases import canonical_json, parse_json
@@ -53,14 +53,14 @@ def duplicates(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
 
 def integrity(rows: DataFrame) -> DataFrame:
     """Adds problems: what re-deriving a generated row contradicts (several inputs for a case, JSON, ids, text, versions, rules)."""
-    parsed = fragments(parse_json(rows)).withColumn("_json", canonical_json())
+    parsed = computed_once(fragments(parse_json(rows)), {"_json": canonical_json(), "_target": rendered(F.col("template_family"))})
     several = F.min("input").over(Window.partitionBy("semantic_case_id")) != F.max("input").over(Window.partitionBy("semantic_case_id"))
     tests = {
         "case_has_several_inputs": several,
         "input_not_canonical": F.col("_json") != F.col("input"),
         "case_id": F.concat(F.lit("sc_"), F.sha2("_json", 256)) != F.col("semantic_case_id"),
         "sample_id": sample_id(F.col("semantic_case_id"), F.col("template_family")) != F.col("sample_id"),
-        "target": rendered(F.col("template_family")) != F.col("target"),
+        "target": F.col("_target") != F.col("target"),
         "schema_version": F.coalesce(F.get_json_object("input", "$.schema_version"), F.lit("")) != F.col("schema_version"),
         "versions": (F.col("generator_version") != vocab.GENERATOR_VERSION) | (F.col("renderer_version") != vocab.RENDERER_VERSION),
         "constraints": F.size(violations()) > 0,

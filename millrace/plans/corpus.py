@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab
-from millrace.functions.exprs import content_id, contains_any, length_statistics, number_text
+from millrace.functions.exprs import computed_once, contains_any, content_id, length_statistics, number_text
 from millrace.operators import extract, qc, render, split, stats, tokens, training
 from millrace.plans import duck
 from millrace.plans.records import _rendered, exams
 from millrace.plans.registry import register
-from millrace.sources.tables import load
+from millrace.sources.tables import load, spread
 
 SEED = vocab.SEED
 
@@ -60,7 +60,7 @@ def _case_rows(spark, sf_dir) -> DataFrame:
     """Generated samples of all records, by split part and family."""
     cases = split.assign(exams(spark, sf_dir), "semantic_case_id")
     rows = split.template_splits(render.fragments(cases))
-    return rows.withColumn("sample_id", render.sample_id(F.col("semantic_case_id"), F.col("template_family"))).withColumn("target", render.rendered(F.col("template_family")))
+    return computed_once(rows, {"sample_id": render.sample_id(F.col("semantic_case_id"), F.col("template_family")), "target": render.rendered(F.col("template_family"))})
 
 
 _CASE_ROWS_SQL = f"""{duck.FRAGMENTS}, {_split_sql('c1', 'semantic_case_id', 'sp')},
@@ -256,7 +256,7 @@ _ORDER_TEXT = "p.p_name || '大小约' || regexp_replace(l_quantity::VARCHAR, '\
     f"WITH o AS (SELECT l_returnflag, l_quantity, p.p_size, {_ORDER_TEXT} AS text FROM lineitem JOIN part p ON l_partkey = p_partkey), x AS (SELECT *, regexp_extract(text, {duck.q(vocab.DIMENSIONS)}, 1)::DOUBLE * CASE WHEN regexp_extract(text, {duck.q(vocab.DIMENSIONS)}, 4) = 'cm' THEN 10 ELSE 1 END AS a FROM o) SELECT l_returnflag, count(*) AS n, sum((a = l_quantity)::INT)::BIGINT AS same, sum((a = 10 * l_quantity)::INT)::BIGINT AS tenfold FROM x GROUP BY 1",
 )
 def order_record_roundtrip(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_quantity").join(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = spread(load(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_quantity")).join(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     text = F.concat("p_name", F.lit("大小约"), number_text(F.col("l_quantity")), F.lit("×"), F.col("p_size").cast("string"), F.when(F.col("l_returnflag") == "A", "cm").otherwise("mm"))
     first = extract.dimensions(text)[0]
     return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum((first == F.col("l_quantity")).cast("bigint")).alias("same"), F.sum((first == 10 * F.col("l_quantity")).cast("bigint")).alias("tenfold"))
@@ -315,3 +315,16 @@ def generate_with_fallback(spark, sf_dir):
     made = rows.withColumn("prediction", F.when(kind == 0, F.replace("target", F.lit("低回声"), F.lit(""))).when(kind == 1, "").otherwise(F.col("target")))
     out = generate(made, "prediction")
     return out.groupBy("used_fallback").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("report") == F.col("target")).cast("bigint")).alias("equal_to_template"))
+
+
+@register("decoder_scores")
+def decoder_scores(spark, sf_dir):
+    """Assistant turns scored by a decoder of random weights (no weights come with the library): tokens, loss, hits."""
+    from millrace.operators import decoder
+
+    turns = load(spark, sf_dir, "conversations")
+    known = tokens.known_characters(tokens.vocabulary(turns, "text"))
+    rows = spread(turns).withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null")
+    sample = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("example"), tokens.prompt_sample(tokens.encode(F.col("prompt"), known), tokens.encode(F.col("text"), known)).alias("s")).select("example", "s.*")
+    config = decoder.Config(vocab.FIRST_CHARACTER + len(known), width=16, heads=2, layers=1, longest=1 << 14)
+    return decoder.score(sample.filter(F.size("input_ids") <= config.longest), config, decoder.random_weights(config), "example")

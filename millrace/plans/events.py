@@ -58,3 +58,24 @@ def telemetry_rollup(spark, sf_dir):
 @register("runtime_throughput", f"WITH s AS (SELECT event_type, count(*) AS n, sum(value) AS amount, {_SECONDS.format(a='min(ts)', b='max(ts)')} AS elapsed FROM events GROUP BY 1) SELECT event_type, n, elapsed, coalesce(n / nullif(elapsed, 0), 0) AS events_per_second, round(coalesce(amount / nullif(elapsed, 0), 0), 9) AS amount_per_second FROM s")
 def runtime_throughput(spark, sf_dir):
     return progress.throughput(events(spark, sf_dir), "event_type", "ts", "value").withColumn("amount_per_second", F.round("amount_per_second", 9))
+
+
+@register("telemetry_stream", f"WITH {_EVENTS}, w AS (SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, max(value) AS max_value, avg(value) AS mean_value, max(k) AS max_optional, avg(k) AS mean_optional, count(k) AS n_optional FROM ev GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def telemetry_stream(spark, sf_dir):
+    """The streaming windows over the event file: the windows that the watermark has closed."""
+    from millrace.streaming.progress import windows
+    from millrace.streaming.run import available_rows, file_stream
+
+    stream = file_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    rows = windows(stream.withColumn("k", F.when(F.col("k") % 5 != 0, F.col("k"))), "ts", "event_type", "value", "k")
+    return available_rows(rows).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@register("hysteresis_stream", f"WITH {_EVENTS}, h0 AS (SELECT *, coalesce(last_value(CASE WHEN value >= 80 THEN 1 WHEN value <= 40 THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS state FROM ev), h1 AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS was FROM h0), h2 AS (SELECT *, sum((state = 1 AND was = 0)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS episode FROM h1) SELECT user_id, episode, {_SECONDS.format(a='min(ts)', b='max(ts)')} AS seconds FROM h2 WHERE state = 1 OR was = 1 GROUP BY 1, 2 HAVING min(state) = 0")
+def hysteresis_stream(spark, sf_dir):
+    """Pauses by keyed state over the event file as a stream: those that have ended."""
+    from millrace.streaming.progress import hysteresis
+    from millrace.streaming.run import available_rows, file_stream
+
+    stream = file_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return available_rows(hysteresis(stream, "user_id", "ts", "event_id", "value", 80, 40)).select("user_id", "episode", "seconds")

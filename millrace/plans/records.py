@@ -16,7 +16,7 @@ from millrace.sources import cases, tables
 
 def exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identified records without repeats, one attempt for each order."""
-    orders = tables.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("attempt"))
+    orders = tables.spread(tables.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("attempt")))
     return cases.unique_cases(cases.identified(cases.draw_exams(orders)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab
-from millrace.functions.exprs import content_id, hash_draw, lookup, weighted
+from millrace.functions.exprs import computed_once, content_id, hash_number, lookup, weighted
 from millrace.functions.vocab import DOMAINS, FIELDS, WEIGHTS
 
 
@@ -14,25 +14,27 @@ def attempts(spark: SparkSession, count: int) -> DataFrame:
     return spark.range(count).withColumnRenamed("id", "attempt")
 
 
-def draw(name: str, rows: int, seed: int) -> Column:
-    """The weighted draw of a field under one of its conditions."""
+def draw(name: str, rows: int) -> Column:
+    """The weighted draw of a field under one of its conditions, from its hash number."""
     _, weights = WEIGHTS[name][rows]
-    return weighted(hash_draw(seed, F.col("attempt"), name, sum(weights.values())), weights)
+    return weighted(F.pmod(F.col(f"_{name}"), F.lit(sum(weights.values()))), weights)
 
 
 def draw_exams(df: DataFrame, seed: int = vocab.SEED) -> DataFrame:
     """Adds the record's fields, dims (array<double>, millimetres; null without measurement) and dims_state to attempts."""
+    names = [*WEIGHTS, "width", "depth", "length"]
+    df = computed_once(df, {f"_{n}": hash_number(seed, F.col("attempt"), n) for n in names})
     composition = F.col("composition")
-    echo = F.when(composition == "cystic", draw("echogenicity", 0, seed)).when(composition == "spongiform", draw("echogenicity", 1, seed))
-    echo = echo.when(composition.isin("solid", "mixed_cystic_solid"), draw("echogenicity", 2, seed)).otherwise(draw("echogenicity", 3, seed))
+    echo = F.when(composition == "cystic", draw("echogenicity", 0)).when(composition == "spongiform", draw("echogenicity", 1))
+    echo = echo.when(composition.isin("solid", "mixed_cystic_solid"), draw("echogenicity", 2)).otherwise(draw("echogenicity", 3))
     restricted = composition.isin("cystic", "spongiform") | (F.col("echogenicity") == "anechoic")
-    by_restriction = {f: F.when(F.col("restricted"), draw(f, 0, seed)).otherwise(draw(f, 1, seed)) for f in ("shape", "margin", "echogenic_foci", "vascularity")}
+    by_restriction = {f: F.when(F.col("restricted"), draw(f, 0)).otherwise(draw(f, 1)) for f in ("shape", "margin", "echogenic_foci", "vascularity")}
     side = F.col("location_side")
-    segment = F.when(side == "isthmus", "not_applicable").when(side.isin("left", "right"), draw("location_segment", 0, seed)).otherwise(side)
-    out = df.withColumn("location_side", draw("location_side", 0, seed)).withColumn("location_segment", segment)
-    out = out.withColumn("composition", draw("composition", 0, seed)).withColumn("echogenicity", echo).withColumn("restricted", restricted)
-    out = out.withColumns(by_restriction).withColumn("lymph_nodes", draw("lymph_nodes", 0, seed))
-    state = draw("dims_state", 0, seed)
+    segment = F.when(side == "isthmus", "not_applicable").when(side.isin("left", "right"), draw("location_segment", 0)).otherwise(side)
+    out = computed_once(df, {f: draw(f, 0) for f in ("location_side", "composition", "lymph_nodes")})
+    out = computed_once(out, {"location_segment": segment, "echogenicity": echo}).withColumn("restricted", restricted)
+    out = computed_once(out, by_restriction)
+    state = draw("dims_state", 0)
     low, high = vocab.CLAMP
 
     def by_shape(k: int) -> Column:
@@ -40,18 +42,18 @@ def draw_exams(df: DataFrame, seed: int = vocab.SEED) -> DataFrame:
         return F.when(F.col("shape") == "taller_than_wide", sizes["taller_than_wide"][k]).when(F.col("shape") == "wider_than_tall", sizes["wider_than_tall"][k]).otherwise(sizes["other"][k])
 
     def number(name: str, values: Column) -> Column:
-        return F.pmod(hash_draw(seed, F.col("attempt"), name, 1 << 40), values.cast("bigint"))
+        return F.pmod(F.pmod(F.col(f"_{name}"), F.lit(1 << 40)), values.cast("bigint"))
 
     clamp = lambda c: F.least(F.greatest(c, F.lit(low)), F.lit(high))
-    out = out.withColumn("_w", by_shape(0) + number("width", by_shape(1)))
-    out = out.withColumn("_d", clamp(F.floor((F.col("_w") * (by_shape(2) + number("depth", by_shape(3))) + 50) / 100)))
-    out = out.withColumn("_d", F.when(F.col("shape") == "taller_than_wide", F.greatest("_d", F.col("_w") + 1)).otherwise(F.col("_d")))
+    out = computed_once(out, {"_w": by_shape(0) + number("width", by_shape(1))})
+    out = computed_once(out, {"_d": clamp(F.floor((F.col("_w") * (by_shape(2) + number("depth", by_shape(3))) + 50) / 100))})
+    out = computed_once(out, {"_d": F.when(F.col("shape") == "taller_than_wide", F.greatest("_d", F.col("_w") + 1)).otherwise(F.col("_d"))})
     first, values = vocab.LENGTH_PERCENT
-    out = out.withColumn("_l", clamp(F.floor((F.greatest("_w", "_d") * (first + number("length", F.lit(values))) + 50) / 100)))
-    tenths = F.when(draw("dims_count", 0, seed) == "3", F.array("_w", "_d", "_l")).otherwise(F.array("_w", "_d"))
+    out = computed_once(out, {"_l": clamp(F.floor((F.greatest("_w", "_d") * (first + number("length", F.lit(values))) + 50) / 100)), "_state": state})
+    tenths = F.when(draw("dims_count", 0) == "3", F.array("_w", "_d", "_l")).otherwise(F.array("_w", "_d"))
     measured = F.transform(tenths, lambda x: x.cast("double") / 10)
-    out = out.withColumn("_state", state).withColumn("dims", F.when(F.col("_state") == "measured", measured))
-    return out.withColumn("dims_state", F.when(F.col("_state") != "measured", F.col("_state"))).drop("_w", "_d", "_l", "_state", "restricted")
+    out = computed_once(out, {"dims": F.when(F.col("_state") == "measured", measured), "dims_state": F.when(F.col("_state") != "measured", F.col("_state"))})
+    return out.drop("_w", "_d", "_l", "_state", "restricted", *[f"_{n}" for n in names])
 
 
 def canonical_json(df_dims: Column | None = None) -> Column:
@@ -85,7 +87,7 @@ def parse_json(df: DataFrame, column: str = "input") -> DataFrame:
 
 def identified(df: DataFrame) -> DataFrame:
     """Adds input (canonical JSON) and semantic_case_id, the content's own id."""
-    return df.withColumn("input", canonical_json()).withColumn("semantic_case_id", content_id("sc_", F.col("input")))
+    return computed_once(computed_once(df, {"input": canonical_json()}), {"semantic_case_id": content_id("sc_", F.col("input"))})
 
 
 def unique_cases(df: DataFrame) -> DataFrame:

@@ -15,6 +15,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out evenly (a small file of one part); any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     if rows.isEmpty():
