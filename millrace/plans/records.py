@@ -20,12 +20,13 @@ def exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.unique_cases(cases.identified(cases.draw_exams(orders)))
 
 
-_DIMS_TEXT = F.array_join(F.transform("dims", lambda x: x.cast("string")), ",")
+def _dims_text():
+    return F.array_join(F.transform("dims", lambda x: x.cast("string")), ",").alias("dims_text")
 
 
 @register("exam_cases", f"WITH {duck.IDENTIFIED} SELECT attempt, semantic_case_id, {', '.join(FIELDS)}, array_to_string(list_transform(dims, lambda x: x::VARCHAR), ',') AS dims_text, dims_state, length(input)::BIGINT AS input_chars FROM c1")
 def exam_cases(spark, sf_dir):
-    return exams(spark, sf_dir).select("attempt", "semantic_case_id", *FIELDS, _DIMS_TEXT.alias("dims_text"), "dims_state", F.char_length("input").cast("bigint").alias("input_chars"))
+    return exams(spark, sf_dir).select("attempt", "semantic_case_id", *FIELDS, _dims_text(), "dims_state", F.char_length("input").cast("bigint").alias("input_chars"))
 
 
 @register(
@@ -34,7 +35,7 @@ def exam_cases(spark, sf_dir):
 )
 def exam_json_round_trip(spark, sf_dir):
     parsed = cases.parse_json(exams(spark, sf_dir).select("attempt", "input"))
-    return parsed.select("attempt", *FIELDS, _DIMS_TEXT.alias("dims_text"), "dims_state", (cases.canonical_json() == F.col("input")).alias("canonical"))
+    return parsed.select("attempt", *FIELDS, _dims_text(), "dims_state", (cases.canonical_json() == F.col("input")).alias("canonical"))
 
 
 def _shuffled_fields(df: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    rows = rows.filter(F.to_json(F.struct(*rows.columns)) != "")  # every column is read, so that every row is checked
     if rows.isEmpty():
         raise ValueError(f"no rows in {path}")
     return rows
