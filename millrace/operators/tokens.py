@@ -117,3 +117,17 @@ def sentencepiece_tokens(model_file: str):
         return pd.Series(model.encode(column.fillna("").tolist(), num_threads=1))
 
     return ids_of
+
+
+def save(vocabulary_df: DataFrame, path: str) -> None:
+    vocabulary_df.write.mode("errorifexists").parquet(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    return spark.read.schema("token string, id int").parquet(path)
+
+
+def vocabulary_hash(vocabulary_df: DataFrame) -> DataFrame:
+    """n and sha256 of the tokens in the order of ids, each with a line end (the vocabulary is bounded by Unicode)."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("id", "token"))), lambda x: F.concat(x["token"], F.lit("\n")))
+    return vocabulary_df.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(ordered, ""), 256).alias("sha256"))

@@ -328,3 +328,23 @@ def decoder_scores(spark, sf_dir):
     sample = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("example"), tokens.prompt_sample(tokens.encode(F.col("prompt"), known), tokens.encode(F.col("text"), known)).alias("s")).select("example", "s.*")
     config = decoder.Config(vocab.FIRST_CHARACTER + len(known), width=16, heads=2, layers=1, longest=1 << 14)
     return decoder.score(sample.filter(F.size("input_ids") <= config.longest), config, decoder.random_weights(config), "example")
+
+
+@register("vocab_hash", f"WITH {_VOCAB_SQL} SELECT count(*) AS n, sha256(string_agg(token || chr(10), '' ORDER BY token)) AS sha256 FROM vc")
+def vocab_hash(spark, sf_dir):
+    return tokens.vocabulary_hash(vocab_build(spark, sf_dir))
+
+
+@register("release_sets", f"WITH {_CASE_ROWS_SQL} SELECT part, array_to_string(list_sort(list(DISTINCT template_family)), ',') AS families, array_to_string(list_sort(list(DISTINCT lymph_nodes)), ',') AS lymph_codes FROM cr GROUP BY part")
+def release_sets(spark, sf_dir):
+    """What a release's manifest lists: the sets of families and codes in each part."""
+    joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    return _case_rows(spark, sf_dir).groupBy("part").agg(joined("template_family").alias("families"), joined("lymph_nodes").alias("lymph_codes"))
+
+
+@register("union_of_splits", f"WITH {_DOCS_SQL} SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS documents FROM sd GROUP BY lang")
+def union_of_splits(spark, sf_dir):
+    """The splits put together again hold every document once."""
+    rows = split_documents(spark, sf_dir).select("doc_id", "lang", "split")
+    parts = [rows.filter(F.col("split") == s).drop("split") for s in split.SPLITS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))

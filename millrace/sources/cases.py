@@ -121,5 +121,19 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "field string, position int, code string, phrase string")
 
 
+def presets(spark: SparkSession) -> DataFrame:
+    """Five example records for forms: name and the record's fields."""
+    rest = {f: "not_mentioned" for f in FIELDS}
+    chosen = {
+        "plain": {"location_side": "left", "location_segment": "middle", "composition": "solid", "echogenicity": "isoechoic"},
+        "cyst": {"location_side": "right", "location_segment": "lower", "composition": "cystic", "echogenicity": "anechoic", "margin": "smooth", "vascularity": "none"},
+        "sponge": {"location_side": "left", "location_segment": "upper", "composition": "spongiform", "echogenicity": "isoechoic", "echogenic_foci": "comet_tail"},
+        "isthmus": {"location_side": "isthmus", "location_segment": "not_applicable", "composition": "mixed_cystic_solid", "shape": "wider_than_tall"},
+        "calcified": {"location_side": "right", "location_segment": "upper", "composition": "solid", "echogenicity": "hypoechoic", "shape": "taller_than_wide", "echogenic_foci": "punctate_echogenic_foci", "lymph_nodes": "suspicious"},
+    }
+    rows = [(name, *(rest | fields).values()) for name, fields in chosen.items()]
+    return spark.createDataFrame(rows, ", ".join(["name string", *(f"{f} string" for f in FIELDS)])).withColumn("dims", F.lit(None).cast("array<double>")).withColumn("dims_state", F.lit("not_mentioned"))
+
+
 def phrase(field: str) -> Column:
     return lookup(F.col(field), vocab.PHRASES[field])
