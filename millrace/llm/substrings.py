@@ -10,7 +10,8 @@ at most 2 * length bytes. Three steps follow, and each is exact:
    There the suffix array is induced (leftmost smaller substrings sorted recursively, then both scans), permuted common prefixes
    are computed, and every window that shares its whole length with a neighbour in order is covered.
 3. Anchors under which more than HOT different contexts meet (a line or phrase that a large part of all documents has) are taken
-   only where a window has no other: a second pass picks anchors anew with these hashes last.
+   only where a window has no other: a second pass picks anchors anew with these hashes last. Contexts of an anchor that is
+   hot even then are compared window by window, by counts of 128-bit digests, which no group's size holds up.
 
 A window starts at one place of one context only, so nothing is ever compared with itself.
 
@@ -190,6 +191,22 @@ def shard_windows(strings: DataFrame, length: int) -> DataFrame:
     return strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
 
 
+def digest_windows(strings: DataFrame, length: int) -> DataFrame:
+    """Step 3's rest. Input and output as for shard_windows: windows of contexts that are alone whose digest comes twice."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        out = defaultdict(list)
+        for alone, key, low, text in zip(*(batch.column(c).to_pylist() for c in ("alone", "key", "low", "bytes")), strict=True):
+            for k in range(len(text) - length + 1):
+                for c, v in (("digest", xxhash.xxh3_128_digest(text[k : k + length])), ("alone", alone), ("key", key), ("low", low + k)):
+                    out[c].append(v)
+        return {c: out[c] for c in ("digest", "alone", "key", "low")}
+
+    windows = per_chunk(strings, work, "digest binary, alone boolean, key long, low long", "bytes", limit=HASH_BYTES)
+    twice = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    return windows.filter("alone").join(twice, "digest").select("key", "low", F.col("low").alias("high"))
+
+
 def cut_out(texts: list[bytes], covered: list[list], length: int) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
     """What stays of each text, and the spans that go, from runs of covered window starts."""
     kept, spans = [], []
@@ -233,7 +250,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         return {c: out[c] for c in ("anchor", "alone", "key", "low", "bytes")}
 
     strings = per_chunk(rows.join(per_text.hint("merge"), "key").select("key", "text", "wanted"), bytes_of, "anchor long, alone boolean, key long, low long, bytes binary")
-    alone = written(shard_windows(strings, length))
+    still = by_anchor.filter(F.col("different") > most).select("anchor") if hot else None  # at most HOT_SHARE
+    if still is not None and not still.isEmpty():
+        strings, still = written(strings), F.broadcast(written(still))
+        some = digest_windows(strings.join(still, "anchor", "left_semi"), length)
+        alone = written(shard_windows(strings.join(still, "anchor", "left_anti"), length).unionByName(some))
+    else:
+        alone = written(shard_windows(strings, length))
     covered = whole.unionByName(alone).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("covered"))
 
     def cut(batch: pa.RecordBatch) -> dict:
