@@ -29,8 +29,9 @@ from millrace.llm.graph import components
 from millrace.llm.shingles import minhashes, shingle_sets
 
 THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 0.8, 32, 4, 32, 1e-7
-#: A block of a bucket or cluster, in members and in shingles; two of them at most meet in a task.
-BLOCK, BLOCK_SHINGLES = 512, 400_000
+#: A block of a bucket, in members (a quarter of a kilobyte each); a block of a cluster, in members and in shingles of their texts. Two blocks
+#: at most meet in a task.
+BUCKET_BLOCK, BLOCK, BLOCK_SHINGLES = 4096, 512, 400_000
 #: Pairs compared at once.
 PAIRS = 1 << 16
 
@@ -120,9 +121,9 @@ def heads(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return least[label]
 
 
-def blocked(rows: DataFrame, size: str, member: str, weight: str | None = None) -> DataFrame:
+def blocked(rows: DataFrame, size: str, member: str, block: int, weight: str | None = None) -> DataFrame:
     """Deals each group's rows to tasks: one for a group of one block, else one for each two blocks. Adds first, second, side."""
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    blocks = F.ceil(F.col(size) / block).cast("int")
     if weight:
         blocks = F.least(F.greatest(blocks, F.ceil(F.col(weight) / BLOCK_SHINGLES).cast("int")), F.col(size).cast("int"))
     own = F.pmod(F.xxhash64(member), blocks).cast("int")
@@ -198,7 +199,7 @@ def likely_edges(classes: DataFrame, threshold: float) -> DataFrame:
         linked = np.flatnonzero(ids != head)
         return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(head[linked])], names=["a", "b"])
 
-    return grouped(blocked(members, "size", "set"), "bucket", "sig", work, "a long, b long")
+    return grouped(blocked(members, "size", "set", BUCKET_BLOCK), "bucket", "sig", work, "a long, b long")
 
 
 def verified(clustered: DataFrame, threshold: float) -> DataFrame:
@@ -228,7 +229,7 @@ def verified(clustered: DataFrame, threshold: float) -> DataFrame:
         keep = np.flatnonzero(classes)
         return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(head[keep]), pa.array(classes[keep]), pa.array(documents[keep])], names=["set", "label", "classes", "documents"])
 
-    return grouped(blocked(clustered, "size", "set", "weight"), "cluster", "text", work, "set long, label long, classes long, documents long")
+    return grouped(blocked(clustered, "size", "set", BLOCK, "weight"), "cluster", "text", work, "set long, label long, classes long, documents long")
 
 
 def intersections(code: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -37,6 +37,7 @@ def brute(docs, threshold=0.8):
 @pytest.mark.parametrize("block", [512, 3])
 def test_join(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BUCKET_BLOCK", block)
     r = random.Random(6)
     docs = rows()
     for g in range(6):
