@@ -56,9 +56,12 @@ def split_duplicates(spark, sf_dir):
     return stats.duplicates(split_documents(spark, sf_dir), "split", ["doc_id", "semantic_case_id", "text"])
 
 
-def _case_rows(spark, sf_dir) -> DataFrame:
-    """Generated samples of all records, by split part and family."""
+def _case_rows(spark, sf_dir, texts: bool = True) -> DataFrame:
+    """Generated samples of all records, by split part and family; without texts their ids alone."""
     cases = split.assign(exams(spark, sf_dir), "semantic_case_id")
+    if not texts:
+        rows = split.template_splits(cases.select("semantic_case_id", "split"))
+        return rows.withColumn("sample_id", render.sample_id(F.col("semantic_case_id"), F.col("template_family")))
     rows = split.template_splits(render.fragments(cases))
     return computed_once(rows, {"sample_id": render.sample_id(F.col("semantic_case_id"), F.col("template_family")), "target": render.rendered(F.col("template_family"))})
 
@@ -70,7 +73,7 @@ cr AS ({' UNION ALL '.join(f"SELECT *, {duck.q(f)} AS template_family, {duck.rep
 
 @register("split_leakage_audit", "SELECT * FROM (VALUES ('cases_in_several_splits', 0::BIGINT), ('test_cases_not_in_both_views', 0::BIGINT), ('held_out_families_elsewhere', 0::BIGINT), ('repeated_rows', 0::BIGINT)) t(\"check\", offenders)")
 def split_leakage_audit(spark, sf_dir):
-    return split.audit(_case_rows(spark, sf_dir))
+    return split.audit(_case_rows(spark, sf_dir, texts=False))
 
 
 @register("template_split_counts", f"WITH {_CASE_ROWS_SQL} SELECT part, template_family, count(*) AS n, count(DISTINCT semantic_case_id) AS cases, {_LENGTHS_SQL('length(target)')} FROM cr GROUP BY 1, 2")
