@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of text in one step of vectorised work, in bytes; bounds a worker's memory whatever the batch holds.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
