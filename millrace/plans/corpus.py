@@ -129,13 +129,21 @@ def label_field_distribution(spark, sf_dir):
 
 @register("benchmark_contamination", "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), h AS (SELECT DISTINCT l.doc_id, b.item_id FROM l JOIN benchmark b ON l.line = trim(b.text)) SELECT item_id, count(*) AS documents, min(doc_id) AS first_document FROM h GROUP BY item_id")
 def benchmark_contamination(spark, sf_dir):
-    """Documents that hold a benchmark item as a line of their own: an equi-join on the line's text."""
+    """Documents that hold a benchmark item as a line of their own (anywhere: benchmark_passages): an equi-join on the line's text."""
     lines = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
     items = load(spark, sf_dir, "benchmark").select("item_id", F.trim("text").alias("line"))
     hits = lines.join(items, "line").select("doc_id", "item_id").distinct()
     return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_document"))
 
 
+@register("benchmark_passages", "SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, trim(b.text))")
+def benchmark_passages(spark, sf_dir):
+    """Every pair of a document and a benchmark item whose whole text it holds anywhere, over line ends and within lines."""
+    from millrace.operators.passages import holding
+
+    return holding(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
 @register("clean_of_test_texts", f"WITH {_DOCS_SQL}, t AS (SELECT DISTINCT semantic_case_id FROM sd WHERE split = 'test') SELECT lang, count(*) AS kept FROM sd WHERE semantic_case_id NOT IN (SELECT semantic_case_id FROM t) GROUP BY lang")
 def clean_of_test_texts(spark, sf_dir):
     rows = split_documents(spark, sf_dir)
