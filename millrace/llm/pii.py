@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
 
@@ -356,13 +357,18 @@ def fitted(sentences: int = TRAINING, passes: int = PASSES, seed: int = SEED) ->
 def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and base spans with those that the field adds: by kind, then start."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    added, k = [], 0
+    starts, ends = [], []  # of the stretches that base spans cover, in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    added = []
     for low, high in windows(text):
         for kind, a, b in field.best(text, low, high):
-            while k < len(taken) and taken[k][1] <= low:
-                k += 1
-            if all(b <= x or y <= a for x, y in taken[k : k + 64]):
+            k = bisect_right(ends, a)
+            if k == len(ends) or b <= starts[k]:
                 added.append((kind, a, b))
     order = {kind: n for n, kind in enumerate(KINDS)}
     return base, sorted(base + added, key=lambda s: (order[s[0]], s[1], s[2]))

@@ -90,3 +90,14 @@ def test_find_and_redact(spark):
 def test_long_runs_stay_linear():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + "(" * 300_000, "a@" * 100_000, "1 " * 30_000):
         assert pii.base_spans(text) is not None
+
+
+@pytest.mark.parametrize("value", [lambda r: ".".join(str(r.randint(0, 255)) for _ in range(4)), lambda r: f"+{r.randint(10**10, 10**11 - 1)}", lambda r: f"{r.randint(0, 9)} +1 443 555 {r.randint(1000, 9999)}"])
+def test_many_base_spans_in_a_window(value):
+    r, field = random.Random(8), pii.fitted()
+    text = "hosts " + " ".join(value(r) for _ in range(200)) + " end"
+    base, spans = pii.all_spans(text, field)
+    found = [s for low, high in pii.windows(text) for s in field.best(text, low, high)]
+    expected = [s for s in found if all(s[2] <= a or b <= s[1] for _, a, b in base)]
+    assert len(base) > 64 and max(sum(low <= a and b <= high for _, a, b in base) for low, high in pii.windows(text)) > 64
+    assert sorted(spans) == sorted(base + expected)
