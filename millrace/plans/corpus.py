@@ -330,15 +330,17 @@ def generate_with_fallback(spark, sf_dir):
 
 @register("decoder_scores")
 def decoder_scores(spark, sf_dir):
-    """Assistant turns scored by a decoder of random weights (no weights come with the library): tokens, loss, hits."""
+    """Assistant turns, of any length, scored by a decoder of random weights (no weights come with the library): tokens, loss, hits."""
     from millrace.operators import decoder
 
     turns = load(spark, sf_dir, "conversations")
     known = tokens.known_characters(tokens.vocabulary(turns, "text"))
     rows = spread(turns).withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null")
-    sample = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("example"), tokens.prompt_sample(tokens.encode(F.col("prompt"), known), tokens.encode(F.col("text"), known)).alias("s")).select("example", "s.*")
+    sample = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("example"), tokens.prompt_sample(tokens.encode(F.col("prompt"), known), tokens.encode(F.coalesce("text", F.lit("")), known)).alias("s")).select("example", "s.*")
     config = decoder.Config(vocab.FIRST_CHARACTER + len(known), width=16, heads=2, layers=1, longest=1 << 14)
-    return decoder.score(sample.filter(F.size("input_ids") <= config.longest), config, decoder.random_weights(config), "example")
+    bytes_ = turns.agg(F.max(F.octet_length("text"))).first()[0] or 0  # a text has one id for each of its bytes at most, a sample five control ids
+    config, weights = decoder.lengthened(config, decoder.random_weights(config), 2 * bytes_ + 5)
+    return decoder.score(sample, config, weights, "example")
 
 
 @register("vocab_hash", f"WITH {_VOCAB_SQL} SELECT count(*) AS n, sha256(string_agg(token || chr(10), '' ORDER BY token)) AS sha256 FROM vc")

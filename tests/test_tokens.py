@@ -78,3 +78,31 @@ def test_decoder(spark):
     logs = model.logits(np.array([[1, 20, 30]]))[0]
     logs = logs - np.log(np.exp(logs).sum(-1, keepdims=True))
     assert scored["tokens"] == 2 and abs(scored["loss_sum"] + logs[1, 30] + logs[2, 2]) < 1e-6
+
+
+def test_decoder_in_blocks(spark, monkeypatch):
+    config = decoder.Config(300, width=16, heads=4, layers=2, longest=24)
+    model = decoder.Decoder(config, decoder.random_weights(config, 3))
+    ids = np.random.default_rng(0).integers(8, 300, (2, 24))
+    whole = model.logits(ids)
+    for cells in (1, 500, 1500):
+        monkeypatch.setattr(decoder, "CELLS", cells)
+        assert np.allclose(whole, model.logits(ids), rtol=0, atol=1e-12)
+        held = [None] * config.layers
+        assert np.allclose(whole, np.concatenate([model.logits(ids[:, :10], held), model.logits(ids[:, 10:], held)], 1), rtol=0, atol=1e-12)
+    longer, weights = decoder.lengthened(config, model.w, 50)
+    assert longer.longest >= 50 and np.array_equal(weights["place"][:24], model.w["place"])
+    assert np.array_equal(decoder.lengthened(config, model.w, 1000)[1]["place"][:50], weights["place"][:50])
+
+
+def test_decoder_scores_long_turns(spark, tmp_path):
+    from millrace.plans import registry
+
+    some = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").filter("conv_id < 5").select("conv_id", "turn", "role", "text")
+    longest = spark.createDataFrame([(900, 0, "user", "abc"), (900, 1, "assistant", "abc " * 4500), (901, 0, "user", "abc"), (901, 1, "assistant", None)], "conv_id long, turn int, role string, text string")
+    some.select(*[some[c].cast(t) for c, t in longest.dtypes]).write.parquet(str(tmp_path / "short" / "conversations.parquet"))
+    some.select(*[some[c].cast(t) for c, t in longest.dtypes]).unionByName(longest).write.parquet(str(tmp_path / "long" / "conversations.parquet"))
+    short, both = ({r["example"]: tuple(r)[1:] for r in registry.queries()["decoder_scores"](spark, str(tmp_path / d)).collect()} for d in ("short", "long"))
+    assert short and {k: v[0] for k, v in short.items()} == {k: both[k][0] for k in short}
+    assert set(both) == set(short) | {900_001, 901_001}
+    assert both[900_001][0] == 18_001 and both[901_001][0] == 1 and np.isfinite(both[900_001][1])
