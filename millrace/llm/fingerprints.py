@@ -7,6 +7,9 @@ the digests that only one version has. If some stay, both are sketched again twi
 ends (after TRIES doublings the exact difference is taken). Likeness is the share of paragraphs in common:
 (paragraphs of both) / (paragraphs of either).
 
+Each text's first sketch is returned whole, and in short (a hash of it) as the fingerprint; kept sketches of any two versions subtract and
+peel without their texts (sketch_differences), unless they differ in too many paragraphs.
+
 All pairs of a batch are sketched and peeled at once: each pair has its own stretch of one array of cells.
 
 Defined results: null text counts as empty; two empty texts have likeness 1, an empty and another one 0; documents follow each other by
@@ -27,7 +30,7 @@ from millrace.llm.common import texts
 from millrace.llm.shingles import _POWERS, mix
 
 HASHES = 3
-#: Cells of the sketch that is kept as the fingerprint, and of the first try of a subtraction.
+#: Cells of the sketch that is kept, and of the first try of a subtraction.
 CELLS = 24
 #: A paragraph ends with its line, after a word whose hash is a multiple of WORDS, and after MOST_WORDS words.
 WORDS, MOST_WORDS = 8, 16
@@ -102,6 +105,42 @@ def fingerprints(digests: np.ndarray, starts: np.ndarray) -> list[str]:
     return [f"{n:x}-{hashlib.blake2b(row.tobytes(), digest_size=16).hexdigest()}" for n, row in zip(np.diff(starts).tolist(), rows, strict=True)]
 
 
+def peeled(count: np.ndarray, keys: np.ndarray, checks: np.ndarray, where: np.ndarray, base: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, digest, sign) of what subtracted cells give, and for each pair whether some stay. where: each cell's pair; the cells are changed."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    look = np.flatnonzero((count == 1) | (count == -1))
+    while len(look):
+        pure = look[((count[look] == 1) | (count[look] == -1)) & (mix(keys[look] ^ CHECK) == checks[look])]
+        if not len(pure):
+            break
+        _, first = np.unique(np.stack([where[pure].astype(np.uint64), keys[pure]]), axis=1, return_index=True)
+        pure = pure[first]
+        digest, of, signs = keys[pure], where[pure], count[pure]
+        found.append((of, digest, signs))
+        at = cells_of(digest, base[of], part[of]).ravel()
+        np.subtract.at(count, at, np.tile(signs, HASHES))
+        xor_into(keys, at, np.tile(digest, HASHES))
+        xor_into(checks, at, np.tile(mix(digest ^ CHECK), HASHES))
+        look = np.unique(at)
+    of, digest, signs = (np.concatenate(x) for x in zip(*found, strict=True))
+    return of, digest, signs, np.bincount(where, (count != 0) | (keys != 0), len(base)) > 0
+
+
+def sketches(digests: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Each text's sketch whole: the counts, keys and checks of its CELLS cells as little-endian 64-bit numbers."""
+    return [row.tobytes() for row in np.concatenate([x.astype("<u8") for x in sketch(digests, starts)], axis=1)]
+
+
+def sketch_differences(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, digest, sign) from two lists of kept sketches alone, and the pairs for which they are too small: those need differences() of the texts."""
+    n = len(a)
+    one, two = (np.frombuffer(b"".join(x), "<u8").reshape(n, 3, CELLS).astype(np.uint64) for x in (a, b))
+    count = (one[:, 0].astype(np.int64) - two[:, 0].astype(np.int64)).ravel()
+    keys, checks = ((one[:, k] ^ two[:, k]).ravel() for k in (1, 2))
+    of, digest, signs, rest = peeled(count, keys, checks, np.repeat(np.arange(n), CELLS), np.arange(n) * CELLS, np.full(n, CELLS // HASHES))
+    return of[~rest[of]], digest[~rest[of]], signs[~rest[of]], np.flatnonzero(rest)
+
+
 def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = CELLS, tries: int = TRIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The digests that only one text of a pair has: (pair, digest, 1 if the first has it, else -1), as three arrays."""
     n = len(a[1]) - 1
@@ -128,23 +167,7 @@ def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarra
         keys, checks = np.zeros(total, np.uint64), np.zeros(total, np.uint64)
         xor_into(keys, at, np.tile(digests, HASHES))
         xor_into(checks, at, np.tile(mix(digests ^ CHECK), HASHES))
-        found = [recovered[0]]
-        look = np.flatnonzero((count == 1) | (count == -1))
-        while len(look):
-            pure = look[((count[look] == 1) | (count[look] == -1)) & (mix(keys[look] ^ CHECK) == checks[look])]
-            if not len(pure):
-                break
-            _, first = np.unique(np.stack([where[pure].astype(np.uint64), keys[pure]]), axis=1, return_index=True)
-            pure = pure[first]
-            digest, of, signs = keys[pure], where[pure], count[pure]
-            found.append((of, digest, signs))
-            at = cells_of(digest, base[of], part[of]).ravel()
-            np.subtract.at(count, at, np.tile(signs, HASHES))
-            xor_into(keys, at, np.tile(digest, HASHES))
-            xor_into(checks, at, np.tile(mix(digest ^ CHECK), HASHES))
-            look = np.unique(at)
-        rest = np.bincount(where, (count != 0) | (keys != 0), len(left)) > 0
-        of, digest, signs = (np.concatenate(x) for x in zip(*found, strict=True))
+        of, digest, signs, rest = peeled(count, keys, checks, where, base, part)
         recovered.append((left[of[~rest[of]]], digest[~rest[of]], signs[~rest[of]]))
         left = left[rest]
         width[left] *= 2
@@ -197,14 +220,14 @@ def neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited (the text), fingerprint, edited_fingerprint, near_edited, near_next of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    """doc_id, n_chars, edited (the text), fingerprint, edited_fingerprint, near_edited, near_next, sketch, edited_sketch of every document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("sketch", pa.binary()), ("edited_sketch", pa.binary())])
     limit = 2 << 20
 
     def work(ids: list, own: list[str], after: list[str]) -> pa.RecordBatch:
         new = [edited(t, f) for t, f in zip(own, after, strict=True)]
         one, two, three = (paragraphs([t.encode() for t in x]) for x in (own, new, after))
-        values = [ids, list(map(len, own)), new, fingerprints(*one), fingerprints(*two), likeness(one, two), likeness(one, three)]
+        values = [ids, list(map(len, own)), new, fingerprints(*one), fingerprints(*two), likeness(one, two), likeness(one, three), sketches(*one), sketches(*two)]
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     def run(batches):
@@ -225,4 +248,4 @@ def fingerprint(docs: DataFrame, parts: int | None = None) -> DataFrame:
         if out[0]:
             yield work(*out)
 
-    return neighbours(docs, parts).mapInArrow(run, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return neighbours(docs, parts).mapInArrow(run, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, sketch binary, edited_sketch binary")

@@ -67,3 +67,19 @@ def test_few_rows(spark):
     assert fp.fingerprint(table(spark, [])).collect() == []
     one = fp.fingerprint(table(spark, [(7, "abcd")])).first()
     assert one["edited"] == "abab"
+
+
+def test_kept_sketches_subtract(spark):
+    r = random.Random(6)
+    texts = [(k, "\n".join(words(r, 6).replace("\n", " ") for _ in range(30))) for k in range(4)]
+    texts += [(4 + k, t.replace("a", "b", 2)) for k, t in texts]  # another version of each
+    found = {x["doc_id"]: x for x in fp.fingerprint(table(spark, texts)).collect()}
+    first, second = ([bytes(found[k + shift]["sketch"]) for k in range(4)] for shift in (0, 4))
+    of, digest, sign, left = fp.sketch_differences(first, second)
+    flat = [fp.paragraphs([texts[k + shift][1].encode() for k in range(4)]) for shift in (0, 4)]
+    expected = set(zip(*(x.tolist() for x in fp.differences(*flat)), strict=True))
+    assert not len(left) and set(of.tolist()) == {0, 1, 2, 3} and set(zip(of.tolist(), digest.tolist(), sign.tolist(), strict=True)) == expected
+    other = first[1:] + first[:1]  # other texts: too much differs
+    assert set(fp.sketch_differences(first, other)[3].tolist()) == {0, 1, 2, 3}
+    edited = fp.sketches(*fp.paragraphs([found[k]["edited"].encode() for k in range(4)]))
+    assert edited == [bytes(found[k]["edited_sketch"]) for k in range(4)]
