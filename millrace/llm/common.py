@@ -8,24 +8,41 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 #: Rows of text in one step of vectorised work, in bytes; bounds a worker's memory whatever the batch holds.
 CHUNK_BYTES = 1 << 20
+#: Folders that shared_folder() gave in this session.
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one, but on this machine's own
+    executors only (local mode, as in tests); on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/millrace-{uuid.uuid4().hex}"
+    folder = f"{base}/millrace-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return folder
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders that shared_folder() gave, once nothing reads them any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in _MADE:
+            _MADE.remove(folder)
+
+
+def made() -> list[str]:
+    """The folders that shared_folder() gave and that are still there."""
+    return list(_MADE)
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -41,15 +58,38 @@ def texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """The documents with `_place`, a struct (file, row) that is each row's own; tables that aren't files are written first."""
-    if "_place" in docs.columns and isinstance(docs.schema["_place"].dataType, StructType):
-        return docs
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_place")
-    try:
-        return docs.select("*", place)
-    except AnalysisException:
-        return written(docs).select("*", place)
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the first of it with underscores behind that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def is_file_scan(df: DataFrame) -> bool:
+    """Whether each row of df is one row of one folder's files: a scan under projections and filters alone, so that file and row number tell rows apart."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        node = node.children().head()
+    if node.getClass().getSimpleName() != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return node.relation().location().rootPaths().size() == 1 and node.relation().fileFormat().toString() == "Parquet"
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with one more column, a struct (file, row) that is each row's own, and that column's name, which no other column has. Tables that
+    aren't a plain scan of one folder's Parquet files (joins, unions, exploded rows) are written first."""
+    if not is_file_scan(docs):
+        docs = written(docs)
+    name = free_name(docs, "_place")
+    meta = docs.metadataColumn("_metadata")
+    return docs.select("*", F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")).alias(name)), name
+
+
+def identity(place: str) -> list[Column]:
+    """Two longs for the struct that located() adds: a hash of the file's path, and the row's number in it. Only files whose paths' 64-bit hashes are
+    equal would be mixed up (3e-8 for a million files)."""
+    return [F.xxhash64(F.col(place)["file"]).alias("file"), F.col(place)["row"].alias("row")]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

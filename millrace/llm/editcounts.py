@@ -16,11 +16,11 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.bytebpe import encoding, parts
+from millrace.llm.bytebpe import PART_CHARS, encoding, parts
 from millrace.llm.common import per_chunk, texts
 
-#: Characters of a leaf, about.
-LEAF_CHARS = 384
+#: Characters of a leaf, about: a LEAVES-th of its text, but within these bounds; so an edit encodes a small share of any text but the shortest.
+LEAVES, LEAST_CHARS, MOST_CHARS = 96, 16, 384
 
 
 class CountTree:
@@ -113,15 +113,19 @@ class CountTree:
 
 def counter(rank_file: str, pattern: str) -> Callable[[str], int]:
     encode = encoding(rank_file, pattern).encode_ordinary
-    return lambda text: sum(len(encode(p)) for p in parts(text)) if text else 0
+    return lambda text: sum(len(encode(p)) for p in parts(text)) if len(text) > PART_CHARS else len(encode(text))
 
 
-def count_trees(docs: DataFrame, rank_file: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def leaf_chars(n: int) -> int:
+    return min(MOST_CHARS, max(LEAST_CHARS, n // LEAVES))
+
+
+def count_trees(docs: DataFrame, rank_file: str, pattern: str, size: Callable[[int], int] = leaf_chars) -> DataFrame:
     """doc_id, text, n_chars, n_tokens, leaf_chars and leaf_tokens (the leaves, in order; the tree's sums follow from them)."""
 
     def work(batch: pa.RecordBatch) -> dict:
         count = counter(rank_file, pattern)
-        leaves = [parts(t, leaf_chars) for t in batch.column("text").to_pylist()]
+        leaves = [parts(t, size(len(t))) for t in batch.column("text").to_pylist()]
         tokens = [[count(x) for x in some] for some in leaves]
         return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_chars": [sum(map(len, x)) for x in leaves], "n_tokens": [sum(x) for x in tokens], "leaf_chars": [[len(x) for x in some] for some in leaves], "leaf_tokens": tokens}
 

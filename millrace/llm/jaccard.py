@@ -10,7 +10,8 @@ at a time, by as many tasks; none is capped, and a task never holds more than tw
 
 Defined results: null text counts as empty; texts without words are copies of each other; a text of fewer than five words has
 one shingle of all its words; rows that come twice are copies; a null doc_id is a document like others; extra columns are
-dropped; an empty table gives no rows. Sets are told apart by 64-bit digests.
+dropped; an empty table gives no rows. Sets are told apart by 64-bit digests. Each class's text is that of one row, found by the row's own place, whatever
+its doc_id.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, per_chunk, texts, written
+from millrace.llm.common import chunks, identity, located, per_chunk, texts, written
 from millrace.llm.graph import components
 from millrace.llm.shingles import minhashes, shingle_sets
 
@@ -258,18 +259,18 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, carry: tuple[str
     """One row per document: doc_id, class_id (the least doc_id among all that links join), n_links (other documents of at
     least this similarity, copies too), n_different (linked classes of other sets), copies (documents of the same set), label (equal where class_id's documents are
     the same, null doc_ids too), and the columns to carry."""
-    rows = written(signatures(docs, carry))
-    first = F.min(F.struct("doc_id", "n", "sig"))
-    classes = written(rows.groupBy("set").agg(F.count(F.lit(1)).alias("copies"), first.alias("r"), F.min("doc_id").alias("least")).select("set", "copies", "least", "r.doc_id", "r.n", "r.sig"))
+    docs, place = located(docs)
+    file, row = (c + "_" * sum(map(len, carry)) for c in ("file", "row"))  # longer than any column to carry
+    docs = docs.select("doc_id", "text", *carry, *(c.alias(n) for c, n in zip(identity(place), (file, row), strict=True)))
+    rows = written(signatures(docs, (*carry, file, row)))
+    one = [F.first(c).alias(c) for c in ("n", "sig", file, row)]  # all of one row: its text stands for the class
+    classes = written(rows.groupBy("set").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), *one))
     clusters = components(written(likely_edges(classes, threshold).distinct())).select(F.col("id").alias("set"), F.col("label").alias("cluster"))
     members = written(clusters.join(classes, "set"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
     wanted = members.join(sizes, "cluster")
-    whole = texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**62))))
-    named = wanted.withColumn("key", F.coalesce("doc_id", F.lit(-(2**62)))).drop("doc_id")
-    with_text = named.join(whole.select("key", "text"), "key")
-    if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").limit(1).count():
-        with_text = own_texts(with_text)
+    whole = texts(docs, (file, row)).drop("doc_id")
+    with_text = wanted.join(whole, [file, row]).select("cluster", "size", "weight", "set", "copies", "n", "sig", "text")
     links = written(verified(with_text, threshold))
     counts = links.groupBy("set").agg(F.sum("classes").alias("classes"), F.sum("documents").alias("documents"))
     joined = components(links.select(F.col("set").alias("a"), F.col("label").alias("b"))).select(F.col("id").alias("set"), "label")
@@ -277,16 +278,3 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, carry: tuple[str
     least = named.groupBy("label").agg(F.min("least").alias("class_id"))
     per_class = named.join(least, "label").join(counts, "set", "left").select("set", "copies", "class_id", "label", F.coalesce("classes", F.lit(0)).alias("n_different"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return rows.select("doc_id", "set", *carry).join(per_class, "set").select("doc_id", "class_id", "n_links", "n_different", "copies", "label", *carry)
-
-
-def own_texts(candidates: DataFrame) -> DataFrame:
-    """Where several rows have a doc_id: for each set a text that has this very set."""
-
-    def work(batch: pa.RecordBatch) -> dict:
-        found, starts = shingle_sets(batch.column("text").to_pylist())
-        own = pa.array(_digests(found, starts) == batch.column("set").to_numpy())
-        return {c: batch.column(c).filter(own) for c in columns}
-
-    schema = "set long, cluster long, size long, weight long, copies long, n long, sig binary, text string"
-    columns = [c.split()[0] for c in schema.split(", ")]
-    return per_chunk(candidates.select(*columns), work, schema).dropDuplicates(["set"])

@@ -45,7 +45,9 @@ def op4_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(documents(spark, sf_dir))
     n_removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
-    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    own = ("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    n_words = F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"])
+    return found.select(*own, F.size("passages").cast("long").alias("n_passages"), n_words.alias("passage_bytes"))
 
 
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Rows are ordered by a hash of the text, then doc_id, so that equal texts lie side by side, and dealt to partitions by range
 (a hot text is split by doc_id). Every partition's total gives, by prefix sums over the partitions (one row each), the bytes
 before it; with a running sum inside the partition each row knows the bytes before it, and equal targets cut the order.
-Groups of equal texts up to GROUP_SHARE of a target stay in one shard, that in which they begin; larger ones are cut like
+Groups of equal texts up to a share of a target that is a parameter (whole_share) stay in one shard, that in which they begin; larger ones are cut like
 all else.
 
 Defined results: a null text has size 16 (none and the row's 16); a null doc_id sorts first; rows that come twice take two
@@ -18,17 +18,18 @@ from pyspark.sql import functions as F
 from millrace.llm.common import written
 
 ROW_BYTES = 16
-#: Groups of equal texts below this share of a shard's target aren't cut.
-GROUP_SHARE = 0.002
+#: Production parameter: groups of equal texts up to this share of a shard's target aren't cut, so a shard is out of balance by twice as much at most.
+WHOLE_SHARE = 0.002
 
 
-def byte_shards(docs: DataFrame, shards: int = 40, parts: int | None = None) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
+def byte_shards(docs: DataFrame, shards: int = 40, parts: int | None = None, whole_share: float = WHOLE_SHARE) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard). whole_share: groups of equal texts of this share of a
+    shard's target or less aren't cut; 0 cuts at equal targets alone."""
     spark = docs.sparkSession
     if not parts:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("group"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("group"))
     dealt = written(rows.repartitionByRange(parts, "group", "doc_id").withColumn("part", F.spark_partition_id()))
     order = [F.col("group"), F.col("doc_id").asc_nulls_first(), F.col("text_crc32")]
     totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"))  # a row for each partition
@@ -44,7 +45,7 @@ def byte_shards(docs: DataFrame, shards: int = 40, parts: int | None = None) ->
     joined = local.join(F.broadcast(wide.withColumnRenamed("group", "wide_group")), F.col("group") == F.col("wide_group"), "left")
     own = F.sum("size").over(Window.partitionBy("part", "group"))
     joined = joined.withColumn("group_bytes", F.coalesce("bytes", own)).withColumn("group_start", F.coalesce("low", "group_start"))
-    at = F.when(F.col("group_bytes") <= target * GROUP_SHARE, F.col("group_start")).otherwise(F.col("start"))
+    at = F.when(F.col("group_bytes") <= target * whole_share, F.col("group_start")).otherwise(F.col("start"))
     cut = written(joined.select("doc_id", "size", "text_crc32", "group", "part", F.least(F.floor(at * shards / max(total, 1)), F.lit(shards - 1)).cast("int").alias("shard")))
     # slots, by the same two steps
     cells = cut.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))  # shards + partitions rows at most, as both only rise

@@ -1,51 +1,75 @@
-"""Operator 5: exact removal of repeated substrings over all documents by suffix arrays.
+"""Operator 5: exact removal of repeated substrings over all documents by suffix arrays, and the passages that come again word for word.
 
-Every string of ``length`` bytes (a window) has one anchor: of the ``GRAM``-byte strings in it the one with the least hash, the
-leftmost of equals. Equal windows have equal anchors at the same place in them, so all copies of a window meet under its
-anchor's hash, wherever they are. The windows of one anchor are neighbours; together they are its context, a stretch of
-at most 2 * length bytes. Three steps follow, and each is exact:
+Two kinds of strings are looked for in one run: LENGTH bytes (what is removed), and WORDS words between ASCII white space (passages, which are
+told but not removed; a passage of a little over fifty words has often fewer than 400 bytes). What follows holds for units: bytes
+or words.
+
+Every string of that length (a window) has one anchor: of the grams in it the one with the least hash, the leftmost of equals. Equal windows have equal
+anchors at the same place in them, so all copies of a window meet under its anchor's hash, wherever they are. The windows
+of one anchor are neighbours; together they are its context, a stretch of at most twice a window's length. Three steps follow:
 
 1. Contexts that are equal as a whole are counted by digest; what comes twice or more is covered.
 2. Contexts that are alone, but share their anchor with others, go with one copy of each of these to a shard by the anchor's hash.
    There the suffix array is induced (leftmost smaller substrings sorted recursively, then both scans), permuted common prefixes
    are computed, and every window that shares its whole length with a neighbour in order is covered.
-3. Anchors under which more than HOT different contexts meet (a line or phrase that a large part of all documents has) are taken
-   only where a window has no other: a second pass picks anchors anew with these hashes last. Contexts of an anchor that is
-   hot even then are compared window by window, by counts of 128-bit digests, which no group's size holds up.
+3. Contexts of an anchor under which more than HOT different ones meet (a line or phrase that a large part of all documents has) never
+   meet in a task: their windows, by the anchor's place in them, are halved again and again. Of each range of windows the units
+   that all have in common are counted by digest (who is alone with them shares no window) and all units together (who isn't alone with them
+   shares every window); only those between go on, so at most as many rounds as a range can be halved.
 
-A window starts at one place of one context only, so nothing is ever compared with itself.
+A window starts at one place of one context only, so nothing is ever compared with itself. Contexts are told apart by 128 bits (an anchor's hash and
+a digest), rows by their place in the files; shards compare bytes, and words by 64-bit hashes.
 
 Defined results: null text counts as empty; matches never cross documents; texts shorter than a window stay whole; of rows that come
 twice every byte of a text of a window or more goes, in each of them; null doc_ids are documents like others; extra columns are
-dropped; an empty table gives no rows.
+dropped, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import located, per_chunk, written
-from millrace.llm.shingles import mix
+from millrace.llm.common import identity, located, per_chunk, written
+from millrace.llm.shingles import _SPACE, mix
 from millrace.llm.suffix import permuted_prefixes, suffix_array
 
-LENGTH = 400
-GRAM = 128
-#: Different contexts of an anchor above which it is hot: this many (about ten megabytes), or this share of all contexts, so that hot
-#: anchors are HOT_SHARE at most.
-HOT, HOT_SHARE = 20_000, 1_000_000
+#: Bytes that are removed together, and bytes of their anchors; words of a passage ("over fifty"), and of their anchors.
+LENGTH, GRAM = 400, 128
+WORDS, WORD_GRAM = 51, 16
+#: Different contexts of an anchor above which it is hot (about ten megabytes of text).
+HOT = 20_000
 #: Bytes of text hashed at once: so much that the arrays stay in a processor's cache.
 HASH_BYTES = 1 << 19
-#: Bytes of a suffix array.
+#: Bytes of text of a suffix array.
 SHARD_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
+BYTE_KIND, WORD_KIND = 0, 1
+
+
+class Sizes(NamedTuple):
+    """A window's and a gram's units, by kind."""
+
+    length: tuple[int, int] = (LENGTH, WORDS)
+    gram: tuple[int, int] = (GRAM, WORD_GRAM)
+
+
+class Words(NamedTuple):
+    """Words of joined texts: hash, first byte, end, and number of the text."""
+
+    hashes: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    owner: np.ndarray
 
 
 @lru_cache(maxsize=1)
@@ -56,14 +80,35 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hash of the gram bytes from each place on: differences of one running sum, brought to a common power and mixed."""
-    up, down = _powers(max(len(data), 1 << 20))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
-    value = sums[gram:] - sums[:-gram]
-    value *= down[: len(value)]
-    return mix(value)
+class Sums:
+    """Running sums of values times powers: the hash of any stretch is a difference of two, brought to a common power and mixed."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = _powers(max(len(values), 1 << 20))
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return mix((self.sums[high] - self.sums[low]) * self.down[low] + (high - low).astype(np.uint64))
+
+    def grams(self, size: int) -> np.ndarray:
+        """Hash of the size values from each place on."""
+        value = self.sums[size:] - self.sums[:-size]
+        value *= self.down[: len(value)]
+        return mix(value)
+
+
+def words_of(data: np.ndarray, sizes: np.ndarray, sums: Sums) -> Words:
+    """The words of texts of these sizes that are joined without a gap."""
+    n = len(data)
+    ends = np.cumsum(sizes)
+    border = np.zeros(n + 1, bool)
+    border[ends] = border[0] = True
+    gap = _SPACE[data]
+    word = ~gap
+    begin = np.flatnonzero(word & (border[:-1] | np.concatenate([[True], gap[:-1]])))
+    end = np.flatnonzero(word & (border[1:] | np.concatenate([gap[1:], [True]]))) + 1
+    return Words(sums.of(begin, end), begin, end, np.searchsorted(ends, begin, "right"))
 
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -77,193 +122,237 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(texts: list[bytes], length: int, gram: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """text number, anchor hash, first and last window start (in the text) of each context. hot: sorted hashes to take last."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    empty = tuple(np.zeros(0, np.int64) for _ in range(4))
-    if len(data) < length:
-        return empty
-    hashes = gram_hashes(data, gram)
-    order = hashes >> np.uint64(33)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
-        order |= (hot[at] == hashes).astype(np.uint64) << np.uint64(31)
-    least = least_in_windows(order << np.uint64(32) | np.arange(len(order), dtype=np.uint64), length - gram + 1)
-    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    begins = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(anchor)]
-    valid = np.arange(len(anchor)) + length <= (begins + sizes)[owner]
-    places = np.flatnonzero(valid)
+def anchored(grams: np.ndarray, kind: int) -> np.ndarray:
+    """Grams' hashes as anchors: the lowest bit tells the kind."""
+    return (grams & ~np.uint64(1) | np.uint64(kind)).view(np.int64)
+
+
+def contexts(sums: Sums, owner: np.ndarray, length: int, gram: int, kind: int) -> tuple[np.ndarray, ...]:
+    """text number, anchor, digest, first and last unit of each context (the last is the last window's last)."""
+    n = len(owner)
+    if n < length:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    grams = sums.grams(gram)
+    order = grams >> np.uint64(33) << np.uint64(32)
+    order |= np.arange(len(order), dtype=np.uint64)
+    anchor = (least_in_windows(order, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    places = np.flatnonzero(owner[: n - length + 1] == owner[length - 1 :])
     if not len(places):
-        return empty
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     a, o = anchor[places], owner[places]
     first = np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (o[1:] != o[:-1])) + 1])
     last = np.append(first[1:], len(places)) - 1
-    low, high = places[first] - begins[o[first]], places[last] - begins[o[first]]
-    return o[first], hashes[a[first]].view(np.int64), low, high
+    low, high = places[first], places[last] + length - 1
+    return o[first], anchored(grams[a[first]], kind), sums.of(low, high + 1).view(np.int64), low, high
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, a key of the row and the text in bytes."""
+    """doc_id, file and row (the row's identity) and the text in bytes."""
+    docs, place = located(docs)
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text")
-    return located(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("_place").alias("key"), text)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *identity(place), text)
 
 
-def all_contexts(rows: DataFrame, length: int, gram: int, hot: list[int]) -> DataFrame:
-    """anchor, digest, key, low, high of every context in the documents."""
-    last = np.sort(np.array(hot, np.int64).view(np.uint64))
+def all_contexts(rows: DataFrame, sizes: Sizes) -> DataFrame:
+    """anchor, digest, file, row, low, high (bytes of the text) of every context in the documents, of both kinds."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        raw = batch.column("text").to_pylist()
-        owner, anchor, low, high = contexts(raw, length, gram, last)
-        digest = np.array([xxhash.xxh3_64_intdigest(raw[o][a : b + length], b - a) for o, a, b in zip(owner.tolist(), low.tolist(), high.tolist(), strict=True)], np.uint64).view(np.int64)
-        return {"anchor": anchor, "digest": digest, "key": batch.column("key").to_numpy()[owner] if len(owner) else [], "low": low, "high": high}
-
-    return per_chunk(rows, work, "anchor long, digest long, key long, low long, high long", limit=HASH_BYTES)
-
-
-def repeated_windows(strings: list[bytes], spans: list[int], length: int) -> list[np.ndarray]:
-    """For each string the starts (below its span) of windows that another string has too."""
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings)) + 1
-    begins = np.cumsum(sizes) - sizes
-    text = np.frombuffer(b"\x00".join(strings) + b"\x00", np.uint8)
-    # values: the separator 1, then the bytes that come (0 never does in them as a value), and one 0 at the end
-    kinds = np.unique(text)
-    code = np.zeros(256, np.int64)
-    code[kinds] = np.arange(1, len(kinds) + 1)
-    ends = begins + sizes - 1
-    coded = code[text]
-    if (text[np.setdiff1d(np.flatnonzero(text == 0), ends)] == 0).any():  # zero bytes within the strings: set apart from separators
-        coded = coded + 1
-        coded[ends] = 1
-    coded = np.append(coded, 0)
+        texts = batch.column("text")
+        data = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+        lengths = pc.binary_length(texts).to_numpy().astype(np.int64)
+        begins = np.cumsum(lengths) - lengths
+        sums = Sums(_TABLE[data])
+        o, anchor, digest, low, high = contexts(sums, np.repeat(np.arange(len(lengths)), lengths), sizes.length[0], sizes.gram[0], BYTE_KIND)
+        words = words_of(data, lengths, sums)
+        wo, wanchor, wdigest, wlow, whigh = contexts(Sums(words.hashes), words.owner, sizes.length[1], sizes.gram[1], WORD_KIND)
+        owner = np.concatenate([o, wo])
+        lows, highs = np.concatenate([low, words.begin[wlow]]) - begins[owner], np.concatenate([high + 1, words.end[whigh]]) - begins[owner]
+        place = {c: batch.column(c).to_numpy()[owner] for c in ("file", "row")}
+        return {"anchor": np.concatenate([anchor, wanchor]), "digest": np.concatenate([digest, wdigest]), **place, "low": lows, "high": highs}
+
+    return per_chunk(rows, work, "anchor long, digest long, file long, row long, low long, high long", limit=HASH_BYTES)
+
+
+def repeated_windows(units: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the windows that come twice or more in joined strings of these sizes."""
+    n, k = len(units), len(sizes)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(k), sizes)
+    code = np.cumsum(np.bincount(units, minlength=256) > 0)[units] - 1 if units.dtype == np.uint8 else np.unique(units, return_inverse=True)[1]
+    # the values of the units from 2 on, the separator 1 behind each string, and one 0 at the end
+    coded = np.ones(n + k + 1, np.int64)
+    coded[np.arange(n) + owner] = code + 2
+    coded[-1] = 0
     sa = suffix_array(coded)
-    previous, shared = permuted_prefixes(coded, sa, length)
-    window = np.zeros(len(coded), bool)
-    owner = np.repeat(np.arange(len(strings)), sizes)
-    window[: len(text)] = np.arange(len(text)) - begins[owner] < np.asarray(spans)[owner]
+    _, shared = permuted_prefixes(coded, sa, length)
+    window = np.zeros(n + k + 1, bool)
+    starts = np.flatnonzero(np.arange(n) + length <= ends[owner]) if n else np.zeros(0, np.int64)
+    window[starts + owner[starts]] = True
     # a run of the array in which each shares a window's length with the one before holds copies of one window
     long = shared[sa] >= length
     run = np.cumsum(~long) - 1
     counts = np.bincount(run, window[sa].astype(np.float64))
-    found = np.zeros(len(coded), bool)
+    found = np.zeros(n + k + 1, bool)
     found[sa] = window[sa] & (counts[run] > 1)
-    hits = np.flatnonzero(found)
-    return np.split(hits - begins[owner[hits]] if len(hits) else hits, np.searchsorted(hits, begins[1:]))
+    return starts[found[starts + owner[starts]]]
 
 
-def runs(places: np.ndarray) -> list[tuple[int, int]]:
-    """Sorted places as runs of neighbours."""
-    if not len(places):
-        return []
-    cut = np.flatnonzero(np.diff(places) > 1) + 1
-    return [(int(x[0]), int(x[-1])) for x in np.split(places, cut)]
+def joined(strings: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings' units one after the other, each string's number of them, and the units' first and last byte in their string."""
+    data, lengths = np.frombuffer(b"".join(strings), np.uint8), np.fromiter(map(len, strings), np.int64, len(strings))
+    begins = np.cumsum(lengths) - lengths
+    if kind == BYTE_KIND:
+        inside = np.arange(len(data)) - np.repeat(begins, lengths)
+        return data, lengths, inside, inside + 1
+    words = words_of(data, lengths, Sums(_TABLE[data]))
+    return words.hashes, np.bincount(words.owner, minlength=len(strings)), words.begin - begins[words.owner], words.end - begins[words.owner]
+
+
+def stretches(starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted window starts as runs of neighbours within a string: string, first and last unit."""
+    owner = np.searchsorted(np.cumsum(sizes), starts, "right")
+    if not len(starts):
+        return owner, starts, starts
+    cut = np.flatnonzero((np.diff(starts) > 1) | (np.diff(owner) > 0)) + 1
+    first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(starts) - 1]])
+    return owner[first], starts[first], starts[last] + length - 1
+
 
+COVERED = "word boolean, file long, row long, low long, high long"
 
-def shard_windows(strings: DataFrame, length: int) -> DataFrame:
-    """Step 2. Input: anchor, alone, key, low, bytes; output: key, low, high of covered window starts in contexts that are alone."""
-    schema = "key long, low long, high long"
+
+def shard_windows(strings: DataFrame, sizes: Sizes) -> DataFrame:
+    """Step 2. Input: anchor, alone, file, row, low, bytes; output: word, file, row, low, high (bytes) of covered stretches in contexts that are alone."""
+    schema = pa.schema([("word", pa.bool_()), *[(c, pa.int64()) for c in ("file", "row", "low", "high")]])
 
     def run(batches):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "alone", "key", "low", "bytes")), strict=True):
-                if size >= SHARD_BYTES and held[-1][0] != row[0]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "alone", "file", "row", "low", "bytes")), strict=True):
+                if held and (size >= SHARD_BYTES and held[-1][0] != row[0] or (held[-1][0] ^ row[0]) & 1):
                     yield shard(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield shard(held)
 
     def shard(held: list[tuple]) -> pa.RecordBatch:
-        out = defaultdict(list)
-        found = repeated_windows([r[4] for r in held], [len(r[4]) - length + 1 for r in held], length)
-        for (_, alone, key, low, _), places in zip(held, found, strict=True):
-            for a, b in runs(places) if alone else ():
-                out["key"].append(key)
-                out["low"].append(low + a)
-                out["high"].append(low + b)
-        return pa.RecordBatch.from_arrays([pa.array(out[c], pa.int64()) for c in ("key", "low", "high")], names=["key", "low", "high"])
+        kind = held[0][0] & 1
+        units, counts, begin, end = joined([r[5] for r in held], kind)
+        of, first, last = stretches(repeated_windows(units, counts, sizes.length[kind]), counts, sizes.length[kind])
+        alone, file, row, low = (np.array([r[k] for r in held]) for k in (1, 2, 3, 4))
+        keep = alone[of]
+        of, first, last = of[keep], first[keep], last[keep]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(of), bool(kind))), pa.array(file[of]), pa.array(row[of]), pa.array(low[of] + begin[first]), pa.array(low[of] + end[last])], schema=schema)
 
-    return strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
+    return strings.repartition("anchor").sortWithinPartitions(F.col("anchor").bitwiseAND(1), "anchor").mapInArrow(run, COVERED)
 
 
-def digest_windows(strings: DataFrame, length: int) -> DataFrame:
-    """Step 3's rest. Input and output as for shard_windows: windows of contexts that are alone whose digest comes twice."""
+def halved_windows(strings: DataFrame, sizes: Sizes) -> DataFrame:
+    """Step 3. Input and output as for shard_windows. from_ and to are a range of windows, by the units between their start and the anchor."""
+    most = max(w - g for w, g in zip(sizes.length, sizes.gram, strict=True))
+    table = strings.select("*", F.lit(0).alias("from_"), F.lit(most).alias("to"))
+    done = None
+    schema = "file long, row long, low long, alone boolean, anchor long, from_ int, to int, inner long, whole long, first long, last long, bytes binary"
 
-    def work(batch: pa.RecordBatch) -> dict:
+    def digests(batch: pa.RecordBatch) -> dict:
         out = defaultdict(list)
-        for alone, key, low, text in zip(*(batch.column(c).to_pylist() for c in ("alone", "key", "low", "bytes")), strict=True):
-            for k in range(len(text) - length + 1):
-                for c, v in (("digest", xxhash.xxh3_128_digest(text[k : k + length])), ("alone", alone), ("key", key), ("low", low + k)):
-                    out[c].append(v)
-        return {c: out[c] for c in ("digest", "alone", "key", "low")}
-
-    windows = per_chunk(strings, work, "digest binary, alone boolean, key long, low long", "bytes", limit=HASH_BYTES)
-    twice = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    return windows.filter("alone").join(twice, "digest").select("key", "low", F.col("low").alias("high"))
-
-
-def cut_out(texts: list[bytes], covered: list[list], length: int) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
-    """What stays of each text, and the spans that go, from runs of covered window starts."""
-    kept, spans = [], []
-    for text, found in zip(texts, covered, strict=True):
-        gone: list[tuple[int, int]] = []
-        for low, high in sorted(found or ()):
-            if gone and low <= gone[-1][1]:
-                gone[-1] = (gone[-1][0], max(gone[-1][1], high + length))
-            else:
-                gone.append((low, high + length))
-        edges = [0, *(x for span in gone for x in span), len(text)]
-        kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-        spans.append(gone)
-    return kept, spans
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, spans (start and end of what goes) and kept (the bytes that stay) of every document."""
-    rows = keyed(docs)
-    table, hot = written(all_contexts(rows, length, gram, [])), []
-    counts = written(table.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "low", "high")).alias("one")))
+        for r in batch.to_pylist():
+            kind = r["anchor"] & 1
+            length, gram = sizes.length[kind], sizes.gram[kind]
+            units, _, begin, end = joined([r["bytes"]], kind)
+            sums = Sums(_TABLE[units] if kind == BYTE_KIND else units)
+            at = int(np.flatnonzero(anchored(sums.grams(gram), kind) == r["anchor"])[0])  # the leftmost: no window of the context reaches another before it
+            low, high = max(r["from_"], at - (len(units) - length)), min(r["to"], at, length - gram)
+            if low > high:
+                continue
+            raw = units.tobytes()
+            wide = units.itemsize
+            inner = raw[(at - r["from_"]) * wide : (at - min(r["to"], length - gram) + length) * wide]  # of all the range's windows, be they in this context or not
+            whole = raw[(at - high) * wide : (at - low + length) * wide]
+            name = f"{r['anchor']} {r['from_']} {r['to']} ".encode()
+            out["inner"].append(xxhash.xxh3_64_intdigest(name + inner) - (1 << 63))
+            out["whole"].append(xxhash.xxh3_64_intdigest(name + f"{low} {high} ".encode() + whole) - (1 << 63))
+            out["first"].append(int(begin[at - high]))
+            out["last"].append(int(end[at - low + length - 1]))
+            for c in ("file", "row", "low", "alone", "anchor", "from_", "to", "bytes"):
+                out[c].append(r[c])
+        return {c.split()[0]: out[c.split()[0]] for c in schema.split(", ")}
+
+    while not table.isEmpty():
+        both = written(per_chunk(table, digests, schema, "bytes", limit=HASH_BYTES))
+        shared = both.groupBy("anchor", "inner").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "inner")
+        equal = both.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "whole", F.lit(True).alias("equal"))
+        left = written(both.join(shared, ["anchor", "inner"], "left_semi").join(equal, ["anchor", "whole"], "left"))
+        covered = left.filter("equal and alone").select(F.col("anchor").bitwiseAND(1).cast("boolean").alias("word"), "file", "row", (F.col("low") + F.col("first")).alias("low"), (F.col("low") + F.col("last")).alias("high"))
+        done = covered if done is None else done.unionByName(covered)
+        middle = F.floor((F.col("from_") + F.col("to")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("from_").alias("f"), middle.alias("t")), F.struct((middle + 1).alias("f"), F.col("to").alias("t")))
+        some = left.filter("equal is null and from_ < to").withColumn("half", F.explode(halves))
+        table = written(some.select("anchor", "alone", "file", "row", "low", "bytes", F.col("half.f").alias("from_"), F.col("half.t").alias("to")))
+    return done if done is not None else strings.sparkSession.createDataFrame([], COVERED)
+
+
+def union_of(found: list[tuple[int, int]], text: bytes | None = None) -> list[tuple[int, int]]:
+    """Stretches that meet as one; with a text, also those with nothing but white space between."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(found):
+        if out and (low <= out[-1][1] or text is not None and not text[out[-1][1] : low].strip()):
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What stays of a text."""
+    edges = [0, *(x for span in spans for x in span), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = WORDS, word_gram: int = WORD_GRAM) -> DataFrame:
+    """doc_id, n_bytes, spans (start and end of what goes), kept (the bytes that stay) and passages (start and end of maximal stretches of words that
+    lie in strings of so many words which also start elsewhere) of every document."""
+    rows, sizes = keyed(docs), Sizes((length, words), (gram, word_gram))
+    table = written(all_contexts(rows, sizes))
+    one = [F.first(c).alias(c) for c in ("file", "row", "low", "high")]  # all four of one row
+    counts = written(table.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), *one))
     by_anchor = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least"))
-    most = max(HOT, table.count() // HOT_SHARE)
-    hot = [r["anchor"] for r in by_anchor.filter(F.col("different") > most).select("anchor").collect()]  # at most HOT_SHARE
-    if hot:
-        table = written(all_contexts(rows, length, gram, hot))
-        counts = written(table.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "low", "high")).alias("one")))
-        by_anchor = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least"))
     twice = counts.filter("n > 1").select("anchor", "digest")
-    whole = table.join(twice, ["anchor", "digest"]).select("key", "low", "high")
-    unsure = by_anchor.filter("different > 1 and least = 1").select("anchor")
-    wanted = counts.join(unsure, "anchor").select("anchor", (F.col("n") == 1).alias("alone"), "one.*")
-    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "alone", "low", "high")).alias("wanted"))
+    whole = table.join(twice, ["anchor", "digest"]).select(F.col("anchor").bitwiseAND(1).cast("boolean").alias("word"), "file", "row", "low", "high")
+    unsure = written(by_anchor.filter("different > 1 and least = 1").select("anchor", (F.col("different") > HOT).alias("hot")))
+    wanted = counts.join(unsure, "anchor").select("anchor", "hot", (F.col("n") == 1).alias("alone"), "file", "row", "low", "high")
+    per_text = wanted.groupBy("file", "row").agg(F.collect_list(F.struct("anchor", "hot", "alone", "low", "high")).alias("wanted"))
 
     def bytes_of(batch: pa.RecordBatch) -> dict:
         out = defaultdict(list)
-        for key, text, some in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "wanted")), strict=True):
+        for file, row, text, some in zip(*(batch.column(c).to_pylist() for c in ("file", "row", "text", "wanted")), strict=True):
             for x in some:
-                for c, v in (("anchor", x["anchor"]), ("alone", x["alone"]), ("key", key), ("low", x["low"]), ("bytes", text[x["low"] : x["high"] + length])):
+                for c, v in (("anchor", x["anchor"]), ("hot", x["hot"]), ("alone", x["alone"]), ("file", file), ("row", row), ("low", x["low"]), ("bytes", text[x["low"] : x["high"]])):
                     out[c].append(v)
-        return {c: out[c] for c in ("anchor", "alone", "key", "low", "bytes")}
-
-    strings = per_chunk(rows.join(per_text.hint("merge"), "key").select("key", "text", "wanted"), bytes_of, "anchor long, alone boolean, key long, low long, bytes binary")
-    still = by_anchor.filter(F.col("different") > most).select("anchor") if hot else None  # at most HOT_SHARE
-    if still is not None and not still.isEmpty():
-        strings, still = written(strings), F.broadcast(written(still))
-        some = digest_windows(strings.join(still, "anchor", "left_semi"), length)
-        alone = written(shard_windows(strings.join(still, "anchor", "left_anti"), length).unionByName(some))
+        return {c: out[c] for c in ("anchor", "hot", "alone", "file", "row", "low", "bytes")}
+
+    fetched = rows.join(per_text.hint("merge"), ["file", "row"]).select("file", "row", "text", "wanted")
+    strings = per_chunk(fetched, bytes_of, "anchor long, hot boolean, alone boolean, file long, row long, low long, bytes binary")
+    if unsure.filter("hot").isEmpty():
+        alone = written(shard_windows(strings, sizes))
     else:
-        alone = written(shard_windows(strings, length))
-    covered = whole.unionByName(alone).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("covered"))
+        strings = written(strings)
+        alone = written(shard_windows(strings.filter("not hot"), sizes).unionByName(halved_windows(strings.filter("hot").drop("hot"), sizes)))
+    covered = whole.unionByName(alone).groupBy("file", "row").agg(F.collect_list(F.struct("word", "low", "high")).alias("covered"))
 
     def cut(batch: pa.RecordBatch) -> dict:
         raw = batch.column("text").to_pylist()
-        found = [[(x["low"], x["high"]) for x in c or ()] for c in batch.column("covered").to_pylist()]
-        kept, spans = cut_out(raw, found, length)
-        return {"doc_id": batch.column("doc_id"), "n_bytes": [len(t) for t in raw], "spans": [[{"start": a, "end": b} for a, b in s] for s in spans], "kept": kept}
-
-    joined = rows.join(covered.hint("merge"), "key", "left").select("doc_id", "text", "covered")
-    return per_chunk(joined, cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+        out: dict[str, list] = {"spans": [], "kept": [], "passages": []}
+        for text, found in zip(raw, batch.column("covered").to_pylist(), strict=True):
+            spans = union_of([(x["low"], x["high"]) for x in found or () if not x["word"]])
+            again = union_of([(x["low"], x["high"]) for x in found or () if x["word"]], text)
+            out["kept"].append(cut_out(text, spans))
+            for name, some in (("spans", spans), ("passages", again)):
+                out[name].append([{"start": a, "end": b} for a, b in some])
+        return {"doc_id": batch.column("doc_id"), "n_bytes": [len(t) for t in raw], **out}
+
+    both = rows.join(covered.hint("merge"), ["file", "row"], "left").select("doc_id", "text", "covered")
+    return per_chunk(both, cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, passages array<struct<start: long, end: long>>")

@@ -2,7 +2,8 @@
 
 Texts of Latin-1 characters go a short way that gives the tokenizer's own ids: for these characters normalisation is
 lower-casing, and every match of the pre-tokenizer's pattern is encoded by the tokenizer's model and kept by word.
-All other texts go through the tokenizer as they are.
+All other texts, and those that hold an added token's characters (which the tokenizer's default call gives that token's id), go through the tokenizer as
+they are.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class WordBpe(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
 
@@ -49,12 +50,17 @@ class WordBpe(dict):
             self[word] = ids
         return ids
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.whole(text)
+        if self.special.search(text):
+            return self.whole(text)
         return b"".join(map(self.__getitem__, PATTERN.findall(text.lower())))
 
 

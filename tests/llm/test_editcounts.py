@@ -1,9 +1,10 @@
+import hashlib
 import random
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, editcounts
+from millrace.llm import bytebpe, editcounts, queries
 from tests.llm.tables import rows, table, words
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -35,6 +36,23 @@ def test_only_touched_leaves_are_encoded():
     assert 0 < sum(seen) < 1500
 
 
+def test_registered_edits(spark):
+    """The query's own script: every row against whole encodings of both texts, and less than 15 % of the edited characters encoded again."""
+    small = "/root/testdata/sf0.001"
+    whole = bytebpe.encoding(RANKS, PATTERN)
+    expected = {}
+    for x in spark.read.parquet(f"{small}/documents.parquet").collect():
+        t = x["text"] or ""
+        n, new = len(t), t
+        for at, removed, inserted in ((n // 6, 16, t[-12:]), (n // 2, 9, ""), (n * 5 // 6, 0, "\n" + t[:24]), (n + 24, 0, " edited")):
+            at = min(at, len(new))
+            new = new[:at] + inserted + new[at + removed :]
+        expected[x["doc_id"]] = (n, len(whole.encode_ordinary(t)), len(new), len(whole.encode_ordinary(new)), hashlib.sha256(new.encode()).hexdigest())
+    found = queries.op7_edit_aware_counts(spark, small).collect()
+    assert {x["doc_id"]: (x["n_chars"], x["n_tokens"], x["edited_chars"], x["edited_tokens"], x["edited_sha256"]) for x in found} == expected
+    assert sum(x["encoded_chars"] for x in found) < 0.15 * sum(x["edited_chars"] for x in found)
+
+
 def test_query_form(spark):
     docs = rows()
     trees = editcounts.count_trees(table(spark, docs), RANKS, PATTERN)

@@ -63,6 +63,19 @@ def test_large_group_in_one_task(spark):
     assert Counter((x["doc_id"], x["class_id"], x["n_links"]) for x in found) == brute(docs)
 
 
+def test_many_rows_of_one_id(spark):
+    """A thousand rows of one doc_id and a thousand without: texts are found by row, not by id."""
+    r = random.Random(9)
+    base = words(r, 60).split(" ")
+
+    def near(k: int) -> str:
+        return " ".join([*base[:30], f"w{k % 40}", *base[31:]])
+
+    docs = [(5 if k % 2 else None, near(k) if k % 10 == 0 else words(random.Random(k), 12)) for k in range(2000)] + [(7, near(1)), (8, near(2))]
+    found = jaccard.jaccard_join(table(spark, docs)).collect()
+    assert Counter((x["doc_id"], x["class_id"], x["n_links"]) for x in found) == brute(docs)
+
+
 def test_least_matches():
     assert jaccard.least_matches(128, 0.8, 1e-7) < 102 and jaccard.least_matches(32, 0.8, 1e-7) > 5
 

@@ -41,10 +41,9 @@ def test_plan_fills_exactly():
 
 
 def test_pack(spark):
-    docs = rows()
+    docs = [*rows(), (82, "hello <|endoftext|> world"), (83, "<|startoftext|>é <|ENDOFTEXT|> <|endoftext|><|endoftext|>")]
     found = packing.pack(table(spark, docs), PATH, max_len=256, carry={"ids_crc32": F.crc32("ids")}).collect()
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     expected = Counter()
     for doc_id, text in docs:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
@@ -52,6 +51,7 @@ def test_pack(spark):
             part = ids[start : start + 256]
             expected[doc_id, start // 256, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
     assert Counter((x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in found) == expected
+    assert next(x["length"] for x in found if x["doc_id"] == 82) == 4  # the contract's plain call gives a literal token its own id: three ids and the end id
     places = defaultdict(list)
     for x in found:
         places[x["sequence_id"]].append((x["offset"], x["length"]))
