@@ -7,15 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact, jaccard, packing, pii, quality
-from millrace.llm.common import located, shared_folder, written
+from millrace.llm.common import discard, located, made, shared_folder, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the classifier's threshold go; it learns from the labels of this stage's documents."""
-    docs = located(docs)
-    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("_place",))
-    good = scored.filter(F.col("score") >= quality.THRESHOLD).select("_place")
-    return docs.join(good.hint("merge"), "_place", "left_semi").drop("_place")
+    docs, place = located(docs)
+    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=(place,))
+    good = scored.filter(F.col("score") >= quality.THRESHOLD).select(place)
+    return docs.join(good.hint("merge"), place, "left_semi").drop(place)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,10 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similarity 0.8 or more join, the one with the least doc_id stays."""
-    docs = located(docs)
-    group = jaccard.jaccard_join(docs, carry=("_place",))
-    first = group.groupBy("label").agg(F.min(F.struct("doc_id", "_place")).alias("stay")).select(F.col("stay._place").alias("_place"))
-    return docs.join(first.hint("merge"), "_place", "left_semi").drop("_place")
+    docs, place = located(docs)
+    group = jaccard.jaccard_join(docs, carry=(place,))
+    first = group.groupBy("label").agg(F.min(F.struct("doc_id", place)).alias("stay")).select(F.col("stay")[place].alias(place))
+    return docs.join(first.hint("merge"), place, "left_semi").drop(place)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for k, (_, stage) in enumerate(STAGES):
+        before = made()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, shared_folder(spark))
+            mine = [f for f in made() if f not in before]
+            old, folder = folder, shared_folder(spark)
+            docs = written(docs, folder)
+            discard(spark, mine + ([old] if old else []))  # what this stage made on its way, and what it read
     return docs
