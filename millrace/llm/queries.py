@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and SQL for those that SQL can express."""
+"""The registered queries of this subpackage."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, editcounts, exact, fingerprints, jaccard, packing, pii, quality, sharding, substrings
+from millrace.llm import bytebpe, editcounts, exact, fingerprints, jaccard, oracles, packing, pii, quality, sharding, substrings
 from millrace.llm.common import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -95,8 +95,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_exact_dedup": """
-            WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-                 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
-            SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+        "op3_exact_dedup": oracles.DEDUP,
+        "op5_suffix_array_dedup": oracles.repeats(),
+        "op6_byte_shards": oracles.shards(SHARDS),
+        "op8_ngram_jaccard_join": oracles.join(),
     }
