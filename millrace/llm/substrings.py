@@ -10,7 +10,8 @@ of one anchor are neighbours; together they are its context, a stretch of at mos
 
 1. Contexts that are equal as a whole are counted by digest; what comes twice or more is covered.
 2. Contexts that are alone, but share their anchor with others, go with one copy of each of these to a shard by the anchor's hash.
-   There the suffix array is induced (leftmost smaller substrings sorted recursively, then both scans), permuted common prefixes
+   What no other context of the anchor can share is left out (by halving as in step 3, a few times); of the rest
+   the suffix array is induced (leftmost smaller substrings sorted recursively, then both scans), permuted common prefixes
    are computed, and every window that shares its whole length with a neighbour in order is covered.
 3. Contexts of an anchor under which more than HOT different ones meet (a line or phrase that a large part of all documents has) never
    meet in a task: their windows, by the anchor's place in them, are halved again and again. Of each range of windows the units
@@ -44,7 +45,9 @@ from millrace.llm.suffix import permuted_prefixes, suffix_array
 
 #: Bytes that are removed together, and bytes of their anchors; words of a passage ("over fifty"), and of their anchors.
 LENGTH, GRAM = 400, 128
-WORDS, WORD_GRAM = 51, 16
+WORDS, WORD_GRAM = 51, 12
+#: Halvings of a context's range of windows before a suffix array is made of what can share a window at all.
+LEVELS = 5
 #: Different contexts of an anchor above which it is hot (about ten megabytes of text).
 HOT = 20_000
 #: Bytes of text hashed at once: so much that the arrays stay in a processor's cache.
@@ -218,6 +221,41 @@ def stretches(starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.nd
     return owner[first], starts[first], starts[last] + length - 1
 
 
+def shareable(sums: Sums, counts: np.ndarray, anchors: np.ndarray, length: int, gram: int, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of the strings (contexts with their anchors' hashes, at least one unit each) whose windows another string of the same anchor can have:
+    string, first unit, end. A range of windows, by the units between their start and the anchor, is halved LEVELS times; what all windows of
+    a range have in common must be in another string too."""
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    grams = anchored(sums.grams(gram), kind)
+    owner = np.repeat(np.arange(len(counts)), counts)[: len(grams)]
+    places = np.flatnonzero(grams == anchors[owner])
+    at = np.full(len(counts), len(grams), np.int64)
+    np.minimum.at(at, owner[places], places)  # the leftmost: no window of the context reaches another one before it
+    most = length - gram
+    least, top = np.maximum(0, at - (ends - length)), np.minimum(most, at - begins)
+    string = np.flatnonzero(least <= top)
+    low, high = np.zeros(len(string), np.int64), np.full(len(string), most)
+    _, group = np.unique(anchors, return_inverse=True)
+    for _ in range(LEVELS):
+        middle = (low + high) // 2
+        string, low, high = np.concatenate([string, string]), np.concatenate([low, middle + 1]), np.concatenate([middle, high])
+        there = (low <= high) & (low <= top[string]) & (high >= least[string])
+        string, low, high = string[there], low[there], high[there]
+        digest = mix(sums.of(at[string] - low, at[string] - high + length) + mix(group[string].astype(np.uint64) << np.uint64(16) | low.astype(np.uint64)))
+        _, index, n = np.unique(digest, return_inverse=True, return_counts=True)
+        common = n[index] > 1
+        string, low, high = string[common], low[common], high[common]
+    low, high = np.maximum(low, least[string]), np.minimum(high, top[string])
+    order = np.lexsort((low, string))
+    string, low, high = string[order], low[order], high[order]
+    if not len(string):
+        return string, low, high
+    new = np.concatenate([[True], (string[1:] != string[:-1]) | (low[1:] > high[:-1] + 1)])
+    first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(string)) - 1
+    return string[first], at[string[first]] - high[last], at[string[first]] - low[first] + length
+
+
 COVERED = "word boolean, file long, row long, low long, high long"
 
 
@@ -240,9 +278,13 @@ def shard_windows(strings: DataFrame, sizes: Sizes) -> DataFrame:
 
     def shard(held: list[tuple]) -> pa.RecordBatch:
         kind = held[0][0] & 1
+        anchors, alone, file, row, low = (np.array([r[k] for r in held]) for k in range(5))
         units, counts, begin, end = joined([r[5] for r in held], kind)
-        of, first, last = stretches(repeated_windows(units, counts, sizes.length[kind]), counts, sizes.length[kind])
-        alone, file, row, low = (np.array([r[k] for r in held]) for k in (1, 2, 3, 4))
+        whole, starts, ends = shareable(Sums(_TABLE[units] if kind == BYTE_KIND else units), counts, anchors, sizes.length[kind], sizes.gram[kind], kind)
+        width = ends - starts
+        index = np.repeat(starts - (np.cumsum(width) - width), width) + np.arange(width.sum())  # of the stretches' units
+        part, first, last = stretches(repeated_windows(units[index], width, sizes.length[kind]), width, sizes.length[kind])
+        of, first, last = whole[part], index[first], index[last]
         keep = alone[of]
         of, first, last = of[keep], first[keep], last[keep]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(of), bool(kind))), pa.array(file[of]), pa.array(row[of]), pa.array(low[of] + begin[first]), pa.array(low[of] + end[last])], schema=schema)

@@ -128,21 +128,24 @@ def suffix_array(text: np.ndarray, alphabet: int | None = None) -> np.ndarray:
     return _induced(text, smaller, lms[order], buckets)
 
 
-def words(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as one value; bytes after the end are 0."""
-    value = data.astype(np.uint64)
-    for bits, width in ((8, 1), (16, 2), (32, 4)):
+def words(data: np.ndarray) -> tuple[np.ndarray, int]:
+    """As many values from each place on as go into 64 bits (2, 4 or 8, by the largest) as one value, and how many; those after the end are 0."""
+    bits = int(data.max()).bit_length()
+    many = 8 if bits <= 8 else 4 if bits <= 16 else 2
+    value, width = data.astype(np.uint64), 1
+    while width < many:
         shifted = np.zeros_like(value)
         shifted[:-width] = value[width:]
-        value = value << np.uint64(bits) | shifted
-    return value
+        value = value << np.uint64(64 // many * width) | shifted
+        width *= 2
+    return value, many
 
 
 def permuted_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the suffix before it in order (-1 for the first) and the bytes they share, counted up to about most.
+    """For each place the suffix before it in order (-1 for the first) and the values they share, counted up to about most.
 
     Only irreducible places (whose left neighbour differs from that of the suffix before) are compared; from one of them on,
-    the prefixes of the following places are each one byte shorter.
+    the prefixes of the following places are each one value shorter.
     """
     n = len(text)
     previous = np.full(n, -1, np.int64)
@@ -153,7 +156,7 @@ def permuted_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.n
     reducible[1:][inner] = text[:-1][inner] == text[previous[1:][inner] - 1]
     reducible[1:] &= previous[1:] == previous[:-1] + 1
     places = np.flatnonzero(~reducible & (previous >= 0))
-    eight = words(text)
+    packed, many = words(text)
     shared = np.zeros(n, np.int64)
     x, y = places, previous[places]
     # a reducible place needs its own prefix up to most, so an irreducible one is compared as far as its run is long besides
@@ -166,19 +169,19 @@ def permuted_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.n
         p, q = x[alive] + step, y[alive] + step
         inside = (p < n) & (q < n)
         differ = np.ones(len(alive), bool)
-        differ[inside] = eight[p[inside]] != eight[q[inside]]
+        differ[inside] = packed[p[inside]] != packed[q[inside]]
         ended = alive[differ]
         if len(ended):
             p, q, extra = x[ended] + step, y[ended] + step, np.zeros(len(ended), np.int64)
             going = np.ones(len(ended), bool)
-            for k in range(8):
+            for k in range(many):
                 ok = going & (p + k < n) & (q + k < n)
                 ok[ok] = text[p[ok] + k] == text[q[ok] + k]
                 extra[ok] += 1
                 going = ok
             shared[x[ended]] = step + extra
         alive = alive[~differ]
-        step += 8
+        step += many
         far = limit[x[alive]] <= step
         shared[x[alive[far]]] = step
         alive = alive[~far]

@@ -57,6 +57,24 @@ def test_suffix_array_and_prefixes():
             assert previous[b] == a and min(shared[b], 20) == min(same, 20)
 
 
+@pytest.mark.parametrize("kinds", [300, 5000, 100_000])
+def test_large_alphabets(kinds):
+    """Prefixes of values that don't fit in a byte: repeats of a few stretches, and values that differ in high bits only."""
+    r = np.random.default_rng(kinds)
+    some = [r.integers(1, kinds, 40) for _ in range(5)] + [np.array([1, 257, 1, 513, 257, 256, 1, 512]) % kinds + 1]
+    text = np.concatenate([some[k] for k in r.integers(0, 6, 60)])
+    text = np.append(np.unique(text, return_inverse=True)[1] * (kinds // 300) + 1, 0)
+    sa = suffix.suffix_array(text)
+    values = text.tolist()
+    assert sa.tolist() == sorted(range(len(values)), key=lambda i: values[i:])
+    previous, shared = suffix.permuted_prefixes(text, sa, 60)
+    for a, b in zip(sa[:-1], sa[1:], strict=True):
+        same = 0
+        while max(a, b) + same < len(values) and values[a + same] == values[b + same]:
+            same += 1
+        assert previous[b] == a and min(shared[b], 60) == min(same, 60)
+
+
 def test_long_run_of_one_letter():
     assert suffix.suffix_array(np.append(np.ones(3000, np.int64), 0)).tolist() == list(range(3000, -1, -1))
 
