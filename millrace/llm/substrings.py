@@ -48,12 +48,12 @@ LENGTH, GRAM = 400, 128
 WORDS, WORD_GRAM = 51, 12
 #: Halvings of a context's range of windows before a suffix array is made of what can share a window at all.
 LEVELS = 5
-#: Different contexts of an anchor above which it is hot (about ten megabytes of text).
-HOT = 20_000
+#: Different contexts of an anchor above which it is hot (two or three megabytes of text).
+HOT = 5_000
 #: Bytes of text hashed at once: so much that the arrays stay in a processor's cache.
 HASH_BYTES = 1 << 19
-#: Bytes of text of a suffix array.
-SHARD_BYTES = 4 << 20
+#: Bytes of contexts that are halved together, and bytes of what is left of them for a suffix array.
+HALVED_BYTES, SHARD_BYTES = 1 << 20, 2 << 20
 BASE = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 BYTE_KIND, WORD_KIND = 0, 1
@@ -87,7 +87,7 @@ class Sums:
     """Running sums of values times powers: the hash of any stretch is a difference of two, brought to a common power and mixed."""
 
     def __init__(self, values: np.ndarray):
-        up, self.down = _powers(max(len(values), 1 << 20))
+        up, self.down = _powers(1 << max(20, (len(values) - 1).bit_length()))
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * up[: len(values)], out=self.sums[1:])
 
@@ -264,27 +264,35 @@ def shard_windows(strings: DataFrame, sizes: Sizes) -> DataFrame:
     schema = pa.schema([("word", pa.bool_()), *[(c, pa.int64()) for c in ("file", "row", "low", "high")]])
 
     def run(batches):
-        held: list[tuple] = []
-        size = 0
+        contexts_, size, kind = [], 0, BYTE_KIND  # whole anchors' contexts, of one kind
+        held, left = [], 0  # what they can share, for the next suffix array
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "alone", "file", "row", "low", "bytes")), strict=True):
-                if held and (size >= SHARD_BYTES and held[-1][0] != row[0] or (held[-1][0] ^ row[0]) & 1):
-                    yield shard(held)
-                    held, size = [], 0
-                held.append(row)
+                if contexts_ and (size >= HALVED_BYTES and contexts_[-1][0] != row[0] or kind != row[0] & 1):
+                    some = parts(contexts_, kind)
+                    held, left = held + some, left + sum(len(x[4]) for x in some)
+                    contexts_, size = [], 0
+                    if held and (left >= SHARD_BYTES or kind != row[0] & 1):
+                        yield shard(held, kind)
+                        held, left = [], 0
+                kind = row[0] & 1
+                contexts_.append(row)
                 size += len(row[5])
-        if held:
-            yield shard(held)
-
-    def shard(held: list[tuple]) -> pa.RecordBatch:
-        kind = held[0][0] & 1
-        anchors, alone, file, row, low = (np.array([r[k] for r in held]) for k in range(5))
-        units, counts, begin, end = joined([r[5] for r in held], kind)
-        whole, starts, ends = shareable(Sums(_TABLE[units] if kind == BYTE_KIND else units), counts, anchors, sizes.length[kind], sizes.gram[kind], kind)
-        width = ends - starts
-        index = np.repeat(starts - (np.cumsum(width) - width), width) + np.arange(width.sum())  # of the stretches' units
-        part, first, last = stretches(repeated_windows(units[index], width, sizes.length[kind]), width, sizes.length[kind])
-        of, first, last = whole[part], index[first], index[last]
+        if held := held + parts(contexts_, kind):
+            yield shard(held, kind)
+
+    def parts(rows: list[tuple], kind: int) -> list[tuple]:
+        """alone, file, row, low, bytes of what the contexts can share."""
+        if not rows:
+            return []
+        units, counts, begin, end = joined([r[5] for r in rows], kind)
+        of, first, last = shareable(Sums(_TABLE[units] if kind == BYTE_KIND else units), counts, np.array([r[0] for r in rows]), sizes.length[kind], sizes.gram[kind], kind)
+        return [(*rows[k][1:4], rows[k][4] + a, rows[k][5][a:b]) for k, a, b in zip(of.tolist(), begin[first].tolist(), end[last - 1].tolist(), strict=True)]
+
+    def shard(held: list[tuple], kind: int) -> pa.RecordBatch:
+        units, counts, begin, end = joined([r[4] for r in held], kind)
+        of, first, last = stretches(repeated_windows(units, counts, sizes.length[kind]), counts, sizes.length[kind])
+        alone, file, row, low = (np.array([r[k] for r in held]) for k in range(4))
         keep = alone[of]
         of, first, last = of[keep], first[keep], last[keep]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(of), bool(kind))), pa.array(file[of]), pa.array(row[of]), pa.array(low[of] + begin[first]), pa.array(low[of] + end[last])], schema=schema)
