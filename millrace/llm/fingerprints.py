@@ -7,8 +7,8 @@ the digests that only one version has. If some stay, both are sketched again twi
 ends (after TRIES doublings the exact difference is taken). Likeness is the share of paragraphs in common:
 (paragraphs of both) / (paragraphs of either).
 
-Each text's first sketch is returned whole, and in short (a hash of it) as the fingerprint; kept sketches of any two versions subtract and
-peel without their texts (sketch_differences), unless they differ in too many paragraphs.
+Each text's first sketch is its fingerprint (in base64): those of any two versions subtract and peel without their texts
+(sketch_differences), unless they differ in too many paragraphs. Likeness is taken from them, and from larger sketches where they are too small.
 
 All pairs of a batch are sketched and peeled at once: each pair has its own stretch of one array of cells.
 
@@ -19,7 +19,7 @@ follow each other; extra columns are dropped; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
+import base64
 
 import numpy as np
 import pyarrow as pa
@@ -98,13 +98,6 @@ def sketch(digests: np.ndarray, starts: np.ndarray, cells: int = CELLS) -> tuple
     return count.reshape(n, cells), keys.reshape(n, cells), checks.reshape(n, cells)
 
 
-def fingerprints(digests: np.ndarray, starts: np.ndarray) -> list[str]:
-    """Each text's sketch (counts, keys, checks) in short: a hash of its cells, behind its number of paragraphs."""
-    count, keys, checks = sketch(digests, starts)
-    rows = np.concatenate([count.astype("<u8"), keys.astype("<u8"), checks.astype("<u8")], axis=1)
-    return [f"{n:x}-{hashlib.blake2b(row.tobytes(), digest_size=16).hexdigest()}" for n, row in zip(np.diff(starts).tolist(), rows, strict=True)]
-
-
 def peeled(count: np.ndarray, keys: np.ndarray, checks: np.ndarray, where: np.ndarray, base: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(pair, digest, sign) of what subtracted cells give, and for each pair whether some stay. where: each cell's pair; the cells are changed."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
@@ -131,6 +124,15 @@ def sketches(digests: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in np.concatenate([x.astype("<u8") for x in sketch(digests, starts)], axis=1)]
 
 
+def fingerprint_of(kept: bytes) -> str:
+    """A kept sketch as text, from which sketch_of() gives it back."""
+    return base64.b64encode(kept).decode()
+
+
+def sketch_of(fingerprint: str) -> bytes:
+    return base64.b64decode(fingerprint)
+
+
 def sketch_differences(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(pair, digest, sign) from two lists of kept sketches alone, and the pairs for which they are too small: those need differences() of the texts."""
     n = len(a)
@@ -141,11 +143,11 @@ def sketch_differences(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.n
     return of[~rest[of]], digest[~rest[of]], signs[~rest[of]], np.flatnonzero(rest)
 
 
-def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = CELLS, tries: int = TRIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The digests that only one text of a pair has: (pair, digest, 1 if the first has it, else -1), as three arrays."""
+def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = CELLS, tries: int = TRIES, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The digests that only one text of a pair has: (pair, digest, 1 if the first has it, else -1), as three arrays. left: numbers of the pairs to look at."""
     n = len(a[1]) - 1
     recovered = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-    left = np.arange(n)
+    left = np.arange(n) if left is None else left
     width = np.full(n, cells, np.int64)
     for _ in range(tries):
         if not len(left):
@@ -179,10 +181,15 @@ def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarra
     return of, digest, signs
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Paragraphs of both over paragraphs of either, for each pair."""
-    of, _, signs = differences(a, b)
-    n = np.diff(a[1])
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], one: list[bytes] | None = None, two: list[bytes] | None = None) -> np.ndarray:
+    """Paragraphs of both over paragraphs of either, for each pair: from the kept sketches one and two, which are subtracted and peeled, and, for pairs that
+    they are too small for, from sketches of the paragraphs a and b that are twice as large, and so on."""
+    one, two = one or sketches(*a), two or sketches(*b)
+    of, _, signs, left = sketch_differences(one, two)
+    if len(left):
+        more, _, more_signs = differences(a, b, 2 * CELLS, TRIES - 1, left)
+        of, signs = np.concatenate([of, more]), np.concatenate([signs, more_signs])
+    n = np.frombuffer(b"".join(one), "<u8").reshape(-1, 3 * CELLS)[:, :CELLS].sum(1).astype(np.int64) // HASHES  # paragraphs, by the sketch's counts
     first, second = np.bincount(of, signs > 0, len(n)), np.bincount(of, signs < 0, len(n))
     either = n + second
     return np.where(either > 0, (n - first) / np.maximum(either, 1), 1.0)
@@ -227,7 +234,9 @@ def fingerprint(docs: DataFrame, parts: int | None = None) -> DataFrame:
     def work(ids: list, own: list[str], after: list[str]) -> pa.RecordBatch:
         new = [edited(t, f) for t, f in zip(own, after, strict=True)]
         one, two, three = (paragraphs([t.encode() for t in x]) for x in (own, new, after))
-        values = [ids, list(map(len, own)), new, fingerprints(*one), fingerprints(*two), likeness(one, two), likeness(one, three), sketches(*one), sketches(*two)]
+        kept = [sketches(*x) for x in (one, two, three)]
+        prints = [list(map(fingerprint_of, x)) for x in kept[:2]]
+        values = [ids, list(map(len, own)), new, *prints, likeness(one, two, *kept[:2]), likeness(one, three, kept[0], kept[2]), *kept[:2]]
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     def run(batches):

@@ -54,6 +54,28 @@ def test_fingerprint(spark):
     assert all(len(p) == 1 for p in prints.values()) and len(set.union(*prints.values())) == len({t.strip() for t in prints})
 
 
+def test_likeness_against_sets(spark):
+    """Every row's two likenesses and fingerprints against plain sets of its paragraphs; fingerprints alone give the likeness where the difference is small."""
+    docs = [(k, t) for k, (_, t) in enumerate(rows())]
+    found = {x["doc_id"]: x for x in fp.fingerprint(table(spark, docs), parts=2).collect()}
+
+    def digests(text):
+        return set(fp.paragraphs([text.encode()])[0].tolist())
+
+    def near(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for k, t in docs:
+        own, new, after = digests(t or ""), digests(found[k]["edited"]), digests(docs[(k + 1) % len(docs)][1] or "")
+        assert abs(found[k]["near_edited"] - near(own, new)) < 1e-12 and abs(found[k]["near_next"] - near(own, after)) < 1e-12
+        one, two = fp.sketch_of(found[k]["fingerprint"]), fp.sketch_of(found[k]["edited_fingerprint"])
+        of, digest, sign, left = fp.sketch_differences([one], [two])
+        if not len(left):
+            assert {d for d, s in zip(digest.tolist(), sign.tolist(), strict=True) if s > 0} == own - new
+            assert {d for d, s in zip(digest.tolist(), sign.tolist(), strict=True) if s < 0} == new - own
+    assert any(len(digests(t or "")) > 24 for _, t in docs)
+
+
 def test_likeness_of_an_edit():
     r = random.Random(4)
     a, b = words(r, 400), words(r, 400)
