@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -66,6 +67,22 @@ def clip(text: Column, limit: int = 80) -> Column:
     return F.when(F.char_length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 1), F.lit("…")))
 
 
+#: Decimal digits of all scripts, and the ASCII digit that each stands for: by Unicode's own table.
+DIGITS = "".join(chr(c) for c in range(128, 0x110000) if unicodedata.category(chr(c)) == "Nd")
+ASCII_DIGITS = "".join(str(unicodedata.digit(c)) for c in DIGITS)
+
+
+def ascii_digits(text: Column) -> Column:
+    """The text with ASCII digits for those of other scripts (full-width ones, say)."""
+    return F.translate(text, DIGITS, ASCII_DIGITS)
+
+
+def utc_stamp(seconds: bool = True) -> Column:
+    """The query's time as ISO text in UTC, or its date for file names."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.concat(F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")) if seconds else F.date_format(now, "yyyyMMdd")
+
+
 def number_text(value: Column) -> Column:
     """A number of up to six digits in its shortest form: 9.0 as 9."""
     return F.regexp_replace(value.cast("string"), r"\.0$", "")
@@ -104,15 +121,28 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
-def digest_rank(df: DataFrame, digest: str, name: str = "rank", within: Sequence[str] = ()) -> DataFrame:
-    """Numbers rows from 1 in the order of a hex digest, in the whole table or within groups, without one task for all.
-
-    Digests are dealt to buckets by their first four letters; a bucket's first number is the count of all rows in buckets before
-    it, and inside a bucket rows are numbered by a window. Bucket counts are at most 65,536 to a group.
-    """
-    keyed = df.withColumn("_bucket", F.substring(digest, 1, 4))
+def bucket_rank(df: DataFrame, bucket: Column, order: Sequence[str], name: str, within: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Numbers rows from 1 by bucket, then order, in the whole table or within groups: a bucket's first number is the count of all rows in
+    buckets before it, and inside a bucket rows are numbered by a window. total: name of a column with the group's number of rows."""
+    keyed = df.withColumn("_bucket", bucket)
     keys = [*within, "_bucket"]
     counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(*keys, (F.sum("_n").over(Window.partitionBy(*within).orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(digest))
+    group = Window.partitionBy(*within)
+    before = counts.select(*keys, (F.sum("_n").over(group.orderBy("_bucket")) - F.col("_n")).alias("_before"), *([F.sum("_n").over(group).alias(total)] if total else []))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return keyed.withColumn("_inside", inside).join(before, keys).withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_bucket", "_inside", "_before")
+
+
+def digest_rank(df: DataFrame, digest: str, name: str = "rank", within: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Numbers rows from 1 in the order of a hex digest, in the whole table or within groups, without one task for all.
+
+    Digests are dealt to buckets by their first four letters, so bucket counts are at most 65,536 to a group.
+    """
+    return bucket_rank(df, F.substring(digest, 1, 4), [digest], name, within, total)
+
+
+def ordered_rank(df: DataFrame, key: str, name: str = "rank", buckets: int = 1024) -> DataFrame:
+    """Numbers rows from 1 in the order of a number without repeats: buckets are cut at its approximate quantiles (the driver holds the cuts alone)."""
+    found = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 10_000).alias("cuts")).first()["cuts"]
+    cuts = F.array(*map(F.lit, sorted(set(found or ()))))
+    return bucket_rank(df, F.size(F.filter(cuts, lambda c: c <= F.col(key))), [key], name)

@@ -129,14 +129,16 @@ CASCADES = {
 ISTHMUS = "峡部"
 NO_DIMENSIONS = ("未给出结节径线", "具体大小无法", "大小无法获得", "径线及纵横形态")
 ANCHORS = ("甲状腺", "结节", "峡部")
-NUMBER = r"[0-9]+(?:\.[0-9]+)?"
-DIMENSIONS = rf"({NUMBER})\s*(?:mm)?\s*[×xX*]\s*({NUMBER})(?:\s*(?:mm)?)(?:\s*[×xX*]\s*({NUMBER}))?\s*(mm|cm)?"
+#: Digits and white space are Unicode's, written so that Java's and RE2's patterns agree.
+NUMBER = r"\p{Nd}+(?:\.\p{Nd}+)?"
+GAP = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
+DIMENSIONS = rf"({NUMBER}){GAP}(?:mm)?{GAP}[×xX*]{GAP}({NUMBER})(?:{GAP}(?:mm)?)(?:{GAP}[×xX*]{GAP}({NUMBER}))?{GAP}(mm|cm)?"
 
 #: Terms of diagnosis: for reports, and the shorter list for challenge texts.
 DIAGNOSTIC = ("TI-RADS", "良性", "恶性", "癌", "确诊", "治疗")
 CHALLENGE_DIAGNOSTIC = ("TI-RADS", "良性", "恶性", "癌")
-CM_MEASURE = rf"(?i){NUMBER}\s*(?:cm)|{NUMBER}\s*[×xX*]\s*{NUMBER}(?:\s*[×xX*]\s*{NUMBER})?\s*cm"
-MM_MEASURE = rf"(?i){NUMBER}\s*(?:mm)|{NUMBER}\s*[×xX*]\s*{NUMBER}(?:\s*[×xX*]\s*{NUMBER})?\s*mm"
+CM_MEASURE = rf"(?i){NUMBER}{GAP}(?:cm)|{NUMBER}{GAP}[×xX*]{GAP}{NUMBER}(?:{GAP}[×xX*]{GAP}{NUMBER})?{GAP}cm"
+MM_MEASURE = rf"(?i){NUMBER}{GAP}(?:mm)|{NUMBER}{GAP}[×xX*]{GAP}{NUMBER}(?:{GAP}[×xX*]{GAP}{NUMBER})?{GAP}mm"
 NEGATIVE_VASCULARITY = ("未见明显血流", "未记录到明确血流", "无明确血流", "未显示明显血流", "结节内及周边未见明显血流")
 NEGATIVE_FOCI = ("未见明显强回声", "没有明确强回声", "未检出强回声", "未见明确强回声", "内部未见强回声")
 OMISSIONS = {

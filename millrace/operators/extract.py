@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab
-from millrace.functions.exprs import computed_once, contains_any, first_match, stated, strip
+from millrace.functions.exprs import ascii_digits, computed_once, contains_any, first_match, stated, strip
 
 
 def dimensions(text: Column) -> Column:
     """Measurements in millimetres, or null: two or three numbers, centimetres times ten, none after a veto phrase."""
     group = lambda k: F.regexp_extract(text, vocab.DIMENSIONS, k)
     factor = F.when(group(4) == "cm", 10.0).otherwise(1.0)
-    values = F.array_compact(F.array(*[F.when(group(k) != "", group(k).cast("double") * factor) for k in (1, 2, 3)]))
+    values = F.array_compact(F.array(*[F.when(group(k) != "", ascii_digits(group(k)).cast("double") * factor) for k in (1, 2, 3)]))
     return F.when((group(1) != "") & ~contains_any(text, vocab.NO_DIMENSIONS), values)
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab
-from millrace.functions.exprs import clip, computed_once, contains_any, first_match, replace_first, share, strip
+from millrace.functions.exprs import ascii_digits, clip, computed_once, contains_any, first_match, replace_first, share, strip
 from millrace.operators.constraints import violations
 from millrace.operators.extract import extract, field_stated
 from millrace.operators.score import TOLERANCE
+from millrace.operators.training import first_rows
+from millrace.sources.sinks import materialized
 
 FINDING = "struct<rule_id:string,severity:string,field:string,evidence:string>"
 
@@ -71,10 +73,10 @@ def has_rule(rule: Column | str) -> Column:
 
 def clean_rollup(checked: DataFrame, by: str, example: str, shown: int = 8) -> DataFrame:
     """Pass rate, mean errors and warnings of clean pairs, and the first rows (by example) that wrongly failed."""
-    rank = F.row_number().over(Window.partitionBy(by, "passed").orderBy(example))
-    ranked = checked.withColumn("_rank", rank)
-    first = F.sort_array(F.collect_list(F.when(~F.col("passed") & (F.col("_rank") <= shown), F.col(example))))
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), share(F.sum(F.col("passed").cast("int")), F.count(F.lit(1))).alias("pass_rate"), F.avg("error_count").alias("mean_errors"), F.avg("warning_count").alias("mean_warnings"), F.sum((~F.col("passed")).cast("int")).alias("false_errors"), first.alias("first_failures"))
+    slim = materialized(checked.select(by, example, "passed", "error_count", "warning_count"))  # read twice: once to count, once for the few rows shown
+    rates = slim.groupBy(by).agg(F.count(F.lit(1)).alias("n"), share(F.sum(F.col("passed").cast("int")), F.count(F.lit(1))).alias("pass_rate"), F.avg("error_count").alias("mean_errors"), F.avg("warning_count").alias("mean_warnings"), F.sum((~F.col("passed")).cast("int")).alias("false_errors"))
+    first = first_rows(slim.filter(~F.col("passed")).select(by, example), by, example, shown).groupBy(by).agg(F.sort_array(F.collect_list(example)).alias("first_failures"))
+    return rates.join(first, by, "left").withColumn("first_failures", F.coalesce("first_failures", F.array().cast(first.schema["first_failures"].dataType)))
 
 
 def first_phrase(body: Column, phrases: tuple[str, ...]) -> Column:
@@ -89,7 +91,7 @@ def mutations(body: Column) -> dict[str, Column]:
             phrase = first_phrase(body, phrases)
             out[defect] = F.when(phrase != "", replace_first(body, phrase, ""))
     number = F.regexp_extract(body, vocab.NUMBER, 0)
-    out["dimension_mismatch"] = F.when(F.col("dims").isNotNull() & (number != ""), replace_first(body, number, (number.try_cast("double") + 5).cast("string")))
+    out["dimension_mismatch"] = F.when(F.col("dims").isNotNull() & (number != ""), replace_first(body, number, (ascii_digits(number).try_cast("double") + 5).cast("string")))
     left, right = body.contains("左叶"), body.contains("右叶")
     out["laterality_mismatch"] = F.when(left & ~right, F.replace(body, F.lit("左叶"), F.lit("右叶"))).when(right & ~left, F.replace(body, F.lit("右叶"), F.lit("左叶")))
     out["unit_mixed"] = F.when(body.contains("mm"), replace_first(body, "mm", "mm（约1.0cm）"))
@@ -109,6 +111,14 @@ def inject(df: DataFrame, text: str, example: str, per_defect: int | None = None
     return rows.withColumn(text, F.col("mutated")).drop("mutated")
 
 
+def every_defect(injected: DataFrame) -> DataFrame:
+    """The injected rows, or an error that names the defects without any."""
+    there = {r["defect_id"] for r in injected.select("defect_id").distinct().collect()}  # as many as there are kinds
+    if missing := [d for d in vocab.DEFECTS if d not in there]:
+        raise ValueError(f"no row for defects: {missing}")
+    return injected
+
+
 def recall(checked: DataFrame) -> DataFrame:
     """Support, detected and recall of each defect, beside micro and macro recall over all."""
     each = checked.withColumn("hit", has_rule(F.col("expected_rule")).cast("int")).groupBy("defect_id", "expected_rule").agg(F.count(F.lit(1)).alias("support"), F.sum("hit").alias("detected"))

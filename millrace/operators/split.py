@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab
@@ -24,12 +24,29 @@ def partition_counts(total: int, ratios: tuple[float, ...]) -> list[int]:
     return counts
 
 
-def assign(df: DataFrame, case: str, ratios: tuple[float, ...] = (0.8, 0.1, 0.1), seed: int = vocab.SEED) -> DataFrame:
-    """Adds split: whole cases (equal ids) in the order of sha256(seed:id), cut at the ratios' counts. Rows follow their case."""
-    cases = digest_rank(df.select(case).distinct().withColumn("_digest", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(case)), 256)), "_digest", "_rank")
-    train, validation, _ = partition_counts(df.select(case).distinct().count(), ratios)
+def partition_columns(total: Column, ratios: tuple[float, ...]) -> list[Column]:
+    """partition_counts of a column."""
+    partition_counts(0, ratios)  # the ratios are checked
+    raw = [total.cast("double") * r for r in ratios]
+    whole = [F.floor(x) for x in raw]
+    rest = [x - w for x, w in zip(raw, whole, strict=True)]
+    left = total - sum(whole[1:], whole[0])
+    out = []
+    for i, own in enumerate(rest):
+        ahead = [((other > own) if j > i else (other >= own)).cast("bigint") for j, other in enumerate(rest) if j != i]
+        out.append(whole[i] + (sum(ahead, F.lit(0)) < left).cast("bigint"))
+    return out
+
+
+def assign(df: DataFrame, case: str, ratios: tuple[float, ...] = (0.8, 0.1, 0.1), seed: int = vocab.SEED, unique: bool = False) -> DataFrame:
+    """Adds split: whole cases (equal ids) in the order of sha256(seed:id), cut at the ratios' counts. Rows follow their case. unique: each
+    case is one row, which spares the join. The cases' number comes from the ranks' own bucket counts, in the same query."""
+    cases = df if unique else df.select(case).distinct()
+    ranked = digest_rank(cases.withColumn("_digest", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(case)), 256)), "_digest", "_rank", total="_total")
+    train, validation, _ = partition_columns(F.col("_total"), ratios)
     split = F.when(F.col("_rank") <= train, SPLITS[0]).when(F.col("_rank") <= train + validation, SPLITS[1]).otherwise(SPLITS[2])
-    return df.join(cases.select(case, split.alias("split")), case)
+    ranked = ranked.withColumn("split", split).drop("_digest", "_rank", "_total")
+    return ranked if unique else df.join(ranked.select(case, "split"), case)
 
 
 def template_splits(cases_with_split: DataFrame, held_out: str = vocab.HELD_OUT) -> DataFrame:
@@ -45,15 +62,12 @@ def audit(rows: DataFrame, case: str = "semantic_case_id", part: str = "part", f
     """Counts that must all be 0: check, offenders."""
     test = ("test_seen_templates", "test_heldout_templates")
     group = F.when(F.col(part).isin(*test), "test").otherwise(F.col(part))
-    shared = rows.select(case, group.alias("g")).distinct().groupBy(case).count().filter("count > 1").agg(F.count(F.lit(1)).alias("n"))
-    ids = lambda p: rows.filter(F.col(part) == p).select(case).distinct()
-    uneven = ids(test[0]).exceptAll(ids(test[1])).unionAll(ids(test[1]).exceptAll(ids(test[0]))).agg(F.count(F.lit(1)).alias("n"))
-    held = rows.filter(F.col(part) == test[1]).select(family).distinct()
-    leaked = rows.filter(F.col(part) != test[1]).select(family).distinct().intersect(held).agg(F.count(F.lit(1)).alias("n"))
-    repeated = rows.groupBy(row_id).count().filter("count > 1").agg(F.count(F.lit(1)).alias("n"))
-    named = {"cases_in_several_splits": shared, "test_cases_not_in_both_views": uneven, "held_out_families_elsewhere": leaked, "repeated_rows": repeated}
-    out = None
-    for name, found in named.items():
-        row = found.select(F.lit(name).alias("check"), F.col("n").alias("offenders"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    seen = [F.max((F.col(part) == p).cast("int")) for p in test]
+    per_case = rows.groupBy(case).agg(F.min(group).alias("low"), F.max(group).alias("high"), seen[0].alias("first"), seen[1].alias("second"))
+    by_case = per_case.agg(F.count_if(F.col("low") != F.col("high")).alias("cases_in_several_splits"), F.count_if(F.col("first") != F.col("second")).alias("test_cases_not_in_both_views"))
+    per_family = rows.groupBy(family).agg(F.max((F.col(part) == test[1]).cast("int")).alias("held"), F.max((F.col(part) != test[1]).cast("int")).alias("elsewhere"))
+    by_family = per_family.agg(F.count_if((F.col("held") == 1) & (F.col("elsewhere") == 1)).alias("held_out_families_elsewhere"))
+    repeated = rows.groupBy(row_id).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_rows"))
+    one = by_case.crossJoin(by_family).crossJoin(repeated)  # a row each
+    names = ["cases_in_several_splits", "test_cases_not_in_both_views", "held_out_families_elsewhere", "repeated_rows"]
+    return one.unpivot([], names, "check", "offenders")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab
@@ -51,6 +51,38 @@ def duplicates(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return wide.unpivot([by], columns, "column_name", "repeated_rows")
 
 
+def assembled(rows: DataFrame, by: str, everything: str = "all") -> DataFrame:
+    """A release's statistics as one long table (by, statistic, name, value), for each group and for all rows together: samples, cases, families, coded
+    fields and missing states over distinct cases, measurements, text lengths, repeated rows. Each of its pieces is one aggregation."""
+    both = rows.withColumn(by, F.explode(F.array(F.col(by), F.lit(everything))))
+
+    def long(df: DataFrame, statistic: str, name: Column, value: str) -> DataFrame:
+        return df.select(by, F.lit(statistic).alias("statistic"), name.cast("string").alias("name"), F.col(value).cast("double").alias("value"))
+
+    def wide(df: DataFrame, statistic: str) -> DataFrame:
+        names = [c for c in df.columns if c != by]
+        return long(df.select(by, *[F.col(c).cast("double").alias(c) for c in names]).unpivot([by], names, "name", "value"), statistic, F.col("name"), "value")
+
+    n = F.count(F.lit(1)).alias("n")
+    sizes = dimension_statistics(both, by)
+    fields = field_distribution(both, by).select(by, F.concat(F.lit("field "), F.col("field")).alias("statistic"), F.col("value").alias("name"), F.col("n").cast("double").alias("value"))
+    pieces = [
+        wide(both.groupBy(by).agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("semantic_case_id").alias("semantic_cases")), "rows"),
+        long(both.groupBy(by, "template_family").agg(n), "template_family", F.col("template_family"), "n"),
+        fields,
+        long(missing_states(both, by), "missing_state", F.col("state"), "n"),
+        long(sizes, "dimension_count", F.col("arity"), "n"),
+        wide(sizes.groupBy(by).agg(F.min("least_mm").alias("least"), F.max("largest_mm").alias("largest")), "dimension_mm"),
+        *[wide(both.withColumn("chars", F.char_length(c).cast("bigint")).groupBy(by).agg(*length_statistics("chars")), f"{c}_chars") for c in ("input", "target")],
+    ]
+    again = duplicates(both, by, ["sample_id", "semantic_case_id", "input", "target"])
+    pieces.append(long(again, "duplicate_rows", F.col("column_name"), "repeated_rows"))
+    out = pieces[0]
+    for piece in pieces[1:]:
+        out = out.unionByName(piece)
+    return out
+
+
 def integrity(rows: DataFrame) -> DataFrame:
     """Adds problems: what re-deriving a generated row contradicts (several inputs for a case, JSON, ids, text, versions, rules)."""
     parsed = computed_once(fragments(parse_json(rows)), {"_json": canonical_json(), "_target": rendered(F.col("template_family"))})

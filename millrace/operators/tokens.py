@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Protocol, runtime_checkable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -81,6 +82,11 @@ def decode(known: Sequence[str], skip_special: bool = False):
     return text_of
 
 
+def count_of(ids: str, token: str) -> Column:
+    """How often a control token's id comes in an array of ids."""
+    return F.size(F.filter(ids, lambda i: i == vocab.CONTROL_TOKENS.index(token))).cast("bigint")
+
+
 def special(token: str) -> Column:
     return F.lit(vocab.CONTROL_TOKENS.index(token))
 
@@ -119,6 +125,75 @@ def sentencepiece_tokens(model_file: str):
     return ids_of
 
 
+def sentencepiece_text(model_file: str):
+    """A vectorised function from ids of a local SentencePiece model back to text; an id that it lacks is an error."""
+
+    @F.pandas_udf("string")
+    def text_of(column: pd.Series) -> pd.Series:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        return column.map(lambda ids: None if ids is None else model.decode([int(i) for i in ids]))
+
+    return text_of
+
+
+def sentencepiece_special(model_file: str, token: str) -> int:
+    """The id of a control token of a local SentencePiece model; a token that is none is an error."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    found = model.piece_to_id(token)
+    if model.id_to_piece(found) != token or not (model.is_control(found) or model.is_unknown(found)):
+        raise KeyError(token)
+    return found
+
+
+@runtime_checkable
+class Tokenizer(Protocol):
+    """What every tokenizer gives: columns from text to ids and back, and the ids of control tokens."""
+
+    def encode(self, text: Column) -> Column: ...
+
+    def decode(self, ids: Column) -> Column: ...
+
+    def special(self, token: str) -> int: ...
+
+
+class CharacterTokenizer:
+    """Characters of a vocabulary, bytes for what it lacks."""
+
+    def __init__(self, known: Sequence[str]):
+        self.known = list(known)
+
+    def encode(self, text: Column) -> Column:
+        return encode(text, self.known)
+
+    def decode(self, ids: Column) -> Column:
+        return decode(self.known)(ids)
+
+    def special(self, token: str) -> int:
+        if token not in vocab.CONTROL_TOKENS:
+            raise KeyError(token)
+        return vocab.CONTROL_TOKENS.index(token)
+
+
+class SentencePieceTokenizer:
+    """A local SentencePiece model."""
+
+    def __init__(self, model_file: str):
+        self.model_file = model_file
+
+    def encode(self, text: Column) -> Column:
+        return sentencepiece_tokens(self.model_file)(text)
+
+    def decode(self, ids: Column) -> Column:
+        return sentencepiece_text(self.model_file)(ids)
+
+    def special(self, token: str) -> int:
+        return sentencepiece_special(self.model_file, token)
+
+
 def save(vocabulary_df: DataFrame, path: str) -> None:
     vocabulary_df.write.mode("errorifexists").parquet(path)
 

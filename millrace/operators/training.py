@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.exprs import digest_rank, share
+from millrace.functions.exprs import digest_rank, ordered_rank, share
 
 
 def batch_stream(df: DataFrame, key: str, epochs: int, batch: int, seed: int, start: int = 0) -> DataFrame:
@@ -68,5 +68,16 @@ def new_minima(df: DataFrame, by: str, order: list[str], value: str) -> DataFram
 
 def first_failures(df: DataFrame, by: str, failed: Column, order: str, shown: int = 8) -> DataFrame:
     """Each group's first failures in order, with the group's number of failures."""
-    own = df.filter(failed).withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(order))).withColumn("failures", F.count(F.lit(1)).over(Window.partitionBy(by)))
-    return own.filter(F.col("_rank") <= shown).drop("_rank")
+    own = df.filter(failed)
+    return first_rows(own, by, order, shown).join(own.groupBy(by).agg(F.count(F.lit(1)).alias("failures")), by)
+
+
+def first_rows(df: DataFrame, by: str, order: str, shown: int) -> DataFrame:
+    """Each group's first rows in order. Only a rank that is cut is asked for, so each partition sends on its own first rows of a group, and no more."""
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("_rank") <= shown).drop("_rank")
+
+
+def sequential_batches(df: DataFrame, key: str, batch: int) -> DataFrame:
+    """Adds position, batch and slot in the order of a whole-number key, for evaluation: batches of a fixed size, the last one may be smaller."""
+    ranked = ordered_rank(df, key, "position")
+    return ranked.withColumn("batch", F.floor((F.col("position") - 1) / batch).cast("bigint")).withColumn("slot", F.pmod(F.col("position") - 1, F.lit(batch)).cast("bigint"))

@@ -11,6 +11,7 @@ from millrace.operators import extract, qc, render, split, stats, tokens, traini
 from millrace.plans import duck
 from millrace.plans.records import _rendered, exams
 from millrace.plans.registry import register
+from millrace.sources.sinks import materialized
 from millrace.sources.tables import load, spread
 
 SEED = vocab.SEED
@@ -57,10 +58,10 @@ def split_duplicates(spark, sf_dir):
 
 
 def _case_rows(spark, sf_dir, texts: bool = True) -> DataFrame:
-    """Generated samples of all records, by split part and family; without texts their ids alone."""
-    cases = split.assign(exams(spark, sf_dir), "semantic_case_id")
+    """Generated samples of all records, by split part and family; without texts the records' fields and ids."""
+    cases = split.assign(materialized(exams(spark, sf_dir)), "semantic_case_id", unique=True)
     if not texts:
-        rows = split.template_splits(cases.select("semantic_case_id", "split"))
+        rows = split.template_splits(cases)
         return rows.withColumn("sample_id", render.sample_id(F.col("semantic_case_id"), F.col("template_family")))
     rows = split.template_splits(render.fragments(cases))
     return computed_once(rows, {"sample_id": render.sample_id(F.col("semantic_case_id"), F.col("template_family")), "target": render.rendered(F.col("template_family"))})
@@ -71,9 +72,38 @@ pp AS (SELECT p1.*, sp.split FROM p1 JOIN sp USING (semantic_case_id)),
 cr AS ({' UNION ALL '.join(f"SELECT *, {duck.q(f)} AS template_family, {duck.report(f)} AS target, " + (f"'test_heldout_templates' AS part FROM pp WHERE split = 'test'" if f == vocab.HELD_OUT else "CASE WHEN split = 'test' THEN 'test_seen_templates' ELSE split END AS part FROM pp") for f in vocab.FAMILIES)})"""
 
 
-@register("split_leakage_audit", "SELECT * FROM (VALUES ('cases_in_several_splits', 0::BIGINT), ('test_cases_not_in_both_views', 0::BIGINT), ('held_out_families_elsewhere', 0::BIGINT), ('repeated_rows', 0::BIGINT)) t(\"check\", offenders)")
+_IDS_SQL = f"""{duck.IDENTIFIED}, {_split_sql('c1', 'semantic_case_id', 'sp')},
+ids AS (SELECT c1.attempt, semantic_case_id, f.template_family, 'sample_' || sha256('generate:' || semantic_case_id || ':' || f.template_family || ':{vocab.RENDERER_VERSION}') AS sample_id,
+  CASE WHEN f.template_family = '{vocab.HELD_OUT}' THEN 'test_heldout_templates' WHEN split = 'test' THEN 'test_seen_templates' ELSE split END AS part
+  FROM c1 JOIN sp USING (semantic_case_id) CROSS JOIN (SELECT unnest([{', '.join(map(duck.q, vocab.FAMILIES))}]) AS template_family) f WHERE split = 'test' OR f.template_family <> '{vocab.HELD_OUT}')"""
+
+
+def _audit_sql(rows: str) -> str:
+    return f"""SELECT 'cases_in_several_splits' AS "check", (SELECT count(*) FROM (SELECT semantic_case_id FROM {rows} GROUP BY 1 HAVING count(DISTINCT CASE WHEN part LIKE 'test%' THEN 'test' ELSE part END) > 1)) AS offenders
+    UNION ALL SELECT 'test_cases_not_in_both_views', (SELECT count(*) FROM (SELECT semantic_case_id FROM {rows} GROUP BY 1 HAVING bool_or(part = 'test_seen_templates') <> bool_or(part = 'test_heldout_templates')))
+    UNION ALL SELECT 'held_out_families_elsewhere', (SELECT count(*) FROM (SELECT template_family FROM {rows} GROUP BY 1 HAVING bool_or(part = 'test_heldout_templates') AND bool_or(part <> 'test_heldout_templates')))
+    UNION ALL SELECT 'repeated_rows', (SELECT count(*) FROM (SELECT sample_id FROM {rows} GROUP BY 1 HAVING count(*) > 1))"""
+
+
+def _audited(rows: DataFrame) -> DataFrame:
+    return split.audit(materialized(rows.select("semantic_case_id", "part", "template_family", "sample_id")))
+
+
+@register("split_leakage_audit", f"WITH {_IDS_SQL} {_audit_sql('ids')}")
 def split_leakage_audit(spark, sf_dir):
-    return split.audit(_case_rows(spark, sf_dir, texts=False))
+    return _audited(_case_rows(spark, sf_dir, texts=False))
+
+
+@register(
+    "split_leakage_injected",
+    f"WITH {_IDS_SQL}, leaky AS (SELECT semantic_case_id, template_family, CASE WHEN template_family = 'location_first_v2' AND attempt % 11 = 0 THEN 'validation' WHEN template_family = '{vocab.HELD_OUT}' AND attempt % 5 = 0 THEN 'train' ELSE part END AS part, CASE WHEN attempt % 13 = 0 THEN semantic_case_id ELSE sample_id END AS sample_id FROM ids) {_audit_sql('leaky')}",
+)
+def split_leakage_injected(spark, sf_dir):
+    """The audit of rows of which some were moved to other parts and some lost their ids: every check must find its own."""
+    rows = _case_rows(spark, sf_dir, texts=False)
+    every = lambda n: F.pmod("attempt", F.lit(n)) == 0
+    part = F.when((F.col("template_family") == "location_first_v2") & every(11), "validation").when((F.col("template_family") == vocab.HELD_OUT) & every(5), "train").otherwise(F.col("part"))
+    return _audited(rows.withColumn("part", part).withColumn("sample_id", F.when(every(13), F.col("semantic_case_id")).otherwise(F.col("sample_id"))))
 
 
 @register("template_split_counts", f"WITH {_CASE_ROWS_SQL} SELECT part, template_family, count(*) AS n, count(DISTINCT semantic_case_id) AS cases, {_LENGTHS_SQL('length(target)')} FROM cr GROUP BY 1, 2")
@@ -84,7 +114,7 @@ def template_split_counts(spark, sf_dir):
 
 @register("dataset_field_counts", f"WITH {_CASE_ROWS_SQL}, d AS (SELECT DISTINCT part, semantic_case_id, {', '.join(vocab.FIELDS)} FROM cr), u AS (UNPIVOT (SELECT part, {', '.join(f'{c} AS "{n}"' for n, c in stats.SPECIFIED.items())} FROM d) ON COLUMNS(* EXCLUDE part) INTO NAME field VALUE value) SELECT part, field, value, count(*) AS n FROM u GROUP BY 1, 2, 3")
 def dataset_field_counts(spark, sf_dir):
-    return stats.field_distribution(_case_rows(spark, sf_dir), "part")
+    return stats.field_distribution(_case_rows(spark, sf_dir, texts=False), "part")
 
 
 _STATES_SQL = ", ".join(f"CASE WHEN {c} IN {duck.listed(vocab.MISSING)} THEN {c} END" for c in vocab.FIELDS)
@@ -92,12 +122,12 @@ _STATES_SQL = ", ".join(f"CASE WHEN {c} IN {duck.listed(vocab.MISSING)} THEN {c}
 
 @register("dataset_missing_states", f"WITH {_CASE_ROWS_SQL}, d AS (SELECT DISTINCT ON (part, semantic_case_id) * FROM cr), u AS (SELECT part, unnest([{_STATES_SQL}, dims_state]) AS state FROM d) SELECT part, state, count(*) AS n FROM u WHERE state IS NOT NULL GROUP BY 1, 2")
 def dataset_missing_states(spark, sf_dir):
-    return stats.missing_states(_case_rows(spark, sf_dir), "part")
+    return stats.missing_states(_case_rows(spark, sf_dir, texts=False), "part")
 
 
 @register("dataset_dimensions", f"WITH {_CASE_ROWS_SQL}, d AS (SELECT DISTINCT ON (part, semantic_case_id) * FROM cr WHERE dims IS NOT NULL) SELECT part, len(dims)::INT AS arity, count(*) AS n, min(list_min(dims)) AS least_mm, max(list_max(dims)) AS largest_mm FROM d GROUP BY 1, 2")
 def dataset_dimensions(spark, sf_dir):
-    return stats.dimension_statistics(_case_rows(spark, sf_dir), "part")
+    return stats.dimension_statistics(_case_rows(spark, sf_dir, texts=False), "part")
 
 
 @register("dataset_integrity", f"WITH {duck.RENDERED}, k AS (SELECT *, attempt % 4 AS kind FROM r1) SELECT CASE kind WHEN 0 THEN 'target' WHEN 1 THEN 'sample_id' WHEN 2 THEN 'versions' ELSE '' END AS problems, count(*) AS n FROM k GROUP BY 1")
@@ -127,13 +157,10 @@ def label_field_distribution(spark, sf_dir):
     return rows.unpivot(["lang"], ["quality", "toxic"], "field", "state").groupBy("lang", "field", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("benchmark_contamination", "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), h AS (SELECT DISTINCT l.doc_id, b.item_id FROM l JOIN benchmark b ON l.line = trim(b.text)) SELECT item_id, count(*) AS documents, min(doc_id) AS first_document FROM h GROUP BY item_id")
+@register("benchmark_contamination", "WITH h AS (SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, trim(b.text))) SELECT item_id, count(*) AS documents, min(doc_id) AS first_document FROM h GROUP BY item_id")
 def benchmark_contamination(spark, sf_dir):
-    """Documents that hold a benchmark item as a line of their own (anywhere: benchmark_passages): an equi-join on the line's text."""
-    lines = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
-    items = load(spark, sf_dir, "benchmark").select("item_id", F.trim("text").alias("line"))
-    hits = lines.join(items, "line").select("doc_id", "item_id").distinct()
-    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_document"))
+    """How many documents hold a benchmark item's whole text anywhere, and the first of them."""
+    return benchmark_passages(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_document"))
 
 
 @register("benchmark_passages", "SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, trim(b.text))")
@@ -179,7 +206,31 @@ def oov_by_split(spark, sf_dir):
     return sums.withColumn("unknown_rate", F.col("unknown").cast("double") / F.col("characters"))
 
 
-@register("character_round_trip", "SELECT conv_id, turn, text AS decoded, true AS same FROM conversations")
+_IDS_OF_TURNS_SQL = f"""{_VOCAB_SQL},
+vi AS (SELECT token, row_number() OVER (ORDER BY token) + {vocab.FIRST_CHARACTER - 1} AS id FROM vc),
+cs AS (SELECT conv_id, turn, unnest(c) AS token, unnest(generate_series(1, len(c))) AS p FROM (SELECT conv_id, turn, regexp_extract_all(text, '(?s).') AS c FROM conversations)),
+ci AS (SELECT conv_id, turn, p, token, CASE WHEN id IS NOT NULL THEN [id] ELSE list_transform(regexp_extract_all(hex(token), '..'), lambda h: (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1 + {vocab.FIRST_BYTE}) END AS ids FROM cs LEFT JOIN vi USING (token)),
+ti AS (SELECT conv_id, turn, flatten(list(ids ORDER BY p)) AS ids FROM ci GROUP BY 1, 2),
+di AS (SELECT conv_id, turn, string_agg(CASE WHEN id < {vocab.FIRST_CHARACTER} THEN printf('%02x', id - {vocab.FIRST_BYTE}) ELSE hex(token) END, '' ORDER BY p) AS h FROM (SELECT conv_id, turn, unnest(ids) AS id, unnest(generate_series(1, len(ids))) AS p FROM ti) LEFT JOIN vi USING (id) GROUP BY 1, 2)"""
+
+
+@register("character_ids", f"WITH {_IDS_OF_TURNS_SQL} SELECT conv_id, turn, coalesce(len(ids), 0)::INT AS n, sha256(coalesce(array_to_string(ids, ','), '')) AS ids_sha256 FROM conversations LEFT JOIN ti USING (conv_id, turn)")
+def character_ids(spark, sf_dir):
+    """Every turn's ids by the documents' vocabulary, bytes for what it lacks."""
+    ids = tokens.encode(F.col("text"), _known(spark, sf_dir))
+    rows = computed_once(load(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), {"ids": ids})
+    return rows.select("conv_id", "turn", F.size("ids").alias("n"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"))
+
+
+@register("unknown_ids", f"WITH {_VOCAB_SQL} SELECT split, sum(chars)::BIGINT AS ids, sum(unknown)::BIGINT AS unknown FROM en GROUP BY split")
+def unknown_ids(spark, sf_dir):
+    """Encoding without bytes: how many ids are the unknown token's."""
+    rows = split_documents(spark, sf_dir)
+    rows = computed_once(rows.select("split", "text"), {"ids": tokens.encode(F.col("text"), _known(spark, sf_dir), byte_fallback=False)})
+    return rows.groupBy("split").agg(F.sum(F.size("ids")).alias("ids"), F.sum(tokens.count_of("ids", "<unk>")).alias("unknown"))
+
+
+@register("character_round_trip", f"WITH {_IDS_OF_TURNS_SQL}, dt AS (SELECT conv_id, turn, decode(unhex(h)) AS decoded FROM di) SELECT conv_id, turn, coalesce(decoded, '') AS decoded, coalesce(decoded, '') = text AS same FROM conversations LEFT JOIN dt USING (conv_id, turn)")
 def character_round_trip(spark, sf_dir):
     """Every turn encoded with the documents' vocabulary (bytes for what it lacks) and decoded again."""
     known = _known(spark, sf_dir)
@@ -283,13 +334,17 @@ def corpus_fingerprint(spark, sf_dir):
     return stats.fingerprint(load(spark, sf_dir, "documents"), "lang", "text")
 
 
-@register("manifest_files", f"WITH {_DOCS_SQL}, l AS (SELECT split, substr(semantic_case_id, 4, 1) AS shard, doc_id, semantic_case_id || chr(9) || doc_id AS line FROM sd) SELECT split, shard, count(*) AS records, sum(strlen(line) + 1)::BIGINT AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY line)) AS sha256 FROM l GROUP BY 1, 2")
+#: Lines of a release file.
+FILE_LINES = 2000
+
+
+@register("manifest_files", f"WITH {_DOCS_SQL}, l AS (SELECT split, substr(semantic_case_id, 4) || chr(9) || doc_id AS line FROM sd), f AS (SELECT split, line, (row_number() OVER (PARTITION BY split ORDER BY line) - 1) // {FILE_LINES} AS file FROM l) SELECT split, file, count(*) AS records, sum(strlen(line) + 1)::BIGINT AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY line)) AS sha256 FROM f GROUP BY 1, 2")
 def manifest_files(spark, sf_dir):
-    """Records, bytes and hash of each file of a release that is written in sorted lines, one file a split and shard."""
-    from millrace.sources.sinks import line_manifest
+    """Records, bytes and hash of each file of a release that is written in sorted lines, so many to a file whatever the split's size."""
+    from millrace.sources.sinks import line_manifest, numbered_files
 
-    rows = split_documents(spark, sf_dir).select("split", F.substring("semantic_case_id", 4, 1).alias("shard"), F.concat("semantic_case_id", F.lit("\t"), F.col("doc_id").cast("string")).alias("line"))
-    return line_manifest(rows, ["split", "shard"], "line")
+    rows = split_documents(spark, sf_dir).select("split", F.concat(F.substring("semantic_case_id", 4, 64), F.lit("\t"), F.col("doc_id").cast("string")).alias("line"))
+    return line_manifest(numbered_files(rows, "split", "line", FILE_LINES), ["split", "file"], "line")
 
 
 _CHALLENGE_SQL = f"""{duck.FRAGMENTS}, {_split_sql('c1', 'semantic_case_id', 'sp')},
@@ -304,7 +359,7 @@ def challenge_validation(spark, sf_dir):
     """Paraphrases of all records held against templates, terms and the frozen training cases."""
     from millrace.operators.challenge import validate
 
-    cases = split.assign(exams(spark, sf_dir), "semantic_case_id")
+    cases = split.assign(materialized(exams(spark, sf_dir)), "semantic_case_id", unique=True)
     rows = render.fragments(cases)
     plain = render.report("location_first_v2")
     other = F.replace(plain, F.lit("见一枚"), F.lit("可见单个"))
@@ -336,13 +391,46 @@ def decoder_scores(spark, sf_dir):
     turns = load(spark, sf_dir, "conversations")
     known = tokens.known_characters(tokens.vocabulary(turns, "text"))
     rows = spread(turns).withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null")
-    sample = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("example"), tokens.prompt_sample(tokens.encode(F.col("prompt"), known), tokens.encode(F.coalesce("text", F.lit("")), known)).alias("s")).select("example", "s.*")
+    sample = rows.select(F.concat_ws(":", "conv_id", "turn").alias("example"), tokens.prompt_sample(tokens.encode(F.col("prompt"), known), tokens.encode(F.coalesce("text", F.lit("")), known)).alias("s")).select("example", "s.*")
     config = decoder.Config(vocab.FIRST_CHARACTER + len(known), width=16, heads=2, layers=1, longest=1 << 14)
     bytes_ = turns.agg(F.max(F.octet_length("text"))).first()[0] or 0  # a text has one id for each of its bytes at most, a sample five control ids
     config, weights = decoder.lengthened(config, decoder.random_weights(config), 2 * bytes_ + 5)
     return decoder.score(sample, config, weights, "example")
 
 
+_OWN_TURNS_SQL = f"""{_TURNS_SQL},
+ov AS (SELECT token, row_number() OVER (ORDER BY token) + {vocab.FIRST_CHARACTER - 1} AS id FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS token FROM conversations)),
+oc AS (SELECT conv_id, turn, unnest(c) AS token, unnest(generate_series(1, len(c))) AS p FROM (SELECT conv_id, turn, regexp_extract_all(text, '(?s).') AS c FROM tu WHERE role = 'assistant' AND prompt IS NOT NULL)),
+oi AS (SELECT conv_id, turn, list(id ORDER BY p) AS ids FROM oc JOIN ov USING (token) GROUP BY 1, 2),
+op AS (SELECT conv_id, turn, unnest(list_zip(list_prepend({vocab.CONTROL_TOKENS.index('<target>')}, ids), list_append(ids, {vocab.CONTROL_TOKENS.index('<eos>')}))) AS z FROM oi),
+ow AS (SELECT conv_id, turn, z[1] % 2 AS odd, z[2] AS wanted FROM op),
+oz AS (SELECT 1 / sqrt(1 + 1e-5::DOUBLE) AS s, ({vocab.FIRST_CHARACTER} + count(*)) // 2 AS odds, ({vocab.FIRST_CHARACTER} + count(*) + 1) // 2 - 1 AS evens FROM ov),
+ol AS (SELECT conv_id, turn, wanted, odd, (1 - 2 * odd) * s AS sign, odds, evens FROM ow CROSS JOIN oz)"""
+
+
+@register(
+    "decoder_parity",
+    f"WITH {_OWN_TURNS_SQL} SELECT conv_id || ':' || turn AS example, count(*) AS tokens, round(sum(ln(evens * exp(2 * sign) + odds * exp(-2 * sign) + exp(4 * sign)) - sign * CASE WHEN wanted = {vocab.CONTROL_TOKENS.index('<eos>')} THEN 4 WHEN wanted % 2 = 0 THEN 2 ELSE -2 END), 6) AS loss_sum, sum((odd = 0 AND wanted = {vocab.CONTROL_TOKENS.index('<eos>')})::INT)::BIGINT AS correct FROM ol GROUP BY conv_id, turn",
+)
+def decoder_parity(spark, sf_dir):
+    """Scores by a decoder whose weights are whole numbers: ids of one parity are likely after each other, the end most of all, so that SQL can say the loss."""
+    import numpy as np
+
+    from millrace.operators import decoder
+
+    turns = load(spark, sf_dir, "conversations")
+    known = tokens.known_characters(tokens.vocabulary(turns, "text"))
+    rows = spread(turns).withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null")
+    sample = rows.select(F.concat_ws(":", "conv_id", "turn").alias("example"), tokens.prompt_sample(tokens.encode(F.col("prompt"), known), tokens.encode(F.col("text"), known)).alias("s")).select("example", "s.*")
+    bytes_ = turns.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    config = decoder.Config(vocab.FIRST_CHARACTER + len(known), width=2, heads=1, layers=1, longest=2 * bytes_ + 5)
+    weights = {k: np.zeros_like(w) if k != "norm" and "norm" not in k else w for k, w in decoder.random_weights(config).items()}
+    side = np.where(np.arange(config.vocabulary) % 2, -1.0, 1.0)
+    side[vocab.CONTROL_TOKENS.index("<eos>")] = 2.0
+    weights["token"] = np.stack([side, -side], axis=1)
+    return decoder.score(sample, config, weights, "example").withColumn("loss_sum", F.round("loss_sum", 6))
+
+
 @register("vocab_hash", f"WITH {_VOCAB_SQL} SELECT count(*) AS n, sha256(string_agg(token || chr(10), '' ORDER BY token)) AS sha256 FROM vc")
 def vocab_hash(spark, sf_dir):
     return tokens.vocabulary_hash(vocab_build(spark, sf_dir))
@@ -352,7 +440,7 @@ def vocab_hash(spark, sf_dir):
 def release_sets(spark, sf_dir):
     """What a release's manifest lists: the sets of families and codes in each part."""
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    return _case_rows(spark, sf_dir).groupBy("part").agg(joined("template_family").alias("families"), joined("lymph_nodes").alias("lymph_codes"))
+    return _case_rows(spark, sf_dir, texts=False).groupBy("part").agg(joined("template_family").alias("families"), joined("lymph_nodes").alias("lymph_codes"))
 
 
 @register("union_of_splits", f"WITH {_DOCS_SQL} SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS documents FROM sd GROUP BY lang")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from millrace.functions import vocab
+from millrace.functions.exprs import ASCII_DIGITS, DIGITS
 from millrace.functions.vocab import FAMILIES, FIELDS, PHRASES, WEIGHTS
 
 
@@ -119,7 +120,7 @@ def parsed(source: str, text: str, name: str) -> str:
     return f"""
 {name}_a AS (SELECT *, trim({text}) AS body FROM {source}),
 {name}_b AS (SELECT *, {', '.join(f"{c} AS parsed_{f}" for f, c in found.items())},
-  CASE WHEN {group(1)} <> '' AND NOT {has('body', vocab.NO_DIMENSIONS)} THEN list_transform(list_filter([{group(1)}, {group(2)}, {group(3)}], lambda x: x <> ''), lambda x: x::DOUBLE * CASE WHEN {group(4)} = 'cm' THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END) END::DOUBLE[] AS parsed_dims FROM {name}_a),
+  CASE WHEN {group(1)} <> '' AND NOT {has('body', vocab.NO_DIMENSIONS)} THEN list_transform(list_filter([{group(1)}, {group(2)}, {group(3)}], lambda x: x <> ''), lambda x: translate(x, {q(DIGITS)}, {q(ASCII_DIGITS)})::DOUBLE * CASE WHEN {group(4)} = 'cm' THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END) END::DOUBLE[] AS parsed_dims FROM {name}_a),
 {name}_c AS (SELECT *, {explicit} AS parsed_explicit FROM {name}_b),
 {name} AS (SELECT *, (body <> '' AND (parsed_explicit > 0 OR {has('body', vocab.ANCHORS)})) AS parsed_parseable FROM {name}_c)"""
 
@@ -143,6 +144,14 @@ def violations() -> list[tuple[str, str]]:
     return out
 
 
+def outside_schema() -> str:
+    """Codes outside their domains, location rules and measurements that a record's types can't say."""
+    rules = [f"{f} NOT IN {listed(codes)}" for f, codes in vocab.DOMAINS.items()]
+    rules += ["location_side = 'isthmus' AND location_segment <> 'not_applicable'", "location_side IN ('left', 'right') AND location_segment = 'not_applicable'"]
+    rules += ["coalesce(len(dims) NOT IN (2, 3) OR list_min(dims) <= 0, false)", "(dims IS NULL) = (dims_state IS NULL)"]
+    return "(" + " OR ".join(f"({r})" for r in rules) + ")"
+
+
 def clip(text: str) -> str:
     flat = rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
     return f"CASE WHEN length({flat}) <= 80 THEN {flat} ELSE substr({flat}, 1, 79) || '…' END"

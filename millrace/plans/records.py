@@ -29,9 +29,14 @@ def exam_cases(spark, sf_dir):
     return exams(spark, sf_dir).select("attempt", "semantic_case_id", *FIELDS, _dims_text(), "dims_state", F.char_length("input").cast("bigint").alias("input_chars"))
 
 
+_PATHS = {"location_side": "$.nodules[0].location.side", "location_segment": "$.nodules[0].location.segment", "lymph_nodes": "$.lymph_nodes"}
+
+
 @register(
     "exam_json_round_trip",
-    f"WITH {duck.IDENTIFIED} SELECT attempt, {', '.join(FIELDS)}, array_to_string(list_transform(dims, lambda x: x::VARCHAR), ',') AS dims_text, dims_state, true AS canonical FROM c1",
+    f"""WITH {duck.IDENTIFIED}, j AS (SELECT attempt, input, {', '.join(f"json_extract_string(input, '{_PATHS.get(f, '$.nodules[0].' + f)}') AS {f}" for f in FIELDS)}, json_extract(input, '$.nodules[0].dimensions_mm') AS m FROM c1),
+    k AS (SELECT *, CASE WHEN json_type(m) = 'ARRAY' THEN m::DOUBLE[] END AS dims, CASE WHEN json_type(m) <> 'ARRAY' THEN m->>'$' END AS dims_state FROM j)
+    SELECT attempt, {', '.join(FIELDS)}, array_to_string(list_transform(dims, lambda x: x::VARCHAR), ',') AS dims_text, dims_state, {duck._JSON} = input AS canonical FROM k""",
 )
 def exam_json_round_trip(spark, sf_dir):
     parsed = cases.parse_json(exams(spark, sf_dir).select("attempt", "input"))
@@ -78,7 +83,7 @@ def schema_violations(spark, sf_dir):
     return rows.select("attempt", F.array_join(cases.schema_violations(), ",").alias("violations"))
 
 
-@register("exam_constraints_hold", f"WITH {duck.CASES} SELECT count(*) AS n, 0::BIGINT AS broken FROM e5")
+@register("exam_constraints_hold", f"WITH {duck.CASES} SELECT count(*) AS n, sum(({' OR '.join(c for _, c in duck.violations())} OR {duck.outside_schema()})::INT)::BIGINT AS broken FROM e5")
 def exam_constraints_hold(spark, sf_dir):
     drawn = cases.draw_exams(tables.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("attempt")))
     bad = F.size(constraints.violations()) + F.size(cases.schema_violations()) > 0

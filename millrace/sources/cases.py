@@ -90,10 +90,20 @@ def identified(df: DataFrame) -> DataFrame:
     return computed_once(computed_once(df, {"input": canonical_json()}), {"semantic_case_id": content_id("sc_", F.col("input"))})
 
 
-def unique_cases(df: DataFrame) -> DataFrame:
-    """Of equal records the first attempt stays."""
+def unique_cases(df: DataFrame, count: int | None = None) -> DataFrame:
+    """Of equal records the first attempt stays; with a count, the first so many in the order of attempts."""
     first = F.row_number().over(Window.partitionBy("semantic_case_id").orderBy("attempt"))
-    return df.withColumn("_first", first).filter("_first = 1").drop("_first")
+    once = df.withColumn("_first", first).filter("_first = 1").drop("_first")
+    return once if count is None else once.orderBy("attempt").limit(count)
+
+
+def constant_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table that is written down in code (a challenge's hand-made rows, say); a key that the schema lacks, or the other way round, is an error."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    for row in rows:
+        if set(row) != set(names):
+            raise ValueError(f"keys differ from the schema: {sorted(set(row) ^ set(names))}")
+    return spark.createDataFrame([tuple(row[c] for c in names) for row in rows], schema)
 
 
 def schema_violations() -> Column:

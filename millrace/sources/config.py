@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
-from dataclasses import dataclass, fields
+from dataclasses import asdict, dataclass, fields
 
 from millrace.sources.sinks import safe_relative, write_json
 
@@ -40,17 +40,55 @@ class TrainingConfig:
         return TrainingConfig(**{f.name: getattr(self, f.name) for f in fields(self)} | {"max_steps": steps, "warmup_steps": min(self.warmup_steps, steps), "validation_interval": min(self.validation_interval, steps)})
 
 
-def load(path: str) -> TrainingConfig:
+@dataclass(frozen=True)
+class ModelConfig:
+    """Sizes of a decoder; impossible ones are errors."""
+
+    vocab_size: int
+    max_seq_len: int
+    n_layers: int
+    n_heads: int
+    d_model: int
+    d_ff: int
+    dropout: float = 0.0
+    bias: bool = False
+    tie_embeddings: bool = True
+
+    def __post_init__(self) -> None:
+        for name in ("vocab_size", "max_seq_len", "n_layers", "n_heads", "d_model", "d_ff"):
+            value = getattr(self, name)
+            if isinstance(value, bool) or not isinstance(value, int) or value < 1:
+                raise ValueError(f"{name} must be a whole number of 1 or more")
+        if self.d_model % self.n_heads:
+            raise ValueError("d_model must be a multiple of n_heads")
+        if not 0 <= self.dropout < 1:
+            raise ValueError("dropout must be 0 or more and below 1")
+
+    @property
+    def head_dim(self) -> int:
+        return self.d_model // self.n_heads
+
+
+def save(config: TrainingConfig | ModelConfig, path: str) -> None:
+    write_json({"config_version": CONFIG_VERSION} | asdict(config), path)
+
+
+def load_model(path: str) -> ModelConfig:
+    """Model settings from JSON, as strictly as load()."""
+    return load(path, ModelConfig)
+
+
+def load(path: str, kind: type = TrainingConfig):
     """Settings from JSON; another version, or a key that doesn't belong, is an error."""
     with open(path, encoding="utf-8") as source:
         found = json.load(source)
     version = found.pop("config_version", None)
     if version != CONFIG_VERSION:
         raise ValueError(f"config_version is {version!r}, not {CONFIG_VERSION!r}")
-    odd = set(found) - {f.name for f in fields(TrainingConfig)}
+    odd = set(found) - {f.name for f in fields(kind)}
     if odd:
         raise ValueError(f"unknown settings: {sorted(odd)}")
-    return TrainingConfig(**found)
+    return kind(**found)
 
 
 def point_to(folder: str, name: str) -> None:

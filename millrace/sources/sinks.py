@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import json
 import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.exprs import digest_rank, utc_stamp
+
 
 def json_lines(df: DataFrame) -> DataFrame:
     """One column, value: each row as JSON with keys in order."""
@@ -26,8 +33,27 @@ def write_json_lines(df: DataFrame, path: str, order: str) -> None:
     lines.coalesce(1).sortWithinPartitions(order).select("value").write.mode("errorifexists").text(path)
 
 
+def shared_folder(spark: SparkSession, kind: str = "table") -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one, gone when Python ends, only in local mode, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix=f"millrace-{kind}-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = f"file://{local}"
+    return f"{base}/{kind}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """A table that several branches of a query read: written once to the shared folder and read back."""
+    folder = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def line_manifest(rows: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
-    """keys, records, bytes, sha256 of files that hold each group's lines in order (groups are as large as files)."""
+    """keys, records, bytes, sha256 of files that hold each group's lines in order. A group is a file: it must be of a file's size."""
     text = F.concat(F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\n"))
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length(line) + 1).alias("bytes"), F.sha2(text, 256).alias("sha256"))
 
@@ -47,6 +73,76 @@ def verify(spark: SparkSession, recorded: DataFrame, path: str, pattern: str = "
     return both.select("path", problem.alias("problem")).filter("problem is not null")
 
 
+def numbered_files(rows: DataFrame, part: str, digest: str, lines: int) -> DataFrame:
+    """Adds file: each part's rows, in the order of a text that begins with a hex digest, so many to a file."""
+    ranked = digest_rank(rows, digest, "_rank", [part])
+    return ranked.withColumn("file", F.floor((F.col("_rank") - 1) / lines).cast("bigint")).drop("_rank")
+
+
+def payload_sha256(record: Mapping) -> str:
+    """Of a record's canonical JSON: keys in order, no blanks."""
+    return hashlib.sha256(json.dumps(record, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+
+
+def write_bundle(rows: DataFrame, part: str, order: str, statistics: DataFrame, folder: str, name: str, about: Mapping | None = None) -> dict:
+    """A dataset release in one call: JSON lines in order for each part, statistics.json (a long table's rows) and manifest.json, which lists every
+    file with path, sha256, bytes and records. Made once: an existing folder is an error. For releases of a reviewed size, on the driver's file system."""
+    spark = rows.sparkSession
+    os.makedirs(folder)
+    files: dict[str, dict] = {}
+    columns = sorted(c for c in rows.columns if c != part)
+    for (value,) in sorted(tuple(r) for r in rows.select(part).distinct().collect()):  # parts are few
+        path = os.path.join(folder, f"{safe_relative(value)}.jsonl")
+        digest, size, n = hashlib.sha256(), 0, 0
+        lines = rows.filter(F.col(part) == value).select(order, F.to_json(F.struct(*columns)).alias("value")).orderBy(order).select("value")
+        with open(path, "wb") as out:
+            for row in lines.toLocalIterator():
+                line = (row["value"] + "\n").encode()
+                out.write(line)
+                digest.update(line)
+                size, n = size + len(line), n + 1
+        files[value] = {"path": os.path.basename(path), "sha256": digest.hexdigest(), "bytes": size, "records": n}
+    found = [r.asDict() for r in statistics.orderBy(*statistics.columns).collect()]
+    write_json(found, os.path.join(folder, "statistics.json"))
+    with open(os.path.join(folder, "statistics.json"), "rb") as source:
+        content = source.read()
+    files["statistics"] = {"path": "statistics.json", "sha256": hashlib.sha256(content).hexdigest(), "bytes": len(content), "records": None}
+    made = {"manifest_version": "1.0.0", "dataset_name": name, "files": files} | dict(about or {})
+    write_json(made, os.path.join(folder, "manifest.json"))
+    return made
+
+
+def write_frozen(rows: DataFrame, order: str, path: str, record_path: str, about: Mapping, links: Mapping[str, str] | None = None) -> dict:
+    """A challenge release, made once: JSON lines in order, and a record that freezes them (hash, bytes, rows, what they rest on) with a hash of its own. An
+    existing file is an error. links: name -> path of a file whose hash the record keeps."""
+    if os.path.exists(path) or os.path.exists(record_path):
+        raise FileExistsError(f"{path} or {record_path} exists")
+    lines = [r["value"] for r in rows.select(order, F.to_json(F.struct(*sorted(rows.columns))).alias("value")).orderBy(order).collect()]  # challenge sets are small
+    content = "".join(f"{line}\n" for line in lines).encode()
+    with open(path, "xb") as out:
+        out.write(content)
+    record = {"freeze_version": "1.0.0", "status": "frozen", "created_at_utc": rows.sparkSession.range(1).select(utc_stamp()).first()[0], "file": {"path": os.path.basename(path), "sha256": hashlib.sha256(content).hexdigest(), "bytes": len(content), "records": len(lines)}, "linked": {}, "about": dict(about)}
+    for name, linked in (links or {}).items():
+        with open(linked, "rb") as source:
+            record["linked"][name] = {"path": os.path.basename(linked), "sha256": hashlib.sha256(source.read()).hexdigest()}
+    record["payload_sha256"] = payload_sha256(record)
+    write_json(record, record_path)
+    return record
+
+
+def frozen_problems(path: str, record_path: str) -> list[str]:
+    """What differs from a freeze record: its own payload, or the file that it froze."""
+    with open(record_path, encoding="utf-8") as source:
+        record = json.load(source)
+    own = record.pop("payload_sha256", None)
+    out = [] if own == payload_sha256(record) else ["record"]
+    with open(path, "rb") as source:
+        content = source.read()
+    if hashlib.sha256(content).hexdigest() != record["file"]["sha256"] or len(content) != record["file"]["bytes"]:
+        out.append("file")
+    return out
+
+
 def chain_problems(records: Mapping[str, Mapping[str, str]]) -> list[str]:
     """Names of links (data -> tokenizer -> freeze -> challenge) whose recorded hash isn't that of what they name.
 
@@ -78,9 +174,55 @@ def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def shown(value: object) -> str:
+    """Numbers to four digits, nulls as a dash."""
+    return "–" if value is None else f"{value:.4f}" if isinstance(value, float) else str(value)
+
+
 def markdown(df: DataFrame, title: str, order: Sequence[str]) -> str:
     """A table of collected aggregates; numbers to four digits, nulls as a dash."""
-    show = lambda v: "–" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     rows = df.orderBy(*order).collect()
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(show(r[c]) for c in df.columns) + " |" for r in rows]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join(shown(r[c]) for c in df.columns) + " |" for r in rows]) + "\n"
+
+
+def report(title: str, about: Mapping[str, object], notes: Sequence[str], sections: Mapping[str, Mapping[str, object]]) -> str:
+    """A Markdown report: what it is about as a list, notes, and a section of values for each split, which are never averaged together."""
+    lines = [f"# {title}", "", *[f"- {k}: `{shown(v)}`" for k, v in about.items()], "", *notes]
+    for name, values in sections.items():
+        lines += ["", f"## {name}", "", *[f"- {k}: `{shown(v)}`" for k, v in values.items()]]
+    return "\n".join(lines) + "\n"
+
+
+def sections(df: DataFrame, by: str, names: Mapping[str, str]) -> dict[str, dict[str, object]]:
+    """Report sections from a table of rates, one row to a group: group -> label -> value, with labels for columns."""
+    return {r[by]: {label: r[column] for column, label in names.items()} for r in df.orderBy(by).collect()}
+
+
+RATES = {"n": "Samples", "parseable_rate": "Parseable", "any_family_rate": "In a template family", "mentioned_accuracy": "Accuracy of mentioned fields", "hallucination_rate": "Hallucination rate", "dim_exact_rate": "Measurements exact", "dim_mean_error": "Measurements' mean error (mm)"}
+CLEAN = {"n": "Samples", "pass_rate": "Pass rate", "mean_errors": "Mean errors", "mean_warnings": "Mean warnings", "false_errors": "False errors"}
+DEFECT = {"expected_rule": "Rule", "support": "Support", "detected": "Detected", "recall": "Recall"}
+
+
+def generate_report(rates: DataFrame, by: str, about: Mapping[str, object], losses: DataFrame | None = None) -> str:
+    """Of generated reports: rates by split, and loss and accuracy under teacher forcing (by, loss, accuracy), where there are any."""
+    found = sections(rates, by, RATES)
+    for r in losses.collect() if losses is not None else ():  # a row for each split
+        found.setdefault(r[by], {}).update({"Loss": r["loss"], "Token accuracy": r["accuracy"]})
+    return report("Generated reports", about, ["Challenge splits are stated apart and never averaged with the template splits."], found)
+
+
+def extract_report(rates: DataFrame, exact: DataFrame, by: str, about: Mapping[str, object]) -> str:
+    """Of records extracted from reports: rates by split, and the share of records that are wholly right (by, exact_rate)."""
+    found = sections(rates, by, RATES)
+    for r in exact.collect():  # a row for each split
+        found.setdefault(r[by], {})["Whole record exact"] = r["exact_rate"]
+    return report("Extracted records", about, ["Rules alone, no trained model."], found)
+
+
+def qc_report(clean: DataFrame, by: str, recall: DataFrame, about: Mapping[str, object]) -> str:
+    """Of quality rules: clean pairs by split, then recall of each injected defect and over all."""
+    found = sections(clean, by, CLEAN) | sections(recall, "defect_id", DEFECT)
+    if first := recall.first():
+        found["all defects"] = {"Micro recall": first["micro_recall"], "Macro recall": first["macro_recall"]}
+    return report("Quality rules", about, ["An error on a clean pair is a false one."], found)

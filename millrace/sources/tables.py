@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import subprocess
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.exprs import utc_stamp
+
 #: Schemas of the JSON-lines releases. JSON is read strictly: a row that doesn't fit is an error.
 GENERATED = "sample_id string, semantic_case_id string, task string, input string, target string, template_family string, generator_version string, renderer_version string, schema_version string, seed bigint, source string"
 CHALLENGE = "challenge_id string, semantic_case_id string, input string, reference_report string, difficulty_tags array<string>, schema_version string, challenge_version string, authoring_method string, source string"
@@ -66,6 +70,27 @@ def telemetry(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(*rest, number(1).alias("temperature_c"), number(2).alias("utilization_percent"), number(3).alias("memory_used_mib"), number(4).alias("power_w"))
 
 
+def poll_devices(spark: SparkSession, command: list[str], seconds: float = 5.0) -> DataFrame:
+    """One reading of device rows from a command's lines, with its time; a command that fails or takes too long gives no rows, as telemetry must not stop a run."""
+    try:
+        done = subprocess.run(command, capture_output=True, text=True, timeout=seconds, check=True)
+        lines = [line for line in done.stdout.splitlines() if line.strip()]
+    except (OSError, subprocess.SubprocessError):
+        lines = []
+    return telemetry(spark.createDataFrame([(line,) for line in lines], "value string").withColumn("at", utc_stamp()))
+
+
+def text_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row's texts as rows of their own (a sample's input and target, for a vocabulary): the other columns, role and text."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("role"), F.col(c).alias("text")) for c in columns])
+    return df.withColumn("_pair", F.explode(pairs)).select(*[c for c in df.columns if c not in columns], "_pair.role", "_pair.text")
+
+
+def with_first_of(base: DataFrame, more: DataFrame, keep: Column, order: str, limit: int) -> DataFrame:
+    """A small table and, behind it, the first rows of another that are kept, in a stated order; columns by name."""
+    return base.unionByName(first_rows(more.filter(keep), order, limit))
+
+
 def per_group(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
     """The first rows of each group in a stated order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(F.col("_n") <= limit).drop("_n")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.sources.sinks import shared_folder
+
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A parquet file or folder as a stream, with the schema that it has."""
@@ -21,16 +20,10 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
     return reader.parquet(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def available_rows(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Runs a stream over all that is there, in append mode, to a parquet table, and reads that. Rows come once over restarts."""
     spark = stream.sparkSession
-    folder = folder or shared_folder(spark)
+    folder = folder or shared_folder(spark, "stream")
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
