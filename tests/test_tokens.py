@@ -104,5 +104,5 @@ def test_decoder_scores_long_turns(spark, tmp_path):
     some.select(*[some[c].cast(t) for c, t in longest.dtypes]).unionByName(longest).write.parquet(str(tmp_path / "long" / "conversations.parquet"))
     short, both = ({r["example"]: tuple(r)[1:] for r in registry.queries()["decoder_scores"](spark, str(tmp_path / d)).collect()} for d in ("short", "long"))
     assert short and {k: v[0] for k, v in short.items()} == {k: both[k][0] for k in short}
-    assert set(both) == set(short) | {900_001, 901_001}
-    assert both[900_001][0] == 18_001 and both[901_001][0] == 1 and np.isfinite(both[900_001][1])
+    assert set(both) == set(short) | {"900:1", "901:1"}
+    assert both["900:1"][0] == 18_001 and both["901:1"][0] == 1 and np.isfinite(both["900:1"][1])
