@@ -23,7 +23,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import texts
@@ -201,27 +201,63 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def prefix(text: Column) -> Column:
+    """The first seven bytes of a text as a number: it never falls where texts rise."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def cuts_below(cuts: list[tuple[int, int, int]], key: Column) -> Column:
+    """How many of the sorted cuts (flag, id, prefix) aren't above a key, looked up in two steps."""
+    literal = lambda some: F.array(*[F.struct(F.lit(f).alias("flag"), F.lit(i).cast("long").alias("id"), F.lit(p).cast("long").alias("prefix")) for f, i, p in some])
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    block = F.size(F.filter(literal(cuts[::step]), lambda c: c <= key))
+    inside = F.size(F.filter(F.slice(literal(cuts), F.greatest(block - 1, F.lit(0)) * step + 1, step), lambda c: c <= key))
+    return F.when(block == 0, 0).otherwise((block - 1) * step + inside)
+
+
 def neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Documents in stretches of rising doc_id: stretch, seen, doc_id, text.
+    """Documents in stretches of rising doc_id, then text: stretch, seen, doc_id, text.
 
-    Stretch k holds the ids from the k-th cut up to the next one, and also, marked seen, the rows that come next after its own: those
-    of the next cut's id, or, in the last stretch, those of the least id. Rows move once; only the cuts, a fixed multiple of
-    the partitions, are on the driver.
+    Stretch k holds the rows from the k-th cut up to the next one, and also, marked seen, the rows that come next after its own: those
+    at the next cut, or, in the last stretch, the first of all. Cuts lie at doc_ids, and for a doc_id (or null) that fills stretches of
+    its own also at the beginnings of its texts, so that no id's rows meet in one task. Rows move once; only the cuts, a fixed multiple
+    of the partitions, are on the driver.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stretches = parts * STRETCHES
     rows = texts(docs)
-    found = rows.agg(F.percentile_approx("doc_id", [k / stretches for k in range(1, stretches)], 10_000).alias("cuts"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
-    cuts = sorted({c for c in found["cuts"] or () if found["nulls"] or c != found["least"]})
-    array = F.array(*map(F.lit, cuts)).cast("array<long>")
-    stretch = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(array, lambda c: c <= F.col("doc_id"))))
-    head = F.col("doc_id").isNull() if found["nulls"] else F.col("doc_id") == F.lit(found["least"])
+    shares = [k / stretches for k in range(1, stretches)]
+    found = rows.agg(F.percentile_approx("doc_id", shares, 10_000).alias("cuts"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named")).first()
+    cuts = found["cuts"] or []
+    nulls = found["n"] - found["named"]
+    fills = {(1, c): cuts.count(c) for c in set(cuts)} | {(0, 0): nulls * stretches // max(found["n"], 1)}
+    hot = {key: m for key, m in fills.items() if m > 1}  # as many as there are stretches at most
+    flag, known = F.col("doc_id").isNotNull().cast("int"), F.coalesce("doc_id", F.lit(0))
+    is_hot = F.lit(False)
+    if hot:
+        ids = [i for f, i in hot if f]
+        is_hot = F.coalesce(F.col("doc_id").isin(ids), F.lit(False)) if ids else F.lit(False)
+        is_hot = is_hot | F.col("doc_id").isNull() if (0, 0) in hot else is_hot
+    key = F.struct(flag.alias("flag"), known.alias("id"), F.when(is_hot, prefix(F.col("text"))).otherwise(F.lit(-1).cast("long")).alias("prefix"))
+    places = {(f, i, -1) for f, i in fills if f and (f, i) not in hot}
+    if hot:
+        inside = rows.filter(is_hot).groupBy(flag.alias("flag"), known.alias("id")).agg(F.percentile_approx(prefix(F.col("text")), shares, 10_000).alias("at"))
+        for r in inside.collect():  # a row for each hot id
+            places |= {(r["flag"], r["id"], p) for p in (0, *r["at"][:: max(1, stretches // hot[r["flag"], r["id"]])])}
+    # quantiles are approximate, of large numbers too: the cuts are the first keys that there are from them on
+    rough = cuts_below(sorted(places), key)
+    firsts = sorted(tuple(r["first"]) for r in rows.groupBy(rough.alias("stretch")).agg(F.min(key).alias("first")).collect())  # a row for each stretch
+    head, cuts = (firsts[0], firsts[1:]) if firsts else ((0, 0, -1), [])
+    stretch = cuts_below(cuts, key)
+    equal = lambda c: key == F.struct(F.lit(c[0]).alias("flag"), F.lit(c[1]).cast("long").alias("id"), F.lit(c[2]).cast("long").alias("prefix"))
     own = F.struct(stretch.alias("stretch"), F.lit(0).alias("seen"))
     places = F.array(own)
     if cuts:
-        at_cut = F.coalesce(F.array_contains(array, F.col("doc_id")), F.lit(False))
+        at_cut = stretch > cuts_below(cuts, F.struct(key["flag"].alias("flag"), key["id"].alias("id"), (key["prefix"] - 1).alias("prefix")))
         places = F.when(at_cut, F.array(own, F.struct((stretch - 1).alias("stretch"), F.lit(1).alias("seen")))).otherwise(places)
-    places = F.when(head, F.array(own, F.struct(F.lit(len(cuts)).alias("stretch"), F.lit(2).alias("seen")))).otherwise(places)
+    places = F.when(equal(head), F.array(own, F.struct(F.lit(len(cuts)).alias("stretch"), F.lit(2).alias("seen")))).otherwise(places)
     dealt = rows.withColumn("at", F.explode(places)).select("at.stretch", "at.seen", "doc_id", "text")
     return dealt.repartition(parts, "stretch").sortWithinPartitions("stretch", "seen", F.col("doc_id").asc_nulls_first(), "text")
 

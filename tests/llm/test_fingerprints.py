@@ -54,6 +54,20 @@ def test_fingerprint(spark):
     assert all(len(p) == 1 for p in prints.values()) and len(set.union(*prints.values())) == len({t.strip() for t in prints})
 
 
+def test_hot_ids(spark):
+    """A doc_id and null with a third of all rows each, equal texts among them: every row is followed by the next by doc_id, then text, and no stretch holds an id's rows."""
+    r = random.Random(12)
+    docs = [(7, words(r, 3) if k % 4 else "the same text") for k in range(400)] + [(None, words(r, 3)) for _ in range(400)] + [(1000 + k, words(r, 3)) for k in range(400)] + [(-5, ""), (-5, None)]
+    far = [(2**60 + 3 * k, words(r, 3)) for k in range(300)]  # a double does not hold these
+    for some in (docs, docs[:400], docs[400:800], docs[:800], far):
+        dealt = Counter((x["stretch"], x["doc_id"]) for x in fp.neighbours(table(spark, some), parts=4).filter("seen = 0").collect())
+        assert sum(dealt.values()) == len(some) and max(dealt.values()) < 250
+        found = fp.fingerprint(table(spark, some), parts=4).collect()
+        order = sorted(((d, t or "") for d, t in some), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+        expected = Counter((d, fp.edited(t, order[(k + 1) % len(order)][1])) for k, (d, t) in enumerate(order))
+        assert Counter((x["doc_id"], x["edited"]) for x in found) == expected
+
+
 def test_likeness_against_sets(spark):
     """Every row's two likenesses and fingerprints against plain sets of its paragraphs; fingerprints alone give the likeness where the difference is small."""
     docs = [(k, t) for k, (_, t) in enumerate(rows())]
