@@ -57,9 +57,14 @@ def split_duplicates(spark, sf_dir):
     return stats.duplicates(split_documents(spark, sf_dir), "split", ["doc_id", "semantic_case_id", "text"])
 
 
-def _case_rows(spark, sf_dir, texts: bool = True) -> DataFrame:
+def _split_cases(spark, sf_dir) -> DataFrame:
+    """All records with their split; drawn once."""
+    return split.assign(materialized(exams(spark, sf_dir)), "semantic_case_id", unique=True)
+
+
+def _case_rows(spark, sf_dir, texts: bool = True, cases: DataFrame | None = None) -> DataFrame:
     """Generated samples of all records, by split part and family; without texts the records' fields and ids."""
-    cases = split.assign(materialized(exams(spark, sf_dir)), "semantic_case_id", unique=True)
+    cases = _split_cases(spark, sf_dir) if cases is None else cases
     if not texts:
         rows = split.template_splits(cases)
         return rows.withColumn("sample_id", render.sample_id(F.col("semantic_case_id"), F.col("template_family")))
@@ -108,8 +113,12 @@ def split_leakage_injected(spark, sf_dir):
 
 @register("template_split_counts", f"WITH {_CASE_ROWS_SQL} SELECT part, template_family, count(*) AS n, count(DISTINCT semantic_case_id) AS cases, {_LENGTHS_SQL('length(target)')} FROM cr GROUP BY 1, 2")
 def template_split_counts(spark, sf_dir):
-    rows = _case_rows(spark, sf_dir).withColumn("chars", F.char_length("target").cast("bigint"))
-    return rows.groupBy("part", "template_family").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("semantic_case_id").alias("cases"), *length_statistics("chars"))
+    """Lengths and distinct cases are counted apart, as a distinct count beside percentiles would carry their buffers for every case."""
+    keys, cases = ["part", "template_family"], _split_cases(spark, sf_dir)
+    rows = _case_rows(spark, sf_dir, cases=cases).select(*keys, F.char_length("target").cast("bigint").alias("chars"))
+    lengths = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *length_statistics("chars"))
+    distinct = split.template_splits(cases.select("semantic_case_id", "split")).groupBy(*keys).agg(F.count_distinct("semantic_case_id").alias("cases"))
+    return lengths.join(distinct, keys)
 
 
 @register("dataset_field_counts", f"WITH {_CASE_ROWS_SQL}, d AS (SELECT DISTINCT part, semantic_case_id, {', '.join(vocab.FIELDS)} FROM cr), u AS (UNPIVOT (SELECT part, {', '.join(f'{c} AS "{n}"' for n, c in stats.SPECIFIED.items())} FROM d) ON COLUMNS(* EXCLUDE part) INTO NAME field VALUE value) SELECT part, field, value, count(*) AS n FROM u GROUP BY 1, 2, 3")
