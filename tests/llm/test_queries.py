@@ -39,3 +39,18 @@ def test_one_result_for_each_document(spark, name):
     ids = sorted(x["doc_id"] for x in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect())
     found = __spark_entry__.queries()[name](spark, SMALL).select("doc_id").collect()
     assert sorted(x["doc_id"] for x in found) == ids if name[:4] != "op1_" else sorted({x["doc_id"] for x in found}) == ids
+
+
+def test_counts_of_personal_data(spark):
+    """The registered query's counts and hashes against plain patterns; n_spans counts what the field adds too."""
+    from hashlib import sha256
+
+    from tests.llm.test_pii import plain
+
+    texts = {x["doc_id"]: x["text"] or "" for x in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for x in __spark_entry__.queries()["op4_pii_semi_markov"](spark, SMALL).collect():
+        base = plain(texts[x["doc_id"]])
+        assert x["base_sha256"] == sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [x[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")]
+        spans = x["spans"].split(",") if x["spans"] else []
+        assert x["n_spans"] == len(spans) == len(set(spans)) and {f"{k}:{a}:{b}" for k, a, b in base} <= set(spans)
