@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab
-from millrace.functions.exprs import DIGITS, clip
+from millrace.functions.exprs import DIGITS, clip, content_id
 from millrace.operators import challenge, extract, render, score, stats, tokens, training
 from millrace.plans import duck
 from millrace.plans.corpus import _BATCH_SQL, _CASE_ROWS_SQL, _STATES_SQL, _batches, _case_rows
@@ -129,6 +129,45 @@ def release_round_trip(spark, sf_dir):
     return found.select("example_id", "split", "semantic_case_id", F.sha2("input", 256).alias("input_sha256"), "reference_text")
 
 
+_CHALLENGE_JSON = f"""WITH {duck.FRAGMENTS}, c AS (SELECT *, {duck.report('location_first_v2')} AS reference_report FROM p1)
+SELECT 'challenge_' || sha256('{vocab.CHALLENGE_VERSION}:' || semantic_case_id || ':' || reference_report) AS example_id, 'challenge' AS split, semantic_case_id, reference_report AS reference_text, location_side || ',' || composition AS tags FROM c"""
+
+
+@register("challenge_round_trip", _CHALLENGE_JSON)
+def challenge_round_trip(spark, sf_dir):
+    """Challenge rows with ids and tags, written as JSON lines to the shared folder and read again as evaluation examples."""
+    rows = render.fragments(exams(spark, sf_dir)).withColumn("reference_report", render.report("location_first_v2"))
+    made = rows.select(
+        content_id("challenge_", F.concat(F.lit(f"{vocab.CHALLENGE_VERSION}:"), F.col("semantic_case_id"), F.lit(":"), F.col("reference_report"))).alias("challenge_id"),
+        "semantic_case_id",
+        "input",
+        "reference_report",
+        F.array("location_side", "composition").alias("difficulty_tags"),
+        F.lit(vocab.SCHEMA_VERSION).alias("schema_version"),
+        F.lit(vocab.CHALLENGE_VERSION).alias("challenge_version"),
+        F.lit("made").alias("authoring_method"),
+        F.lit("synthetic").alias("source"),
+    )
+    folder = sinks.shared_folder(spark, "challenge")
+    sinks.json_lines(made).write.text(folder)
+    found = tables.challenge(spark, folder)
+    return found.select("example_id", "split", "semantic_case_id", "reference_text", F.array_join("difficulty_tags", ",").alias("tags"))
+
+
+@register("fixture_round_trip", f"WITH {duck.RENDERED} SELECT 'f' || attempt AS example_id, 'fixtures' AS split, {', '.join(vocab.FIELDS)}, array_to_string(list_transform(dims, lambda x: x::VARCHAR), ',') AS dims_text, dims_state, target AS reference_text FROM r1 WHERE template_family = 'location_first_v2'")
+def fixture_round_trip(spark, sf_dir):
+    """Nested records as curated fixtures are kept, written as JSON lines to the shared folder and read again as flat ones."""
+    rows = _rendered(spark, sf_dir).filter("template_family = 'location_first_v2'")
+    dims = F.concat(F.lit("["), F.array_join(F.transform("dims", lambda x: x.cast("string")), ","), F.lit("]"))
+    own = [F.col(f) for f in vocab.FIELDS if not f.startswith("location") and f != "lymph_nodes"]
+    nodule = F.struct(F.lit("n1").alias("nodule_id"), F.struct(F.col("location_side").alias("side"), F.col("location_segment").alias("segment")).alias("location"), F.coalesce(dims, "dims_state").alias("dimensions_mm"), *own)
+    made = rows.select(F.concat(F.lit("f"), F.col("attempt").cast("string")).alias("sample_id"), F.struct(F.array(nodule).alias("nodules"), "lymph_nodes").alias("structure"), F.col("target").alias("report"))
+    folder = sinks.shared_folder(spark, "fixtures")
+    sinks.json_lines(made).write.text(folder)
+    found = tables.fixtures(spark, folder)
+    return found.select("example_id", "split", *vocab.FIELDS, F.array_join(F.transform("dims", lambda x: x.cast("string")), ",").alias("dims_text"), "dims_state", "reference_text")
+
+
 @register(
     "bundle_files",
     "WITH l AS (SELECT 'region_' || n_regionkey AS part, n_nationkey AS k, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}' AS line FROM nation) SELECT part, part || '.jsonl' AS path, count(*) AS records, sum(strlen(line) + 1)::BIGINT AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY k)) AS sha256 FROM l GROUP BY 1",
