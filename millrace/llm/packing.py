@@ -2,7 +2,7 @@
 
 Documents are encoded, an end id is added, and only documents over the sequence length are cut. The packing plan is made
 from the histogram of piece lengths alone (at most ``max_len`` counts, whatever the corpus holds): for each length the
-plan looks up singles, pairs and triples of lengths that fill the gap exactly and consumes as many combinations as the
+plan looks up, in an index by sum, singles, pairs and triples of lengths that fill the gap exactly and consumes as many combinations as the
 counts allow at once; what stays is placed best-fit decreasing, again many equal pieces at a time. The plan has a few
 thousand runs, each "pieces number a to b of length l go to sequences from s on, k to a sequence, at place o". Pieces get
 their number within their length from counts of salted buckets, so no length (even one of a third of all rows) meets in a task.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,18 +51,73 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id:
     return per_chunk(texts(docs), work, "doc_id long, piece int, start long, length long, ids binary")
 
 
+class SumIndex:
+    """Which sums single lengths, pairs and triples of them give, under the counts that are left.
+
+    Pairs are kept by their sum, largest first, as two arrays; pair_count says for each sum how many of its pairs are still available, and is kept right
+    whenever a length runs out, so that a sum without pairs is never looked through; a triple of a sum is a length and a pair of the rest.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.left = counts.copy()
+        lengths = np.flatnonzero(counts)
+        i, j = np.triu_indices(len(lengths))
+        large, small = lengths[j], lengths[i]
+        fits = large + small < len(counts)
+        large, small = large[fits], small[fits]
+        order = np.lexsort((-large, large + small))
+        self.large, self.small = large[order], small[order]
+        self.starts = np.searchsorted(self.large + self.small, np.arange(len(counts) + 1))
+        there = (large != small) | (counts[large] > 1)
+        self.pair_count = np.bincount((large + small)[there], minlength=len(counts))
+
+    def take(self, length: int, n: int) -> None:
+        before = int(self.left[length])
+        self.left[length] = after = before - n
+        if before > 1 >= after and 2 * length < len(self.left):
+            self.pair_count[2 * length] -= 1
+        if before and not after:
+            others = np.flatnonzero(self.left[: max(0, len(self.left) - length)])
+            self.pair_count[others + length] -= 1
+
+    def single(self, total: int) -> bool:
+        return bool(self.left[total])
+
+    def pairs(self, total: int, most: int | None = None) -> list[tuple[int, int]]:
+        """Available pairs (a >= b, a at most most) with this sum, largest a first."""
+        if total < 2 or not self.pair_count[total]:
+            return []
+        part = slice(self.starts[total], self.starts[total + 1])
+        a, b = self.large[part], self.small[part]
+        ok = (self.left[a] > 0) & (self.left[b] > (a == b))
+        if most is not None:
+            ok &= a <= most
+        return list(zip(a[ok].tolist(), b[ok].tolist(), strict=True))
+
+    def triples(self, total: int) -> Iterator[tuple[int, int, int]]:
+        """Available triples (a >= b >= c) with this sum, largest a first; counts may change between two of them."""
+        for a in range(total - 2, (total + 2) // 3 - 1, -1):
+            if self.left[a] and self.pair_count[total - a]:
+                for b, c in self.pairs(total - a, a):
+                    if not self.left[a]:
+                        break
+                    yield a, b, c
+
+
 def packing_plan(counts: dict[int, int], max_len: int = MAX_LEN) -> list[Run]:
     """Runs that place each piece of the histogram once; sequences are numbered from 0."""
-    left = np.zeros(max_len + 1, np.int64)
+    start = np.zeros(max_len + 1, np.int64)
     for length, n in counts.items():
-        left[length] = n
+        start[length] = n
+    index = SumIndex(start)
+    left = index.left
     used, runs, sequences = np.zeros(max_len + 1, np.int64), [], 0
 
     def take(length: int, n: int, each: int, sequence: int, place: int) -> None:
         """n pieces of a length, each to a sequence, at a place."""
         runs.append((length, int(used[length]), n, each, sequence, place))
         used[length] += n
-        left[length] -= n
+        index.take(length, n)
 
     def consume(parts: list[int]) -> None:
         """Fills as many sequences with these lengths, exactly, as the counts allow."""
@@ -75,38 +131,17 @@ def packing_plan(counts: dict[int, int], max_len: int = MAX_LEN) -> list[Run]:
                 place += x * k
             sequences += n
 
-    def pair(total: int) -> list[tuple[int, int]]:
-        """Pairs (a >= b) of available lengths with this sum, largest a first."""
-        low, high = max(1, (total + 1) // 2), min(max_len, total - 1)
-        if low > high:
-            return []
-        a = np.arange(high, low - 1, -1)
-        ok = (left[a] > 0) & (left[total - a] > 0) & ((a != total - a) | (left[a] > 1))
-        return [(int(x), total - int(x)) for x in a[ok]]
-
     if left[max_len]:
         consume([max_len])
     for length in range(max_len - 1, 0, -1):
         gap = max_len - length
-        if left[length] and left[gap]:
+        if left[length] and index.single(gap):
             consume([length, gap])
-        if left[length]:
-            for a, b in pair(gap):
-                if not left[length]:
-                    break
-                consume([length, a, b])
-        if left[length]:
-            here = np.concatenate([(left > 0).astype(float), np.zeros(max_len + 1)])
-            sums = np.fft.irfft(np.fft.rfft(here) ** 2, len(here)) > 0.5  # of two available lengths
-            for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
+        for some in (index.pairs(gap), index.triples(gap)) if left[length] else ():
+            for parts in some:
                 if not left[length]:
                     break
-                if left[a] and sums[gap - a]:
-                    for b, c in pair(gap - a):
-                        if b <= a:
-                            consume([length, a, b, c])
-                        if not left[length] or not left[a]:
-                            break
+                consume([length, *parts])
     gaps: list[int] = []  # sorted; equal gaps share a list of (first sequence, sequences)
     open_: dict[int, list[tuple[int, int]]] = {}
 

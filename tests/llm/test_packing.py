@@ -36,6 +36,29 @@ def test_plan_places_every_piece_once(seed):
     assert len(sequences) <= max(least + 2, 1.25 * least)
 
 
+def test_index_of_sums():
+    """Singles, pairs and triples by their sum, against all combinations, while counts go down."""
+    import itertools
+
+    r = random.Random(3)
+    for _ in range(30):
+        counts = np.zeros(25, np.int64)
+        for _ in range(r.randint(0, 30)):
+            counts[r.randint(1, 24)] += r.randint(1, 2)
+        index = packing.SumIndex(counts)
+        while True:
+            lengths = np.flatnonzero(index.left).tolist()
+            for total in range(1, 25):
+                ways = {k: {tuple(sorted(c, reverse=True)) for c in itertools.combinations_with_replacement(lengths, k) if sum(c) == total and all(index.left[x] >= c.count(x) for x in c)} for k in (1, 2)}
+                assert index.single(total) == bool(ways[1]) and index.pairs(total) == sorted(ways[2], reverse=True) and index.pair_count[total] == len(ways[2])
+                triples = {tuple(sorted(c, reverse=True)) for c in itertools.combinations_with_replacement(lengths, 3) if sum(c) == total and all(index.left[x] >= c.count(x) for x in c)}
+                assert triples <= set(index.triples(total))  # those that need a length oftener than it is left are told by the counts
+            if not lengths:
+                break
+            gone = r.choice(lengths)
+            index.take(gone, r.randint(1, int(index.left[gone])))
+
+
 def test_plan_fills_exactly():
     assert len({r[4] for r in packing.packing_plan({60: 1, 40: 1, 50: 1, 30: 1, 20: 1, 70: 1, 15: 2}, 100)}) == 3
 
