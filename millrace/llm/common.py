@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,8 +14,16 @@ from pyspark.sql import functions as F
 
 #: Rows of text in one step of vectorised work, in bytes; bounds a worker's memory whatever the batch holds.
 CHUNK_BYTES = 1 << 20
-#: Folders that shared_folder() gave in this session.
-_MADE: list[str] = []
+
+
+class _Made(threading.local):
+    """Folders that shared_folder() gave to a thread: what another thread works with is never deleted from here."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+
+_MADE = _Made()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(base)
     folder = f"{base}/millrace-{uuid.uuid4().hex}"
-    _MADE.append(folder)
+    _MADE.folders.append(folder)
     return folder
 
 
@@ -36,13 +45,19 @@ def discard(spark: SparkSession, folders: list[str]) -> None:
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        if folder in _MADE:
-            _MADE.remove(folder)
+        if folder in _MADE.folders:
+            _MADE.folders.remove(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM look for what is no longer in use: Spark then deletes the shuffle files of finished steps, which else lie on the executors'
+    disks until the driver's memory happens to run short."""
+    spark._jvm.System.gc()
 
 
 def made() -> list[str]:
-    """The folders that shared_folder() gave and that are still there."""
-    return list(_MADE)
+    """The folders that shared_folder() gave to this thread and that are still there."""
+    return list(_MADE.folders)
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import identity, located, per_chunk, written
+from millrace.llm.common import discard, identity, located, made, per_chunk, release, shared_folder, written
 from millrace.llm.shingles import _SPACE, mix
 from millrace.llm.suffix import permuted_prefixes, suffix_array
 
@@ -53,7 +53,7 @@ HOT = 5_000
 #: Bytes of text hashed at once: so much that the arrays stay in a processor's cache.
 HASH_BYTES = 1 << 19
 #: Bytes of contexts that are halved together, and bytes of what is left of them for a suffix array.
-HALVED_BYTES, SHARD_BYTES = 1 << 20, 2 << 20
+HALVED_BYTES, SHARD_BYTES = 1 << 19, 1 << 19
 BASE = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 BYTE_KIND, WORD_KIND = 0, 1
@@ -365,16 +365,26 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = WORDS, word_gram: int = WORD_GRAM) -> DataFrame:
     """doc_id, n_bytes, spans (start and end of what goes), kept (the bytes that stay) and passages (start and end of maximal stretches of words that
     lie in strings of so many words which also start elsewhere) of every document."""
-    rows, sizes = keyed(docs), Sizes((length, words), (gram, word_gram))
-    table = written(all_contexts(rows, sizes))
+    spark, rows, sizes = docs.sparkSession, keyed(docs), Sizes((length, words), (gram, word_gram))
+    before = made()
+
+    def step(df: DataFrame, *wanted: str) -> tuple[DataFrame, str]:
+        """The table written, and its folder; of the tables made before only those wanted stay, and shuffle files of steps that are done go."""
+        folder = shared_folder(spark)
+        df = written(df, folder)
+        discard(spark, [f for f in made() if f not in (*before, *wanted, folder)])
+        release(spark)
+        return df, folder
+
+    table, table_at = step(all_contexts(rows, sizes))
     one = [F.first(c).alias(c) for c in ("file", "row", "low", "high")]  # all four of one row
-    counts = written(table.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), *one))
+    counts, counts_at = step(table.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), *one), table_at)
     by_anchor = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least"))
+    unsure, unsure_at = step(by_anchor.filter("different > 1 and least = 1").select("anchor", (F.col("different") > HOT).alias("hot")), table_at, counts_at)
     twice = counts.filter("n > 1").select("anchor", "digest")
-    whole = table.join(twice, ["anchor", "digest"]).select(F.col("anchor").bitwiseAND(1).cast("boolean").alias("word"), "file", "row", "low", "high")
-    unsure = written(by_anchor.filter("different > 1 and least = 1").select("anchor", (F.col("different") > HOT).alias("hot")))
+    whole, whole_at = step(table.join(twice, ["anchor", "digest"]).select(F.col("anchor").bitwiseAND(1).cast("boolean").alias("word"), "file", "row", "low", "high"), counts_at, unsure_at)
     wanted = counts.join(unsure, "anchor").select("anchor", "hot", (F.col("n") == 1).alias("alone"), "file", "row", "low", "high")
-    per_text = wanted.groupBy("file", "row").agg(F.collect_list(F.struct("anchor", "hot", "alone", "low", "high")).alias("wanted"))
+    per_text, _ = step(wanted.groupBy("file", "row").agg(F.collect_list(F.struct("anchor", "hot", "alone", "low", "high")).alias("wanted")), unsure_at, whole_at)
 
     def bytes_of(batch: pa.RecordBatch) -> dict:
         out = defaultdict(list)
@@ -387,11 +397,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
     fetched = rows.join(per_text.hint("merge"), ["file", "row"]).select("file", "row", "text", "wanted")
     strings = per_chunk(fetched, bytes_of, "anchor long, hot boolean, alone boolean, file long, row long, low long, bytes binary")
     if unsure.filter("hot").isEmpty():
-        alone = written(shard_windows(strings, sizes))
+        alone, _ = step(shard_windows(strings, sizes), whole_at)
     else:
-        strings = written(strings)
-        alone = written(shard_windows(strings.filter("not hot"), sizes).unionByName(halved_windows(strings.filter("hot").drop("hot"), sizes)))
-    covered = whole.unionByName(alone).groupBy("file", "row").agg(F.collect_list(F.struct("word", "low", "high")).alias("covered"))
+        strings, _ = step(strings, whole_at)
+        alone, _ = step(shard_windows(strings.filter("not hot"), sizes).unionByName(halved_windows(strings.filter("hot").drop("hot"), sizes)), whole_at)
+    covered, _ = step(whole.unionByName(alone).groupBy("file", "row").agg(F.collect_list(F.struct("word", "low", "high")).alias("covered")))
 
     def cut(batch: pa.RecordBatch) -> dict:
         raw = batch.column("text").to_pylist()
