@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import types as T
 
-CLASHES = ("text_sha256", "digest", "key", "n", "set", "shard", "size", "length", "bucket", "label", "score", "spans", "stretch", "edits", "keep", "part", "group", "x", "label_")
+CLASHES = ("text_sha256", "digest", "key", "n", "set", "shard", "size", "length", "bucket", "label", "score", "spans", "stretch", "edits", "keep", "part", "group", "x", "label_", "_place", "_metadata", "file", "row", "anchor", "word", "hot", "cluster", "_at", "stretch_", "who", "full")
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), *[T.StructField(c, T.StringType()) for c in CLASHES]])
 
 
