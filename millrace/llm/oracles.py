@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import jaccard, sharding, substrings
+from millrace.llm import jaccard, linededup, sharding, substrings
 
 #: White space between words: ASCII, as everywhere here.
 GAP = r"[ \t\n\x0b\x0c\r]"
@@ -79,3 +79,20 @@ WITH RECURSIVE
      m AS (SELECT a AS g, count(*) AS n_different, sum(copies) AS documents FROM l JOIN c ON c.g = l.b GROUP BY a)
 SELECT doc_id, class_id, (coalesce(documents, 0) + copies - 1)::BIGINT AS n_links, coalesce(n_different, 0)::BIGINT AS n_different, copies
 FROM f JOIN c USING (g) JOIN k USING (g) LEFT JOIN m USING (g)"""
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def lines(long: int = linededup.LONG, many: int = linededup.MANY) -> str:
+    """Every line by its key, and the runs of lines that stay or go."""
+    return rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
+     k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{UPPER.lower()}') AS key FROM l),
+     g AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= {long} GROUP BY key HAVING count(DISTINCT doc_id) >= {many}),
+     m AS (SELECT doc_id, p, line, keeper IS NULL OR keeper = doc_id AS stays FROM k LEFT JOIN g USING (key)),
+     e AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, stays ORDER BY p) AS island FROM m),
+     r AS (SELECT doc_id, stays, min(p) AS low, count(*) AS n FROM e GROUP BY doc_id, stays, island),
+     runs AS (SELECT doc_id, CASE WHEN min_by(stays, low) THEN '' ELSE '0,' END || string_agg(n::VARCHAR, ',' ORDER BY low) || CASE WHEN max_by(stays, low) THEN '' ELSE ',0' END AS keep_runs FROM r GROUP BY doc_id)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (stays), '')) AS kept_sha256, any_value(keep_runs) AS keep_runs
+FROM m JOIN runs USING (doc_id) GROUP BY doc_id"""

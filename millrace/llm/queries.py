@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, editcounts, exact, fingerprints, jaccard, oracles, packing, pii, quality, sharding, substrings
+from millrace.llm import bytebpe, editcounts, exact, fingerprints, jaccard, linededup, oracles, packing, pii, quality, sharding, substrings
 from millrace.llm.common import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -89,6 +89,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(documents(spark, sf_dir), carry=("text",))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    kept = F.when(F.col("n_dropped") == 0, text).otherwise(linededup.kept_text(text, F.col("keep")))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"), F.array_join("keep", ",").alias("keep_runs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -99,4 +106,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_suffix_array_dedup": oracles.repeats(),
         "op6_byte_shards": oracles.shards(SHARDS),
         "op8_ngram_jaccard_join": oracles.join(),
+        "op13_line_dedup": oracles.lines(),
     }
