@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import jaccard, linededup, sharding, substrings
+from millrace.llm import jaccard, linededup, sharding, substrings, veccodes
 
 #: White space between words: ASCII, as everywhere here.
 GAP = r"[ \t\n\x0b\x0c\r]"
@@ -96,3 +96,27 @@ WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l
      runs AS (SELECT doc_id, CASE WHEN min_by(stays, low) THEN '' ELSE '0,' END || string_agg(n::VARCHAR, ',' ORDER BY low) || CASE WHEN max_by(stays, low) THEN '' ELSE ',0' END AS keep_runs FROM r GROUP BY doc_id)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (stays), '')) AS kept_sha256, any_value(keep_runs) AS keep_runs
 FROM m JOIN runs USING (doc_id) GROUP BY doc_id"""
+
+
+def codes(parts: int = veccodes.PARTS, entries: int = veccodes.ENTRIES, rounds: int = veccodes.ROUNDS) -> str:
+    """Every round with all distances of all parts to all entries."""
+    floor = "((s - ((s % c) + c) % c) // c)"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+     d{k} AS MATERIALIZED (SELECT row, p.part, entry, list_sum(list_transform(list_zip(x, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN b{k} ON b{k}.part = p.part),
+     a{k} AS MATERIALIZED (SELECT row, part, min(d) AS d, arg_min(entry, (d, entry)) AS entry FROM d{k} GROUP BY row, part)""")
+        if k < rounds:
+            steps.append(f"""
+     m{k} AS (SELECT part, entry, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS c FROM a{k} JOIN p USING (row, part), range(1, len(x) + 1) AS r(i) GROUP BY part, entry, i),
+     u{k} AS (SELECT part, entry, list({floor}::BIGINT ORDER BY i) AS b FROM m{k} GROUP BY part, entry),
+     b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(u{k}.b, b{k}.b) AS b FROM b{k} LEFT JOIN u{k} USING (part, entry))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS row, vec_id, label, list_transform(embedding, lambda x: floor({veccodes.SCALE} * x::DOUBLE)::BIGINT) AS x
+           FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+     p AS MATERIALIZED (SELECT row, part, x[part * len(x) // {parts} + 1 : (part + 1) * len(x) // {parts}] AS x FROM v, range({parts}) AS r(part)),
+     b0 AS (SELECT part, row AS entry, x AS b FROM p WHERE row < {entries}),{','.join(steps)},
+     e AS (SELECT row, sum(d)::BIGINT AS error, string_agg(printf('%02x', entry), '' ORDER BY part) AS code FROM a{rounds} GROUP BY row),
+     l AS (SELECT label, sum(error)::BIGINT AS label_error FROM e JOIN v USING (row) GROUP BY label),
+     h AS (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM v JOIN e USING (row) JOIN l ON l.label IS NOT DISTINCT FROM v.label, h"""

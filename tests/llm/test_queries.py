@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__
 from tests.llm.tables import rows
+from tests.llm.test_veccodes import vectors as odd_vectors
 
 SMALL = "/root/testdata/sf0.001"
 OWN = sorted(k for k in __spark_entry__.queries() if k.startswith("op") and k[2].isdigit())
@@ -15,9 +16,12 @@ def test_against_sql(spark, tmp_path, name):
     """On the smallest tables, and on one with nulls, empty and long texts, ties and repeated texts."""
     odd = [(k, t) for k, (_, t) in enumerate(rows())]
     spark.createDataFrame(odd, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    for folder, files in ((SMALL, f"{SMALL}/documents.parquet"), (str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet")):
+    vectors = "vec_id long, embedding array<double>, label int"
+    spark.createDataFrame(odd_vectors(150, 8), vectors).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for folder, files in ((SMALL, ""), (str(tmp_path), "/*.parquet")):
         con = duckdb.connect()
-        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
+        for view in ("documents", "embeddings"):
+            con.sql(f"CREATE VIEW {view} AS SELECT * FROM '{folder}/{view}.parquet{files}'")
         wanted = con.sql(__spark_entry__.oracle_sql()[name])
         columns = sorted(wanted.columns)
         df = __spark_entry__.queries()[name](spark, folder)
@@ -29,8 +33,8 @@ def test_against_sql(spark, tmp_path, name):
         assert found == sorted(([r[wanted.columns.index(c)] for c in columns] for r in wanted.fetchall()), key=repr)
 
 
-def test_all_ten_are_registered():
-    assert [int(k[2:].split("_")[0]) for k in sorted(OWN, key=lambda k: int(k[2:].split("_")[0]))] == list(range(1, 11))
+def test_all_are_registered():
+    assert [int(k[2:].split("_")[0]) for k in sorted(OWN, key=lambda k: int(k[2:].split("_")[0]))] == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
 
 
