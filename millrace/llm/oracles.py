@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import jaccard, linededup, sharding, substrings, veccodes
+from millrace.llm import jaccard, linededup, phrases, sharding, substrings, veccodes
 
 #: White space between words: ASCII, as everywhere here.
 GAP = r"[ \t\n\x0b\x0c\r]"
@@ -120,3 +120,25 @@ WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) -
      l AS (SELECT label, sum(error)::BIGINT AS label_error FROM e JOIN v USING (row) GROUP BY label),
      h AS (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
 SELECT vec_id, code, error, label_error, codebooks_sha256 FROM v JOIN e USING (row) JOIN l ON l.label IS NOT DISTINCT FROM v.label, h"""
+
+
+def collocations(longest: int = phrases.LONGEST, least: int = phrases.LEAST, share: int = phrases.SHARE, top: int = phrases.TOP) -> str:
+    """Every phrase of every piece, and every part of every candidate."""
+    return rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents),
+     p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+     w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+     s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+     o AS (SELECT lang, w[i : i + k - 1] AS words FROM s, range(1, {longest} + 1) AS r(k) WHERE i + k - 1 <= len(w)),
+     f AS MATERIALIZED (SELECT lang, words, count(*) AS n FROM o GROUP BY lang, words HAVING count(*) >= {least}),
+     total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+     c AS MATERIALIZED (SELECT lang, words, n AS a FROM f WHERE len(words) > 1),
+     inner_words AS (SELECT lang, words[i : i + k - 1] AS words, max(a) AS longer FROM c, range(2, {longest}) AS r(k), range(1, {longest}) AS q(i)
+                     WHERE k < len(words) AND i + k - 1 <= len(words) GROUP BY ALL),
+     free AS (SELECT c.lang, c.words, a FROM c LEFT JOIN inner_words USING (lang, words) WHERE longer IS NULL OR 100 * longer < {share} * a),
+     cut AS (SELECT lang, words, a, k, words[1 : k] AS head, words[k + 1 : len(words)] AS tail FROM free, range(1, {longest}) AS r(k) WHERE k < len(words)),
+     x AS (SELECT lang, cut.words, a, k, h.n AS l, t.n AS r, total.n AS n, (1000::HUGEINT * a * total.n) // (h.n::HUGEINT * t.n) AS score
+           FROM cut JOIN f h USING (lang) JOIN f t USING (lang) JOIN total USING (lang) WHERE h.words = head AND t.words = tail),
+     best AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+     ranked AS (SELECT *, array_to_string(words, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= {top}"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, editcounts, exact, fingerprints, jaccard, linededup, oracles, packing, pii, quality, sharding, substrings, veccodes
+from millrace.llm import bytebpe, editcounts, exact, fingerprints, jaccard, linededup, oracles, packing, phrases, pii, quality, sharding, substrings, veccodes
 from millrace.llm.common import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -89,6 +89,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = veccodes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return coded.select("vec_id", veccodes.hex_code().alias("code"), "error", "label_error", F.lit(veccodes.digest(books)).alias("codebooks_sha256"))
@@ -111,6 +115,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_suffix_array_dedup": oracles.repeats(),
         "op6_byte_shards": oracles.shards(SHARDS),
         "op8_ngram_jaccard_join": oracles.join(),
+        "op11_phrase_collocations": oracles.collocations(),
         "op12_vector_codes": oracles.codes(),
         "op13_line_dedup": oracles.lines(),
     }

@@ -14,8 +14,8 @@ OWN = sorted(k for k in __spark_entry__.queries() if k.startswith("op") and k[2]
 @pytest.mark.parametrize("name", sorted(set(OWN) & set(__spark_entry__.oracle_sql())))
 def test_against_sql(spark, tmp_path, name):
     """On the smallest tables, and on one with nulls, empty and long texts, ties and repeated texts."""
-    odd = [(k, t) for k, (_, t) in enumerate(rows())]
-    spark.createDataFrame(odd, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    odd = [(k, t, "xx") for k, (_, t) in enumerate(rows())]
+    spark.createDataFrame(odd, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     vectors = "vec_id long, embedding array<double>, label int"
     spark.createDataFrame(odd_vectors(150, 8), vectors).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     for folder, files in ((SMALL, ""), (str(tmp_path), "/*.parquet")):
