@@ -1,8 +1,8 @@
 """Operator 11: phrases of words that stand together more often than their parts would, from suffix automata of shards of the text.
 
-1. Texts are cut to words as bytes, in windows of bounded size, and every word, pair and triple is counted in one of a number of cells by its hash (tasks send on cells and counts; their
+1. Texts are cut to words as bytes, in windows of bounded size, and every phrase of up to five words is counted in one of a number of cells by its hash (tasks send on cells and counts; their
    sums are no smaller than any phrase's count in them). The cells that reach the least count are one bit each.
-2. In a second reading, a place's context reaches back as far as all words, pairs and triples in it lie in such cells. Each shard (what a task has gathered, of bounded size)
+2. In a second reading, a place's context reaches back as far as all phrases in it lie in such cells. Each shard (what a task has gathered, of bounded size)
    builds a generalised suffix automaton of these contexts; its states give every substring of at most five words with the number of its ends.
 3. Counts are added up over all shards by phrase, and those below the least count go: the others are exact, as no phrase of theirs was cut off before.
 4. Each phrase takes its lowest score over all cuts. Subsumption goes along suffix links: the phrase that a longer one links to (without its first word), and its mirror (without its last word),
@@ -35,7 +35,7 @@ ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of one step, words of one automaton, cells of one step of counting.
 WINDOW, SHARD, CELLS = 1 << 20, 1 << 21, 1 << 23
 #: Phrases of so many words are counted in cells; bytes of text for each cell; bits of a cell's number at least and most; cells of one row.
-ORDERS, BYTES_A_CELL, LEAST_BITS, MOST_BITS, SLICE = 3, 16, 16, 30, 1 << 16
+ORDERS, BYTES_A_CELL, LEAST_BITS, MOST_BITS, SLICE = 5, 16, 16, 30, 1 << 16
 #: Frequent phrases are broadcast up to this many; beyond, they are joined by shuffles.
 BROADCAST_ROWS = 250_000
 
@@ -89,10 +89,10 @@ class Words:
         self.hash = mixed(mixed((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64)) + langs[self.document])
         self.piece = np.cumsum((kind == 2) | fresh[:n])[self.start]
 
-    def phrases(self) -> list[np.ndarray]:
+    def phrases(self, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For 1, 2, .. words: the hashes of the phrases that end at each word, and whether there is one in its piece."""
         out, value, whole = [], self.hash, np.ones(len(self.hash), bool)
-        for order in range(ORDERS):
+        for order in range(min(ORDERS, longest)):
             if order:
                 value = np.concatenate([value[:1], mixed(value[:-1] * np.uint64(2 * order + 1) + self.hash[1:])])
                 whole = np.concatenate([np.zeros(min(order, len(whole)), bool), self.piece[order:] == self.piece[:-order]])
@@ -129,11 +129,11 @@ def windows(part: pa.RecordBatch, powers: Powers, longest: int) -> Iterator[tupl
 
 
 def counted_cells(docs: DataFrame, bits: int, longest: int) -> DataFrame:
-    """slice, cells (16-bit numbers in it) and counts (32 bits): how often words, pairs and triples fall into cells, added up for some CELLS of them at a time."""
+    """slice, cells (16-bit numbers in it) and counts (32 bits): how often phrases fall into cells, added up for some CELLS of them at a time."""
 
     def rows(held: list[np.ndarray]) -> pa.RecordBatch:
         cells, counts = np.unique(np.concatenate(held), return_counts=True)
-        heads = np.flatnonzero(np.diff(cells // SLICE, prepend=-1))
+        heads = np.flatnonzero(np.diff((cells // SLICE).astype(np.int64), prepend=-1))
         parts = [(int(cells[a]) // SLICE, (cells[a:b] % SLICE).astype(np.uint16).tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(heads, np.append(heads[1:], len(cells)), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "cells", "counts"])
 
@@ -142,8 +142,8 @@ def counted_cells(docs: DataFrame, bits: int, longest: int) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text", WINDOW):
                 for words, _ in windows(part, powers, longest):
-                    for value, whole in words.phrases():
-                        held.append((value >> np.uint64(64 - bits))[words.seen :][whole[words.seen :]].astype(np.int64))
+                    for value, whole in words.phrases(longest):
+                        held.append((value >> np.uint64(64 - bits))[words.seen :][whole[words.seen :]].astype(np.uint32))
                         size += len(held[-1])
                     if size >= CELLS:
                         yield rows(held)
@@ -176,7 +176,7 @@ def full_cells(cells: DataFrame, bits: int, least: int, parts: int) -> np.ndarra
 def reach(words: Words, full: np.ndarray, bits: int, longest: int) -> np.ndarray:
     """How many words back, itself among them, each word's context may be frequent; 0 where the word itself can't be."""
     cap = np.full(len(words.hash), longest, np.int64)
-    for order, (value, whole) in reversed(list(enumerate(words.phrases()))):
+    for order, (value, whole) in reversed(list(enumerate(words.phrases(longest)))):
         cell = value >> np.uint64(64 - bits)
         hit = full[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1
         cap[~whole | (hit == 0)] = order
@@ -185,43 +185,48 @@ def reach(words: Words, full: np.ndarray, bits: int, longest: int) -> np.ndarray
 
 
 class Shard:
-    """Words that are gathered for one automaton."""
+    """What is gathered for one automaton: words with their counts, and the contexts of more than a word."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple] = []
+        self.words: dict[int, list] = {}  # hash -> language, text, count
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def add(self, words: Words, far: np.ndarray, lang: np.ndarray) -> None:
-        use = far >= 1
-        use[: words.seen] = True  # the words before lend context, and end nothing here
-        far = far.copy()
-        far[: words.seen] = 0
-        use[: words.seen] &= bool((far[words.seen : words.seen + 1] > 1).any())
-        names, number = np.unique(lang.astype(str), return_inverse=True)
-        self.parts.append((words.data, words.start[use], words.end[use], words.hash[use], far[use], names, number[words.document[use]]))
-        self.size += int(use.sum())
+        wide = far > 1
+        wide[:-1] |= wide[1:]  # a context begins at the word before
+        used = np.flatnonzero((far >= 1) | wide)
+        hashes, first, inverse = np.unique(words.hash[used], return_index=True, return_inverse=True)
+        counts = np.bincount(inverse, weights=used >= words.seen, minlength=len(hashes)).astype(np.int64)
+        for h, k, n in zip(hashes.tolist(), used[first].tolist(), counts.tolist(), strict=True):
+            if h in self.words:
+                self.words[h][2] += n
+            else:
+                self.words[h] = [lang[words.document[k]], words.data[words.start[k] : words.end[k]].tobytes().decode("utf-8", "replace"), n]
+        far = np.minimum(far, 127).astype(np.int8)
+        far[: words.seen] = 0  # the words before lend context, and end nothing here
+        self.parts.append((words.hash[wide], far[wide]))
+        self.size += int(wide.sum()) + len(hashes) // 16
 
     def phrases(self, longest: int) -> Iterator[pa.RecordBatch]:
-        """lang, n_words, phrase and n of every context."""
-        if not self.size:
-            return
-        base = np.cumsum([0, *(len(p[0]) for p in self.parts)])
-        data = np.concatenate([p[0] for p in self.parts])
-        start, end = (np.concatenate([p[k] + b for p, b in zip(self.parts, base[:-1], strict=True)]) for k in (1, 2))
-        hashes, far = (np.concatenate([p[k] for p in self.parts]) for k in (3, 4))
-        _, first, tokens = np.unique(hashes, return_index=True, return_inverse=True)
-        which = np.searchsorted(np.cumsum([len(p[1]) for p in self.parts]), first, side="right")
-        begins = np.cumsum([0, *(len(p[1]) for p in self.parts)])
-        langs = [str(self.parts[w][5][self.parts[w][6][i - begins[w]]]) for w, i in zip(which, first, strict=True)]
-        names = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[first], end[first], strict=True)]
+        """lang, n_words, phrase and n of every word and context."""
+        one = [x for x in self.words.values() if x[2]]
+        yield batch_of([x[0] for x in one], 1, [x[1] for x in one], [x[2] for x in one])
+        hashes, far = (np.concatenate([p[k] for p in self.parts] or [np.zeros(0, t)]) for k, t in ((0, np.uint64), (1, np.int8)))
+        self.parts.clear()
+        distinct, tokens = np.unique(hashes, return_inverse=True)
+        names = [self.words[h] for h in distinct.tolist()]
         found = build(tokens, far, longest)
-        for length in range(1, longest + 1):
+        for length in range(2, longest + 1):
             ends, counts = found.substrings(length)
             for low in range(0, len(ends), 1 << 16):
-                some = ends[low : low + (1 << 16)]
-                texts = [" ".join([names[t] for t in row]) for row in tokens[some[:, None] + np.arange(1 - length, 1)].tolist()]
-                out = [pa.array([langs[t] for t in tokens[some].tolist()]), pa.array(np.full(len(some), length, np.int8)), pa.array(texts), pa.array(counts[low : low + (1 << 16)].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(out, names=["lang", "n_words", "phrase", "n"])
+                some = tokens[ends[low : low + (1 << 16), None] + np.arange(1 - length, 1)].tolist()
+                yield batch_of([names[row[0]][0] for row in some], length, [" ".join([names[t][1] for t in row]) for row in some], counts[low : low + (1 << 16)])
+
+
+def batch_of(langs: list[str], length: int, texts: list[str], counts) -> pa.RecordBatch:
+    out = [pa.array(langs, pa.string()), pa.array(np.full(len(langs), length, np.int8)), pa.array(texts, pa.string()), pa.array(np.asarray(counts, np.int64))]
+    return pa.RecordBatch.from_arrays(out, names=["lang", "n_words", "phrase", "n"])
 
 
 def shard_phrases(docs: DataFrame, full: np.ndarray, bits: int, longest: int) -> DataFrame:
@@ -241,8 +246,7 @@ def shard_phrases(docs: DataFrame, full: np.ndarray, bits: int, longest: int) ->
                         yield from shard.phrases(longest)
                         shard = Shard()
         yield from shard.phrases(longest)
-        out = [pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int8()), pa.array([""] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(out, names=["lang", "n_words", "phrase", "n"])
+        yield batch_of(list(totals), 0, [""] * len(totals), list(totals.values()))
 
     return docs.mapInArrow(run, "lang string, n_words tinyint, phrase string, n long")
 
