@@ -79,3 +79,14 @@ def hysteresis_stream(spark, sf_dir):
 
     stream = file_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     return available_rows(hysteresis(stream, "user_id", "ts", "event_id", "value", 80, 40)).select("user_id", "episode", "seconds")
+
+
+@register("event_silences", f"WITH n AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM (SELECT DISTINCT user_id, ts FROM events)) SELECT user_id, ts AS since FROM n WHERE {_SECONDS.format(a='ts', b='next')} >= {_STALL} OR next IS NULL AND ts + INTERVAL {_STALL} SECOND <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def event_silences(spark, sf_dir):
+    """Stretches without events by registered timers over the event file as a stream: also those of users of whom nothing comes any more."""
+    from millrace.streaming.liveness import rocksdb_state, silences
+    from millrace.streaming.run import available_rows, file_stream
+
+    stream = file_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    with rocksdb_state(spark):
+        return available_rows(silences(stream, "user_id", "ts", _STALL)).withColumn("since", F.col("since").cast("timestamp_ntz"))
