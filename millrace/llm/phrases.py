@@ -4,7 +4,8 @@
    sums are no smaller than any phrase's count in them). The cells that reach the least count are one bit each.
 2. In a second reading, a place's context reaches back as far as all phrases in it lie in such cells. Each shard (what a task has gathered, of bounded size)
    builds a generalised suffix automaton of these contexts; its states give every substring of at most five words with the number of its ends.
-3. Counts are added up over all shards by phrase, and those below the least count go: the others are exact, as no phrase of theirs was cut off before.
+3. Counts are added up over all shards by phrase, and those below the least count go: the others are exact, as no phrase of theirs was cut off before. A shard sends its phrases as one block for each
+   bucket of phrases, and buckets are folded block by block.
 4. Each phrase takes its lowest score over all cuts. Subsumption goes along suffix links: the phrase that a longer one links to (without its first word), and its mirror (without its last word),
    are dropped when the longer one is as frequent. One word more is enough to look at, as counts of phrases in between lie between.
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ LONGEST, LEAST, SHARE, TOP = 5, 100, 100, 2000
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of one step, words of one automaton, cells of one step of counting.
 WINDOW, SHARD, CELLS = 1 << 20, 1 << 21, 1 << 23
+#: Phrases that a bucket gathers before it adds them up.
+FOLD = 1 << 20
 #: Phrases of so many words are counted in cells; bytes of text for each cell; bits of a cell's number at least and most; cells of one row.
 ORDERS, BYTES_A_CELL, LEAST_BITS, MOST_BITS, SLICE = 5, 16, 16, 30, 1 << 16
 #: Frequent phrases are broadcast up to this many; beyond, they are joined by shuffles.
@@ -189,9 +193,15 @@ class Shard:
 
     def __init__(self) -> None:
         self.words: dict[int, list] = {}  # hash -> language, text, count
+        self.totals: dict[str, int] = {}  # words of each language
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
+    def count(self, words: Words, lang: np.ndarray) -> None:
+        held = np.bincount(words.document[words.seen :], minlength=len(lang))
+        for k in np.flatnonzero(held):
+            self.totals[lang[k]] = self.totals.get(lang[k], 0) + int(held[k])
+
     def add(self, words: Words, far: np.ndarray, lang: np.ndarray) -> None:
         wide = far > 1
         wide[:-1] |= wide[1:]  # a context begins at the word before
@@ -208,10 +218,12 @@ class Shard:
         self.parts.append((words.hash[wide], far[wide]))
         self.size += int(wide.sum()) + len(hashes) // 16
 
-    def phrases(self, longest: int) -> Iterator[pa.RecordBatch]:
-        """lang, n_words, phrase and n of every word and context."""
-        one = [x for x in self.words.values() if x[2]]
-        yield batch_of([x[0] for x in one], 1, [x[1] for x in one], [x[2] for x in one])
+    def phrases(self, longest: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """lang, n_words, phrase and n of every word and context, with a hash of each phrase's words."""
+        total = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.totals]
+        yield batch_of(list(self.totals), 0, [""] * len(total), list(self.totals.values())), np.array(total, np.uint64)
+        one = {h: x for h, x in self.words.items() if x[2]}
+        yield batch_of([x[0] for x in one.values()], 1, [x[1] for x in one.values()], [x[2] for x in one.values()]), np.fromiter(one, np.uint64, len(one))
         hashes, far = (np.concatenate([p[k] for p in self.parts] or [np.zeros(0, t)]) for k, t in ((0, np.uint64), (1, np.int8)))
         self.parts.clear()
         distinct, tokens = np.unique(hashes, return_inverse=True)
@@ -220,8 +232,28 @@ class Shard:
         for length in range(2, longest + 1):
             ends, counts = found.substrings(length)
             for low in range(0, len(ends), 1 << 16):
-                some = tokens[ends[low : low + (1 << 16), None] + np.arange(1 - length, 1)].tolist()
-                yield batch_of([names[row[0]][0] for row in some], length, [" ".join([names[t][1] for t in row]) for row in some], counts[low : low + (1 << 16)])
+                some = tokens[ends[low : low + (1 << 16), None] + np.arange(1 - length, 1)]
+                key = np.zeros(len(some), np.uint64)
+                for k in range(length):
+                    key = mixed(key + distinct[some[:, k]])
+                rows = some.tolist()
+                yield batch_of([names[row[0]][0] for row in rows], length, [" ".join([names[t][1] for t in row]) for row in rows], counts[low : low + (1 << 16)]), key
+
+    def blocks(self, longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """What goes to the reduction: one block for each bucket of phrases that the shard has, as compressed Arrow data."""
+        if not self.totals:
+            return
+        found = list(self.phrases(longest))
+        rows = pa.Table.from_batches([b for b, _ in found]).combine_chunks()
+        bucket = np.concatenate([k for _, k in found]) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows.take(pa.array(order)), bucket[order].astype(np.int64)
+        heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for low, high in zip(heads, np.append(heads[1:], len(bucket)), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.slice(low, high - low))
+            yield block_of(int(bucket[low]), sink.getvalue().to_pybytes())
 
 
 def batch_of(langs: list[str], length: int, texts: list[str], counts) -> pa.RecordBatch:
@@ -229,26 +261,58 @@ def batch_of(langs: list[str], length: int, texts: list[str], counts) -> pa.Reco
     return pa.RecordBatch.from_arrays(out, names=["lang", "n_words", "phrase", "n"])
 
 
-def shard_phrases(docs: DataFrame, full: np.ndarray, bits: int, longest: int) -> DataFrame:
-    """lang, n_words, phrase and n from every shard; n_words 0 tells the number of all words of a language."""
+def block_of(bucket: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "block"])
+
+
+def added(blocks: DataFrame, least: int) -> DataFrame:
+    """The phrases of all blocks with their counts added up, those with the least count alone (and the numbers of all words). A bucket is folded as it comes; what is held are its different phrases."""
+
+    def folded(held: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(held).group_by(["lang", "n_words", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        return found.rename_columns([c.removesuffix("_sum") for c in found.column_names]).select(["lang", "n_words", "phrase", "n"])
+
+    def finished(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        found = folded(held)
+        keep = pc.or_(pc.greater_equal(found.column("n"), least), pc.equal(found.column("n_words"), 0))
+        yield from found.filter(keep).to_batches(max_chunksize=1 << 14)
+
+    def run(batches):
+        held, now, size, kept = [], None, 0, 0
+        for batch in batches:
+            for k, data in zip(batch.column("bucket").to_pylist(), batch.column("block"), strict=True):
+                if k != now and held:
+                    yield from finished(held)
+                    held, size, kept = [], 0, 0
+                now = k
+                held.append(pa.ipc.open_stream(data.as_buffer()).read_all())
+                size += len(held[-1])
+                if size - kept > max(FOLD, kept):
+                    held = [folded(held)]
+                    size = kept = len(held[0])
+        if held:
+            yield from finished(held)
+
+    return blocks.mapInArrow(run, "lang string, n_words tinyint, phrase string, n long")
+
+
+def shard_blocks(docs: DataFrame, full: np.ndarray, bits: int, longest: int, buckets: int) -> DataFrame:
+    """bucket and block of every shard's phrases; phrases of n_words 0 tell the number of all words of a language."""
     shared = docs.sparkSession.sparkContext.broadcast(full)  # 2^MOST_BITS bits at most
 
     def run(batches):
-        powers, shard, totals = Powers(), Shard(), {}
+        powers, shard = Powers(), Shard()
         for batch in batches:
             for part in chunks(batch, "text", WINDOW):
                 for words, lang in windows(part, powers, longest):
-                    held = np.bincount(words.document[words.seen :], minlength=len(lang))
-                    for k in np.flatnonzero(held):
-                        totals[lang[k]] = totals.get(lang[k], 0) + int(held[k])
+                    shard.count(words, lang)
                     shard.add(words, reach(words, shared.value, bits, longest), lang)
                     if shard.size >= SHARD:
-                        yield from shard.phrases(longest)
+                        yield from shard.blocks(longest, buckets)
                         shard = Shard()
-        yield from shard.phrases(longest)
-        yield batch_of(list(totals), 0, [""] * len(totals), list(totals.values()))
+        yield from shard.blocks(longest, buckets)
 
-    return docs.mapInArrow(run, "lang string, n_words tinyint, phrase string, n long")
+    return docs.mapInArrow(run, "bucket int, block binary")
 
 
 def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: int | None = None) -> DataFrame:
@@ -259,8 +323,8 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits:
         total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         bits = min(max((total // BYTES_A_CELL).bit_length(), LEAST_BITS), MOST_BITS)
     full = full_cells(counted_cells(docs, bits, longest), bits, least, parts)
-    added = shard_phrases(docs, full, bits, longest).groupBy("lang", "n_words", "phrase").agg(F.sum("n").alias("n"))
-    return written(added.filter((F.col("n_words") == 0) | (F.col("n") >= least)))
+    blocks = shard_blocks(docs, full, bits, longest, parts)
+    return written(added(blocks.repartition(parts, "bucket").sortWithinPartitions("bucket"), least))
 
 
 def looked_up(df: DataFrame, small: bool) -> DataFrame:
