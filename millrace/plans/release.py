@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from millrace.plans import duck
 from millrace.plans.corpus import _BATCH_SQL, _CASE_ROWS_SQL, _STATES_SQL, _batches, _case_rows
 from millrace.plans.records import _NOISY_SQL, _noisy, _rendered, exams
 from millrace.plans.registry import register
-from millrace.sources import cases, sinks, tables
+from millrace.sources import cases, releases, sinks, tables
 
 #: Full-width digits, in their order.
 WIDE = DIGITS[DIGITS.index("０") :][:10]
@@ -173,18 +171,34 @@ def fixture_round_trip(spark, sf_dir):
     "WITH l AS (SELECT 'region_' || n_regionkey AS part, n_nationkey AS k, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}' AS line FROM nation) SELECT part, part || '.jsonl' AS path, count(*) AS records, sum(strlen(line) + 1)::BIGINT AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY k)) AS sha256 FROM l GROUP BY 1",
 )
 def bundle_files(spark, sf_dir):
-    """A release in one call, and what its manifest says of its files (a table of a fixed size, as a bundle is made on the driver)."""
-    import tempfile
-
+    """A release in one call, and what its manifest says of its files."""
     rows = tables.load(spark, sf_dir, "nation").select(F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("part"), "n_nationkey", "n_name")
-    with tempfile.TemporaryDirectory() as base:
-        made = sinks.write_bundle(rows, "part", "n_nationkey", rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")), f"{base}/bundle", "nations")
-        with open(f"{base}/bundle/manifest.json", encoding="utf-8") as source:
-            assert json.load(source) == made
+    made = sinks.write_bundle(rows, "part", "n_nationkey", rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")), sinks.shared_folder(spark, "bundle"), "nations")
     files = [(k, f["path"], f["records"], f["bytes"], f["sha256"]) for k, f in made["files"].items() if k != "statistics"]
     return spark.createDataFrame(files, "part string, path string, records bigint, bytes bigint, sha256 string")
 
 
+_FILE_LINES = 300
+
+
+@register(
+    "release_files",
+    f"""WITH l AS (SELECT coalesce(lang, 'und') AS part, doc_id, '{{"doc_id":' || doc_id || ',"n_chars":' || length(coalesce(text, '')) || ',"text_sha256":"' || sha256(coalesce(text, '')) || '"}}' AS line FROM documents),
+    r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id, line) - 1 AS k, count(*) OVER (PARTITION BY part) AS total FROM l)
+    SELECT part || CASE WHEN any_value(total) <= {_FILE_LINES} THEN '' ELSE '-' || printf('%06d', k // {_FILE_LINES}) END || '.jsonl' AS path, count(*) AS records, sum(strlen(line) + 1)::BIGINT AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY k)) AS sha256, NULL::VARCHAR AS problem
+    FROM r GROUP BY part, k // {_FILE_LINES}""",
+)
+def release_files(spark, sf_dir):
+    """A release of all documents by language, which tasks write: its manifest's entries, and what a second reading of the files finds wrong."""
+    text = F.coalesce("text", F.lit(""))
+    rows = tables.load(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("und")).alias("lang"), "doc_id", F.char_length(text).alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+    folder = sinks.shared_folder(spark, "release")
+    releases.write_files(rows, "lang", "doc_id", folder, _FILE_LINES, {"dataset_name": "documents"})
+    releases.freeze(spark, folder, "freeze.json", {"dataset_name": "documents"})
+    problems = releases.release_problems(spark, folder, "freeze.json")
+    return releases.manifest_rows(spark, folder).join(problems, "path", "full")
+
+
 @register("wide_digits", f"WITH {duck.RENDERED} SELECT attempt, array_to_string(list_transform(dims, lambda x: round(x, 6)::VARCHAR), ',') AS dims_text FROM r1 WHERE template_family = 'location_first_v2'")
 def wide_digits(spark, sf_dir):
     """Measurements of reports that are written with full-width digits and ideographic blanks: the record's own."""

@@ -84,47 +84,43 @@ def payload_sha256(record: Mapping) -> str:
     return hashlib.sha256(json.dumps(record, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
 
 
-def write_bundle(rows: DataFrame, part: str, order: str, statistics: DataFrame, folder: str, name: str, about: Mapping | None = None) -> dict:
-    """A dataset release in one call: JSON lines in order for each part, statistics.json (a long table's rows) and manifest.json, which lists every
-    file with path, sha256, bytes and records. Made once: an existing folder is an error. For releases of a reviewed size, on the driver's file system."""
-    spark = rows.sparkSession
-    os.makedirs(folder)
-    files: dict[str, dict] = {}
-    columns = sorted(c for c in rows.columns if c != part)
-    for (value,) in sorted(tuple(r) for r in rows.select(part).distinct().collect()):  # parts are few
-        path = os.path.join(folder, f"{safe_relative(value)}.jsonl")
-        digest, size, n = hashlib.sha256(), 0, 0
-        lines = rows.filter(F.col(part) == value).select(order, F.to_json(F.struct(*columns)).alias("value")).orderBy(order).select("value")
-        with open(path, "wb") as out:
-            for row in lines.toLocalIterator():
-                line = (row["value"] + "\n").encode()
-                out.write(line)
-                digest.update(line)
-                size, n = size + len(line), n + 1
-        files[value] = {"path": os.path.basename(path), "sha256": digest.hexdigest(), "bytes": size, "records": n}
-    found = [r.asDict() for r in statistics.orderBy(*statistics.columns).collect()]
-    write_json(found, os.path.join(folder, "statistics.json"))
-    with open(os.path.join(folder, "statistics.json"), "rb") as source:
-        content = source.read()
-    files["statistics"] = {"path": "statistics.json", "sha256": hashlib.sha256(content).hexdigest(), "bytes": len(content), "records": None}
-    made = {"manifest_version": "1.0.0", "dataset_name": name, "files": files} | dict(about or {})
-    write_json(made, os.path.join(folder, "manifest.json"))
+def write_bundle(rows: DataFrame, part: str, order: str, statistics: DataFrame, folder: str, name: str, about: Mapping | None = None, lines: int = 1_000_000) -> dict:
+    """A dataset release in one call: JSON lines in order for each part, in files of so many lines that tasks write, statistics.json (a long table's rows) and manifest.json, which lists every
+    file with path, sha256, bytes and records. Made once: an existing folder is an error. Without its manifest, which comes last and at once, a folder is no release."""
+    from millrace.sources import releases
+
+    files, root = releases.located(folder)
+    if files.get_file_info(root).type.name != "NotFound":
+        raise FileExistsError(f"{folder} exists")
+    releases.write_files(rows, part, order, folder, lines, {}, "lines.json")
+    listed = releases.get_json(folder, "lines.json")["files"]
+    found: dict[str, dict] = {e["path"].removesuffix(".jsonl"): e for e in listed}
+    releases.put_json(folder, "statistics.json", [r.asDict() for r in statistics.orderBy(*statistics.columns).collect()])  # a report's size
+    found["statistics"] = {"path": "statistics.json", "sha256": releases.file_sha256(folder, "statistics.json"), "bytes": files.get_file_info(f"{root}/statistics.json").size, "records": None}
+    made = {"manifest_version": "1.0.0", "dataset_name": name, "files": found} | dict(about or {})
+    releases.put_json(folder, "manifest.json", made)
     return made
 
 
 def write_frozen(rows: DataFrame, order: str, path: str, record_path: str, about: Mapping, links: Mapping[str, str] | None = None) -> dict:
-    """A challenge release, made once: JSON lines in order, and a record that freezes them (hash, bytes, rows, what they rest on) with a hash of its own. An
-    existing file is an error. links: name -> path of a file whose hash the record keeps."""
+    """A challenge release, made once: a file of JSON lines in order, which one task writes as a stream, and a record that freezes it (hash, bytes, rows, what it rests on) with a hash of its own. An
+    existing file is an error. links: name -> path of a file whose hash the record keeps. The path ends with .jsonl."""
+    from millrace.sources import releases
+
     if os.path.exists(path) or os.path.exists(record_path):
         raise FileExistsError(f"{path} or {record_path} exists")
-    lines = [r["value"] for r in rows.select(order, F.to_json(F.struct(*sorted(rows.columns))).alias("value")).orderBy(order).collect()]  # challenge sets are small
-    content = "".join(f"{line}\n" for line in lines).encode()
-    with open(path, "xb") as out:
-        out.write(content)
-    record = {"freeze_version": "1.0.0", "status": "frozen", "created_at_utc": rows.sparkSession.range(1).select(utc_stamp()).first()[0], "file": {"path": os.path.basename(path), "sha256": hashlib.sha256(content).hexdigest(), "bytes": len(content), "records": len(lines)}, "linked": {}, "about": dict(about)}
+    folder, stem = os.path.dirname(os.path.abspath(path)), os.path.basename(path).removesuffix(".jsonl")
+    listing = f".{stem}.{uuid.uuid4().hex}.json"
+    part = "_part" if "_part" not in rows.columns else "_part_"
+    releases.write_files(rows.withColumn(part, F.lit(stem)), part, order, folder, 1 << 62, {}, listing)
+    found = releases.get_json(folder, listing)["files"]
+    os.remove(os.path.join(folder, listing))
+    if not found:  # no rows: an empty file
+        open(path, "xb").close()
+        found = [{"path": f"{stem}.jsonl", "sha256": hashlib.sha256(b"").hexdigest(), "bytes": 0, "records": 0}]
+    record = {"freeze_version": "1.0.0", "status": "frozen", "created_at_utc": rows.sparkSession.range(1).select(utc_stamp()).first()[0], "file": found[0], "linked": {}, "about": dict(about)}
     for name, linked in (links or {}).items():
-        with open(linked, "rb") as source:
-            record["linked"][name] = {"path": os.path.basename(linked), "sha256": hashlib.sha256(source.read()).hexdigest()}
+        record["linked"][name] = {"path": os.path.basename(linked), "sha256": releases.file_sha256(*os.path.split(os.path.abspath(linked)))}
     record["payload_sha256"] = payload_sha256(record)
     write_json(record, record_path)
     return record
