@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("records", "corpus", "events", "release", "provenance")
+MODULES = ("records", "corpus", "events", "release", "provenance", "decoding")
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
