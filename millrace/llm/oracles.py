@@ -49,13 +49,12 @@ def crc_table() -> list[int]:
     return out
 
 
-def shards(n: int, share: float = sharding.WHOLE_SHARE) -> str:
+def shards(n: int) -> str:
     """Running sums over all rows, by the text's hash and doc_id."""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + {sharding.ROW_BYTES} AS size FROM documents),
      o AS (SELECT doc_id, t, size, md5(t) AS g, sum(size) OVER (ORDER BY md5(t), doc_id) - size AS start, sum(size) OVER () AS total FROM d),
-     e AS (SELECT *, min(start) OVER (PARTITION BY g) AS group_start, sum(size) OVER (PARTITION BY g) AS group_bytes FROM o),
-     p AS (SELECT *, least(floor((CASE WHEN group_bytes <= total::DOUBLE / {n} * {share}::DOUBLE THEN group_start ELSE start END) * {n} / total), {n - 1})::INT AS shard FROM e),
+     p AS (SELECT *, least(floor(start * {n} / total), {n - 1})::INT AS shard FROM o),
      x AS (SELECT doc_id, string_split(hex(t), '') AS digits FROM d WHERE t <> ''),
      y AS (SELECT doc_id, list_transform(list_zip(digits[1:-:2], digits[2:-:2]), lambda z: (instr('0123456789ABCDEF', z[1]) - 1) * 16 + instr('0123456789ABCDEF', z[2]) - 1) AS bytes FROM x),
      crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, v: xor(c >> 8, {crc_table()}[xor(c & 255, v) + 1])), 4294967295) AS text_crc32 FROM y)
