@@ -6,6 +6,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -145,6 +146,27 @@ def per_chunk(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str
     return df.mapInArrow(run, full)
 
 
+#: A key is hot with more rows than this and than a HOT_SHARE-th of all rows: HOT_SHARE keys at most.
+HOT_ROWS, HOT_SHARE = 1000, 10_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, salt: list[str], how: str = "left") -> DataFrame:
+    """The rows with a table's other columns, by keys that the table has once and n of the rows share. Rows of hot keys find theirs by broadcast (HOT_SHARE keys at most) and are spread by the salt's columns
+    in the join of the others, so that no key's rows meet in a task. The table is read three times: it should be a written one. Null keys find nothing."""
+    bound = max(HOT_ROWS, (table.agg(F.sum(n).alias("n")).first()["n"] or 0) // HOT_SHARE)
+    values = [c for c in table.columns if c not in keys]
+    hot = table.filter(F.col(n) > bound).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_is_hot"))
+    same = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
+    marked = rows.join(F.broadcast(hot), reduce(Column.__and__, same), "left")
+    marked = marked.withColumn("_salt", F.when(F.col("_is_hot"), F.xxhash64(*salt).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    nought = F.least(F.col(n).cast("long"), F.lit(0).cast("long"))  # not a literal: the optimizer would take that out of the join's keys
+    joined = marked.join(table.withColumns({"_salt": nought, "_is_cold": F.lit(True)}).hint("merge"), [*keys, "_salt"], "left")
+    if how == "inner":
+        joined = joined.filter(F.coalesce("_is_hot", "_is_cold"))
+    found = {c: F.when(F.col("_is_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)) for c in values}
+    return joined.select(*rows.columns, *[v.alias(c) for c, v in found.items()])
+
+
 def spread(*columns: str, parts: int) -> Column:
     """A salt from 0 to parts-1, decided by the columns' values alone, so that a task run again gives the same rows."""
     return F.pmod(F.xxhash64(*columns), F.lit(parts))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, identity, located, per_chunk, texts, written
+from millrace.llm.common import chunks, identity, located, looked_up, per_chunk, texts, written
 from millrace.llm.graph import components
 from millrace.llm.shingles import minhashes, shingle_sets
 
@@ -267,14 +267,15 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, carry: tuple[str
     classes = written(rows.groupBy("set").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), *one))
     clusters = components(written(likely_edges(classes, threshold).distinct())).select(F.col("id").alias("set"), F.col("label").alias("cluster"))
     members = written(clusters.join(classes, "set"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
-    wanted = members.join(sizes, "cluster")
+    sizes = written(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")))
+    wanted = looked_up(members, sizes, ["cluster"], "size", ["set"], "inner")
     whole = texts(docs, (file, row)).drop("doc_id")
     with_text = wanted.join(whole, [file, row]).select("cluster", "size", "weight", "set", "copies", "n", "sig", "text")
     links = written(verified(with_text, threshold))
     counts = links.groupBy("set").agg(F.sum("classes").alias("classes"), F.sum("documents").alias("documents"))
     joined = components(links.select(F.col("set").alias("a"), F.col("label").alias("b"))).select(F.col("id").alias("set"), "label")
-    named = classes.select("set", "copies", "least").join(joined, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    least = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    per_class = named.join(least, "label").join(counts, "set", "left").select("set", "copies", "class_id", "label", F.coalesce("classes", F.lit(0)).alias("n_different"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", "set", *carry).join(per_class, "set").select("doc_id", "class_id", "n_links", "n_different", "copies", "label", *carry)
+    named = written(classes.select("set", "copies", "least").join(joined, "set", "left").withColumn("label", F.coalesce("label", "set")))
+    least = written(named.groupBy("label").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("classes_")))
+    per_class = looked_up(named, least, ["label"], "classes_", ["set"], "inner").join(counts, "set", "left").select("set", "copies", "class_id", "label", F.coalesce("classes", F.lit(0)).alias("n_different"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = looked_up(rows.select("doc_id", "set", file, row, *carry), written(per_class), ["set"], "copies", [file, row], "inner")
+    return found.select("doc_id", "class_id", "n_links", "n_different", "copies", "label", *carry)

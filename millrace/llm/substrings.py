@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, identity, located, made, per_chunk, release, shared_folder, written
+from millrace.llm.common import discard, identity, located, looked_up, made, per_chunk, release, shared_folder, written
 from millrace.llm.shingles import _SPACE, mix
 from millrace.llm.suffix import permuted_prefixes, suffix_array
 
@@ -333,9 +333,10 @@ def halved_windows(strings: DataFrame, sizes: Sizes) -> DataFrame:
 
     while not table.isEmpty():
         both = written(per_chunk(table, digests, schema, "bytes", limit=HASH_BYTES))
-        shared = both.groupBy("anchor", "inner").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "inner")
-        equal = both.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "whole", F.lit(True).alias("equal"))
-        left = written(both.join(shared, ["anchor", "inner"], "left_semi").join(equal, ["anchor", "whole"], "left"))
+        shared = written(both.groupBy("anchor", "inner").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        equal = written(both.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("m"), F.lit(True).alias("equal")).filter("m > 1"))
+        some = looked_up(both, shared, ["anchor", "inner"], "n", ["file", "row", "low"], "inner").drop("n")
+        left = written(looked_up(some, equal, ["anchor", "whole"], "m", ["file", "row", "low"]).drop("m"))
         covered = left.filter("equal and alone").select(F.col("anchor").bitwiseAND(1).cast("boolean").alias("word"), "file", "row", (F.col("low") + F.col("first")).alias("low"), (F.col("low") + F.col("last")).alias("high"))
         done = covered if done is None else done.unionByName(covered)
         middle = F.floor((F.col("from_") + F.col("to")) / 2).cast("int")
@@ -380,10 +381,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
     one = [F.first(c).alias(c) for c in ("file", "row", "low", "high")]  # all four of one row
     counts, counts_at = step(table.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), *one), table_at)
     by_anchor = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least"))
-    unsure, unsure_at = step(by_anchor.filter("different > 1 and least = 1").select("anchor", (F.col("different") > HOT).alias("hot")), table_at, counts_at)
-    twice = counts.filter("n > 1").select("anchor", "digest")
-    whole, whole_at = step(table.join(twice, ["anchor", "digest"]).select(F.col("anchor").bitwiseAND(1).cast("boolean").alias("word"), "file", "row", "low", "high"), counts_at, unsure_at)
-    wanted = counts.join(unsure, "anchor").select("anchor", "hot", (F.col("n") == 1).alias("alone"), "file", "row", "low", "high")
+    unsure, unsure_at = step(by_anchor.filter("different > 1 and least = 1").select("anchor", "different", (F.col("different") > HOT).alias("hot")), table_at, counts_at)
+    twice = counts.filter("n > 1").select("anchor", "digest", "n")
+    whole, whole_at = step(looked_up(table, twice, ["anchor", "digest"], "n", ["file", "row", "low"], "inner").select(F.col("anchor").bitwiseAND(1).cast("boolean").alias("word"), "file", "row", "low", "high"), counts_at, unsure_at)
+    wanted = looked_up(counts, unsure, ["anchor"], "different", ["file", "row", "low"], "inner").select("anchor", "hot", (F.col("n") == 1).alias("alone"), "file", "row", "low", "high")
     per_text, _ = step(wanted.groupBy("file", "row").agg(F.collect_list(F.struct("anchor", "hot", "alone", "low", "high")).alias("wanted")), unsure_at, whole_at)
 
     def bytes_of(batch: pa.RecordBatch) -> dict:
