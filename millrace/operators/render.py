@@ -52,8 +52,8 @@ def sample_id(case_id: Column, family: Column) -> Column:
     return content_id("sample_", F.concat(F.lit("generate:"), case_id, F.lit(":"), family, F.lit(f":{vocab.RENDERER_VERSION}")))
 
 
-def render_cases(cases: DataFrame, families: list[str] | None = None, seed: int = vocab.SEED) -> DataFrame:
-    """Every case in every family asked for (a case's families come from an array: no join). Needs identified cases."""
+def render_cases(cases: DataFrame, families: list[str] | None = None, seed: int = vocab.SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every case in every family asked for (a case's families come from an array: no join). Needs identified cases. carry: columns of the cases to hand through."""
     families = list(vocab.FAMILIES) if families is None else families
     unknown = [f for f in families if f not in vocab.FAMILIES]
     if unknown or len(set(families)) != len(families):
@@ -71,6 +71,7 @@ def render_cases(cases: DataFrame, families: list[str] | None = None, seed: int
         F.lit(vocab.SCHEMA_VERSION).alias("schema_version"),
         F.lit(seed).cast("bigint").alias("seed"),
         F.lit("synthetic").alias("source"),
+        *carry,
     )
 
 
