@@ -11,7 +11,11 @@ from millrace.llm.common import discard, located, made, shared_folder, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the classifier's threshold go; it learns from the labels of this stage's documents."""
+    """Documents whose score is below the classifier's threshold go; it learns from the labels of this stage's documents.
+
+    A null text is scored as an empty one and stays null; every row is scored by itself, rows that come twice or share a doc_id too; a null doc_id has no label; with no
+    labels at all every score is the same. Columns stay as they are, whatever their names; an empty table gives no rows.
+    """
     docs, place = located(docs)
     scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=(place,))
     good = scored.filter(F.col("score") >= quality.THRESHOLD).select(place)
@@ -19,12 +23,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays.
+
+    Null and empty texts are equal; of rows that share text and doc_id the one latest in the files stays; a row with a null doc_id stays only if no other has its text. Columns stay as they are; an empty table
+    gives no rows.
+    """
     return exact.kept_rows(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similarity 0.8 or more join, the one with the least doc_id stays."""
+    """Of documents that links of similarity 0.8 or more join, the one with the least doc_id stays.
+
+    Texts without words (null, empty, white space) are one group; a null doc_id is below all others; of rows that share the least doc_id the one first in the files stays. Columns stay as they
+    are; an empty table gives no rows.
+    """
     docs, place = located(docs)
     group = jaccard.jaccard_join(docs, carry=(place,))
     first = group.groupBy("label").agg(F.min(F.struct("doc_id", place)).alias("stay")).select(F.col("stay")[place].alias(place))
@@ -32,12 +44,20 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind.
+
+    Every row stays, repeated ones and those without a doc_id too; a null text stays null and an empty one empty. Columns stay as they are, but for n_chars (a number of the table's own), which is set right; an empty
+    table gives no rows.
+    """
     return pii.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: where each piece of each document lies."""
+    """Sequences of at most 2048 tokens: where each piece of each document lies.
+
+    A null or empty text is one piece of one token, its end; rows that come twice or share a doc_id have pieces of their own; a null doc_id is a document like others. The columns are those of the packing alone;
+    an empty table gives no rows.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), carry={"ids_crc32": F.crc32("ids")})
 
 
