@@ -60,6 +60,37 @@ def decoder_attention(spark, sf_dir):
     return decoder.score(sample, config, weights, "example").withColumn("loss_sum", F.round("loss_sum", 6))
 
 
+_MOST = 5
+
+
+@register(
+    "greedy_turns",
+    f"""WITH {_TURNS_SQL}, gv AS (SELECT token, row_number() OVER (ORDER BY token) + {vocab.FIRST_CHARACTER - 1} AS id FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS token FROM conversations)),
+    gp AS (SELECT conv_id, turn, prompt[-1:] AS token FROM tu WHERE role = 'assistant' AND prompt IS NOT NULL)
+    SELECT conv_id || ':' || turn AS example, coalesce(id, {_CONTROL['<input>']}) % 2 = 0 AS eos_finished, CASE WHEN coalesce(id, {_CONTROL['<input>']}) % 2 = 0 THEN '' ELSE array_to_string(list_transform(range({_MOST}), lambda x: 1), ',') END AS generated,
+    CASE WHEN coalesce(id, {_CONTROL['<input>']}) % 2 = 0 THEN NULL ELSE 'no end within the limit' END AS error FROM gp LEFT JOIN gv USING (token)""",
+)
+def greedy_turns(spark, sf_dir):
+    """Greedy decoding from every prompt by a decoder of whole-number weights: an even id is followed by the end, an odd one by the first odd id, again and again up to the limit."""
+    import numpy as np
+
+    from millrace.operators import decoder
+
+    turns = load(spark, sf_dir, "conversations")
+    known = tokens.known_characters(tokens.vocabulary(turns, "text"))
+    rows = spread(turns).withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null")
+    prompts = rows.select(F.concat_ws(":", "conv_id", "turn").alias("example"), F.concat(F.array(*[tokens.special(x) for x in ("<bos>", "<task_generate>", "<input>")]), tokens.encode(F.col("prompt"), known)).alias("prompt"))
+    bytes_ = turns.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    size = vocab.FIRST_CHARACTER + len(known)
+    config = decoder.Config(size, width=2, heads=1, layers=1, longest=bytes_ + 3 + _MOST)
+    weights = {k: np.zeros_like(w) if k != "norm" and "norm" not in k else w for k, w in decoder.random_weights(config).items()}
+    side = np.where(np.arange(size) % 2, -1.0, 1.0)
+    side[_CONTROL["<eos>"]] = 2.0
+    weights["token"] = np.stack([side, -side], axis=1)
+    found = decoder.decode(prompts, config, weights, "example", "prompt", _MOST)
+    return found.select("example", "eos_finished", F.array_join("generated", ",").alias("generated"), "error")
+
+
 @register("decoder_training")
 def decoder_training(spark, sf_dir):
     """An epoch of training a small decoder on all assistant turns: a row for each step."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import progress
-from millrace.plans.registry import register
+from millrace.plans.registry import ORACLES, register
 from millrace.sources.tables import load
 
 _STALL, _TOTAL = 6 * 3600, 400
@@ -90,3 +90,36 @@ def event_silences(spark, sf_dir):
     stream = file_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     with rocksdb_state(spark):
         return available_rows(silences(stream, "user_id", "ts", _STALL)).withColumn("since", F.col("since").cast("timestamp_ntz"))
+
+
+@register("resumed_pauses", ORACLES["hysteresis_stream"])
+def resumed_pauses(spark, sf_dir):
+    """The pauses of hysteresis_stream by a query that stops after the first half of the events and takes its checkpoint up again."""
+    from millrace.sources.sinks import shared_folder
+    from millrace.streaming.progress import hysteresis
+    from millrace.streaming.run import available_rows
+
+    rows = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = rows.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]
+    folder = shared_folder(spark, "resumed")
+    out = None
+    for k, some in enumerate((F.unix_micros("ts") <= middle, F.unix_micros("ts") > middle)):
+        rows.filter(some).write.parquet(f"{folder}/in/half={k}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        out = available_rows(hysteresis(stream, "user_id", "ts", "event_id", "value", 80, 40), f"{folder}/run")
+    return out.select("user_id", "episode", "seconds")
+
+
+@register("event_log", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events, sum(value) AS amount FROM events GROUP BY 1")
+def event_log(spark, sf_dir):
+    """Events appended to a log of JSON lines by a stream that runs twice: what the log holds."""
+    from millrace.sources.sinks import shared_folder
+    from millrace.streaming.progress import log
+    from millrace.streaming.run import file_stream
+
+    folder = shared_folder(spark, "log")
+    for _ in range(2):
+        stream = file_stream(spark, f"{sf_dir}/events.parquet").select("event_id", "event_type", "value")
+        log(stream, f"{folder}/lines", f"{folder}/checkpoint").awaitTermination()
+    found = spark.read.schema("event_id long, event_type string, value double").json(f"{folder}/lines")
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"), F.sum("value").alias("amount"))

@@ -90,6 +90,14 @@ def exam_constraints_hold(spark, sf_dir):
     return drawn.agg(F.count(F.lit(1)).alias("n"), F.sum(bad.cast("bigint")).alias("broken"))
 
 
+@register("guarded_exams", f"WITH {duck.CASES} SELECT location_side, count(*) AS n FROM e5 GROUP BY 1")
+def guarded_exams(spark, sf_dir):
+    """Drawn records behind a guard that would stop the query at the first one that breaks a rule."""
+    drawn = cases.draw_exams(tables.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("attempt")))
+    guarded = drawn.select(constraints.checked(F.col("location_side"), constraints.violations()).alias("location_side"))
+    return guarded.groupBy("location_side").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("form_coercion", f"WITH {_shuffled_sql()} SELECT location_side, CASE WHEN location_side = 'isthmus' THEN 'not_applicable' ELSE location_segment END AS location_segment, count(*) AS n FROM s2 GROUP BY 1, 2")
 def form_coercion(spark, sf_dir):
     rows = cases.coerce_location(_shuffled_fields(tables.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("attempt"))))
