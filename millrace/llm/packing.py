@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import wordbpe
-from millrace.llm.common import per_chunk, spread, texts, written
+from millrace.llm.common import identity, located, per_chunk, spread, texts, written
 
 MAX_LEN = 2048
 #: Pieces of one length that a task ranks at most, about, when a third of all pieces has it.
@@ -180,10 +180,10 @@ def placed(pieces_df: DataFrame, runs: list[Run], carry: list[str]) -> DataFrame
     """Pieces with sequence_id and offset: numbers within a length, then a look-up in the plan (of bounded size)."""
     total = sum(r[2] for r in runs)
     buckets = max(16, -(-total // BUCKET_ROWS))
-    salted = pieces_df.withColumn("bucket", spread("doc_id", "piece", "ids_crc32", parts=buckets).cast("int"))
+    salted = pieces_df.withColumn("bucket", spread("_file", "_row", parts=buckets).cast("int"))  # by place: rows that are alike spread too
     cells = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = cells.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "bucket").orderBy("_file", "_row")
     numbered = salted.withColumn("place", F.row_number().over(order) - 1).join(before, ["length", "bucket"]).withColumn("number", F.col("before") + F.col("place"))
     table = np.array(runs, np.int64).reshape(-1, 6)
     keys = table[:, 0] << 44 | table[:, 1]
@@ -205,5 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: i
     carry = {"ids": F.col("ids")} if carry is None else carry
     table = written(pieces(docs, tokenizer_path, max_len, end_id))
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most max_len rows
-    slim = table.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *[v.alias(k) for k, v in carry.items() if k != "ids_crc32"])
+    table, place = located(table)
+    file, row = identity(place)
+    slim = table.select("doc_id", "piece", "start", "length", *[v.alias(k) for k, v in carry.items()], file.alias("_file"), row.alias("_row"))
     return placed(slim, packing_plan(counts, max_len), ["doc_id", "piece", "start", "length", *carry])

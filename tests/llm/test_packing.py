@@ -90,3 +90,11 @@ def test_pack_carries_ids_and_takes_empty_tables(spark):
     assert packing.pack(table(spark, []), PATH).collect() == []
     one = packing.pack(table(spark, [(1, "hello hello")]), PATH).first()
     assert len(one["ids"]) == 4 * one["length"] and one["offset"] == 0
+
+
+def test_rows_alike_take_places_apart(spark):
+    """Thousands of empty texts under a null id: every piece has a place of its own, and none is lost."""
+    docs = [(None, "")] * 5000 + [(k, f"text {k}") for k in range(50)]
+    found = packing.pack(table(spark, docs), public_tokenizers.path("word_bpe_49k.json"), carry={}).collect()
+    at = {(x["sequence_id"], x["offset"]) for x in found}
+    assert len(found) == len(at) == 5050 and sum(x["length"] for x in found) <= 2048 * len({s for s, _ in at})
