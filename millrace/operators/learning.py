@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.vocab import IGNORED_LABEL
-from millrace.operators import training
+from millrace.operators import decoder, training
 from millrace.operators.decoder import Config
 from millrace.sources.sinks import shared_folder
 
@@ -283,3 +283,21 @@ def train(df: DataFrame, config: Config, state: State, settings: Settings, key:
         state, size, rate = adamw(state, {k: v / tokens for k, v in g.items()}, settings)
         told.append({"step": now, "examples": sizes[now], "tokens": tokens, "loss": loss / tokens, "gradient_norm": size, "learning_rate": rate})
     return state, told
+
+
+def target_metrics(df: DataFrame, config: Config, weights: dict[str, np.ndarray], key: str) -> tuple[float, float, int]:
+    """Mean loss and accuracy of the unmasked places of all samples under teacher forcing, and the number of samples."""
+    scored = decoder.score(df, config, weights, key)
+    found = scored.agg(F.sum("loss_sum").alias("loss"), F.sum("correct").alias("correct"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).first()
+    if not found["tokens"]:
+        raise ValueError("there are no target tokens")
+    return found["loss"] / found["tokens"], found["correct"] / found["tokens"], found["n"]
+
+
+def overfit(df: DataFrame, config: Config, weights: dict[str, np.ndarray], settings: Settings, key: str, batch: int, epochs: int, seed: int = 0) -> tuple[State, dict]:
+    """Trains on the same few samples again and again, to see whether a step learns at all: the state, and steps, samples, parameters, loss and accuracy before and after."""
+    before = target_metrics(df, config, weights, key)
+    state, told = train(df, config, State.new(weights), settings, key, batch, 1, seed, epochs)
+    after = target_metrics(df, config, state.weights, key)
+    named = {f"{when}_{name}": round(v, 6) for when, found in (("initial", before), ("final", after)) for name, v in zip(("loss", "token_accuracy"), found, strict=False)}
+    return state, {"steps": len(told), "samples": before[2], "parameters": sum(w.size for w in weights.values()), **named}

@@ -116,3 +116,16 @@ def test_training_learns_and_goes_on_after_a_restart(spark, tmp_path):
     assert first + second == told[:5] and end.step == 5
     with pytest.raises(RuntimeError, match="target"):
         learning.train(df.withColumn("labels", F.transform("labels", lambda _: F.lit(IGNORED_LABEL))), CONFIG, start, settings, **ask)
+
+
+def test_overfit(spark):
+    """A few samples are learned by heart; a step that goes nowhere (a rate of nothing) shows."""
+    df = spark.createDataFrame(samples(4, 9, 8), SCHEMA)
+    start = decoder.random_weights(CONFIG)
+    state, told = learning.overfit(df, CONFIG, start, learning.Settings(most=0.05, least=0.02, warmup=0, last=30, decay=0.0), "k", 4, 30)
+    assert told["steps"] == state.step == 30 and told["samples"] == 4 and told["parameters"] == sum(w.size for w in start.values())
+    assert told["final_loss"] < 0.3 * told["initial_loss"] and told["final_token_accuracy"] > max(0.8, told["initial_token_accuracy"])
+    _, still = learning.overfit(df, CONFIG, start, learning.Settings(most=0.0, least=0.0, warmup=0, last=2), "k", 4, 1)
+    assert still["final_loss"] == still["initial_loss"]
+    with pytest.raises(ValueError, match="target"):
+        learning.target_metrics(df.limit(0), CONFIG, start, "k")
