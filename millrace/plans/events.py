@@ -110,7 +110,7 @@ def resumed_pauses(spark, sf_dir):
     return out.select("user_id", "episode", "seconds")
 
 
-@register("event_log", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events, sum(value) AS amount FROM events GROUP BY 1")
+@register("event_log", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events, round(sum(value), 4) AS amount FROM events GROUP BY 1")
 def event_log(spark, sf_dir):
     """Events appended to a log of JSON lines by a stream that runs twice: what the log holds."""
     from millrace.sources.sinks import shared_folder
@@ -122,4 +122,4 @@ def event_log(spark, sf_dir):
         stream = file_stream(spark, f"{sf_dir}/events.parquet").select("event_id", "event_type", "value")
         log(stream, f"{folder}/lines", f"{folder}/checkpoint").awaitTermination()
     found = spark.read.schema("event_id long, event_type string, value double").json(f"{folder}/lines")
-    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"), F.sum("value").alias("amount"))
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"), F.round(F.sum("value"), 4).alias("amount"))
