@@ -206,7 +206,8 @@ def batch_gradient(df: DataFrame, config: Config, weights: dict[str, np.ndarray]
     """The summed loss, the number of unmasked places and the summed gradient of all rows, in exact sums of fixed-point numbers."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(weights)  # the model, a parameter's size
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = -(-(sum(w.size for w in weights.values()) + 1) // SLICE)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), slices)
 
     def run(batches):
         w, high, low, tokens = shared.value, None, None, 0
@@ -271,7 +272,9 @@ def train(df: DataFrame, config: Config, state: State, settings: Settings, key:
     spark = df.sparkSession
     folder = shared_folder(spark, "steps")
     dealt = training.batch_stream(df, key, epochs, batch, seed).withColumn("step", F.floor(F.col("batch") / accumulated).cast("bigint"))
-    dealt.select("step", "input_ids", "labels").write.partitionBy("step").parquet(folder)
+    cores = spark.sparkContext.defaultParallelism
+    share = F.pmod("slot", F.lit(cores))  # a step's samples lie in a file for each core, so that it is read by as many tasks, whatever its size
+    dealt.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "step", share).sortWithinPartitions("step", share).select("step", "input_ids", "labels", share.alias("share")).write.partitionBy("step", "share").parquet(folder)
     held = spark.read.parquet(folder)
     sizes = {x["step"]: x["count"] for x in held.groupBy("step").count().collect()}  # a row for each step
     told = []
