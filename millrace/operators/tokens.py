@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Protocol, runtime_checkable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,15 +40,32 @@ def encoded_length(text: Column, known: Sequence[str]) -> Column:
 
 
 def encode(text: Column, known: Sequence[str], byte_fallback: bool = True) -> Column:
-    """ids of a text; an unknown character becomes its bytes' ids, or <unk>."""
-    ids = F.create_map(*[x for k, c in enumerate(known) for x in (F.lit(c), F.lit(vocab.FIRST_CHARACTER + k))]) if known else F.create_map(F.lit(""), F.lit(-1))
+    """ids of a text; an unknown character becomes its bytes' ids, or <unk>. A vectorised function: a character's id is looked up by its code point."""
+    points = np.array([ord(c) for c in known], np.int64)
+    table = np.full(int(points.max(initial=-1)) + 2, -1, np.int32)  # its last place is that of all points beyond
+    table[points] = vocab.FIRST_CHARACTER + np.arange(len(points))
+
+    def one(t: str | None) -> np.ndarray | None:
+        if t is None:
+            return None
+        ids = table[np.minimum(np.frombuffer(t.encode("utf-32-le"), "<u4"), len(table) - 1)]
+        unknown = ids < 0
+        if not unknown.any():
+            return ids
+        if not byte_fallback:
+            return np.where(unknown, np.int32(vocab.CONTROL_TOKENS.index("<unk>")), ids)
+        others = [t[k].encode() for k in np.flatnonzero(unknown)]
+        sizes = np.ones(len(ids), np.int64)
+        sizes[unknown] = [len(x) for x in others]
+        out = np.repeat(ids, sizes)
+        out[np.repeat(unknown, sizes)] = np.frombuffer(b"".join(others), np.uint8).astype(np.int32) + vocab.FIRST_BYTE
+        return out
 
-    def bytes_of(c: Column) -> Column:
-        pairs = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), F.lit(0))
-        return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int") + vocab.FIRST_BYTE)
+    @F.pandas_udf("array<int>")
+    def ids_of(column: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in column], dtype=object)
 
-    other = bytes_of if byte_fallback else lambda c: F.array(F.lit(vocab.CONTROL_TOKENS.index("<unk>")))
-    return F.flatten(F.transform(characters(text), lambda c: F.coalesce(F.when(F.try_element_at(ids, c).isNotNull(), F.array(F.try_element_at(ids, c))), other(c))))
+    return ids_of(text)
 
 
 def decode(known: Sequence[str], skip_special: bool = False):
