@@ -12,7 +12,7 @@ from millrace.plans import duck
 from millrace.plans.records import _rendered, exams
 from millrace.plans.registry import register
 from millrace.sources.sinks import materialized
-from millrace.sources.tables import load, spread
+from millrace.sources.tables import dealt, load, spread
 
 SEED = vocab.SEED
 
@@ -397,7 +397,7 @@ def decoder_scores(spark, sf_dir):
 
     turns = load(spark, sf_dir, "conversations")
     known = tokens.known_characters(tokens.vocabulary(turns, "text"))
-    rows = spread(turns).withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null")
+    rows = dealt(turns.withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null"))
     sample = rows.select(F.concat_ws(":", "conv_id", "turn").alias("example"), tokens.prompt_sample(tokens.encode(F.col("prompt"), known), tokens.encode(F.coalesce("text", F.lit("")), known)).alias("s")).select("example", "s.*")
     config = decoder.Config(vocab.FIRST_CHARACTER + len(known), width=16, heads=2, layers=1, longest=1 << 14)
     bytes_ = turns.agg(F.max(F.octet_length("text"))).first()[0] or 0  # a text has one id for each of its bytes at most, a sample five control ids
@@ -427,7 +427,7 @@ def decoder_parity(spark, sf_dir):
 
     turns = load(spark, sf_dir, "conversations")
     known = tokens.known_characters(tokens.vocabulary(turns, "text"))
-    rows = spread(turns).withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null")
+    rows = dealt(turns.withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null"))
     sample = rows.select(F.concat_ws(":", "conv_id", "turn").alias("example"), tokens.prompt_sample(tokens.encode(F.col("prompt"), known), tokens.encode(F.col("text"), known)).alias("s")).select("example", "s.*")
     bytes_ = turns.agg(F.max(F.octet_length("text"))).first()[0] or 0
     config = decoder.Config(vocab.FIRST_CHARACTER + len(known), width=2, heads=1, layers=1, longest=2 * bytes_ + 5)

@@ -9,7 +9,7 @@ from millrace.functions import vocab
 from millrace.operators import tokens
 from millrace.plans.corpus import _TURNS_SQL
 from millrace.plans.registry import register
-from millrace.sources.tables import load, spread
+from millrace.sources.tables import dealt, load
 
 _CONTROL = {name: vocab.CONTROL_TOKENS.index(name) for name in ("<bos>", "<task_generate>", "<input>", "<target>", "<eos>")}
 _BEFORE = [_CONTROL[x] for x in ("<bos>", "<task_generate>", "<input>", "<target>")]
@@ -35,7 +35,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
     """Assistant turns as samples (example, input_ids, labels), the size of their vocabulary, and places for the longest."""
     turns = load(spark, sf_dir, "conversations")
     known = tokens.known_characters(tokens.vocabulary(turns, "text"))
-    rows = spread(turns).withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null")
+    rows = dealt(turns.withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null"))
     sample = tokens.prompt_sample(tokens.encode(F.col("prompt"), known), tokens.encode(F.coalesce("text", F.lit("")), known))
     bytes_ = turns.agg(F.max(F.octet_length("text"))).first()[0] or 0
     return rows.select(F.concat_ws(":", "conv_id", "turn").alias("example"), sample.alias("s")).select("example", "s.input_ids", "s.labels"), vocab.FIRST_CHARACTER + len(known), 2 * bytes_ + 5
@@ -78,7 +78,7 @@ def greedy_turns(spark, sf_dir):
 
     turns = load(spark, sf_dir, "conversations")
     known = tokens.known_characters(tokens.vocabulary(turns, "text"))
-    rows = spread(turns).withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null")
+    rows = dealt(turns.withColumn("prompt", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' and prompt is not null"))
     prompts = rows.select(F.concat_ws(":", "conv_id", "turn").alias("example"), F.concat(F.array(*[tokens.special(x) for x in ("<bos>", "<task_generate>", "<input>")]), tokens.encode(F.col("prompt"), known)).alias("prompt"))
     bytes_ = turns.agg(F.max(F.octet_length("text"))).first()[0] or 0
     size = vocab.FIRST_CHARACTER + len(known)

@@ -25,6 +25,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def task_count(df: DataFrame, rows: int = 100_000) -> int:
+    """How many tasks a scan's rows are dealt to, so that a task's memory is bounded however large the table is (parquet counts its rows itself)."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows that cost much each, dealt out evenly to four tasks a core: partitions that adaptive execution joins by their bytes would leave most cores idle."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     rows = rows.filter(F.to_json(F.struct(*rows.columns)) != "")  # every column is read, so that every row is checked
