@@ -58,7 +58,8 @@ def stated(code: Column, allow_not_applicable: bool = False) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, by Unicode's notion of it."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)  # most texts have none, and aren't searched
 
 
 def clip(text: Column, limit: int = 80) -> Column:
@@ -85,7 +86,8 @@ def utc_stamp(seconds: bool = True) -> Column:
 
 def number_text(value: Column) -> Column:
     """A number of up to six digits in its shortest form: 9.0 as 9."""
-    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+    text = value.cast("string")
+    return F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.char_length(text) - 2)).otherwise(text)
 
 
 def replace_first(text: Column, phrase: Column | str, replacement: Column | str) -> Column:
@@ -102,6 +104,28 @@ def computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return df.withColumn("_held", F.explode(F.array(held))).select(*[c for c in df.columns if c not in columns], *[F.col(f"_held.{k}").alias(k) for k in columns])
 
 
+def packed(domains: Mapping[str, Sequence[str]]) -> Column:
+    """Codes of several columns as one whole number; a code outside its domain is an error."""
+    out, base = F.lit(0).cast("bigint"), 1
+    for name, codes in domains.items():
+        at = None
+        for k, c in enumerate(codes):
+            at = F.when(F.col(name) == c, F.lit(k * base).cast("bigint")) if at is None else at.when(F.col(name) == c, F.lit(k * base).cast("bigint"))
+        out, base = out + at.otherwise(F.raise_error(F.concat(F.lit(f"no code of {name}: "), F.coalesce(name, F.lit("null")))).cast("bigint")), base * len(codes)
+    return out
+
+
+def unpacked(code: Column, domains: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    """The columns that packed made one number of."""
+    out, base = {}, 1
+    for name, codes in domains.items():
+        out[name] = F.element_at(F.array(*map(F.lit, codes)), (F.floor(code / F.lit(base)) % len(codes) + 1).cast("int"))
+        base *= len(codes)
+    if base >= 1 << 53:
+        raise ValueError("too many codes for one number")
+    return out
+
+
 def content_id(prefix: str, text: Column) -> Column:
     return F.concat(F.lit(prefix), F.sha2(text, 256))
 

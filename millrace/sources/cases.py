@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab
-from millrace.functions.exprs import computed_once, content_id, hash_number, lookup, weighted
+from millrace.functions.exprs import computed_once, content_id, hash_number, lookup, packed, unpacked, weighted
 from millrace.functions.vocab import DOMAINS, FIELDS, WEIGHTS
 
 
@@ -97,6 +97,14 @@ def unique_cases(df: DataFrame, count: int | None = None) -> DataFrame:
     return once if count is None else once.orderBy("attempt").limit(count)
 
 
+def unique_records(df: DataFrame, parts: int) -> DataFrame:
+    """unique_cases of drawn records before they are identified: equal ids are equal records, so that a number for the codes and the measurements go through the shuffle instead of texts."""
+    rows = df.select("attempt", packed(DOMAINS).alias("_codes"), "dims", "dims_state")
+    keys = ["_codes", "dims", "dims_state"]
+    once = rows.repartition(parts, *keys).groupBy(*keys).agg(F.min("attempt").alias("attempt"))
+    return computed_once(once, unpacked(F.col("_codes"), DOMAINS)).select("attempt", *FIELDS, "dims", "dims_state")
+
+
 def constant_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table that is written down in code (a challenge's hand-made rows, say); a key that the schema lacks, or the other way round, is an error."""
     names = [c.split()[0] for c in schema.split(", ")]
