@@ -31,12 +31,15 @@ def compare(df: DataFrame, predicted: str = "parsed_") -> DataFrame:
 def aligned(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     """Each predicted row beside its gold row, by key; what a zip of two tables of equal length would pair, whatever the rows' order. A key that only one
     side has, or that a side has twice, is an error: scores of unequal tables are never given."""
-    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    both = count(predicted, "_predicted").join(count(gold, "_gold"), keys, "full")
-    odd = (F.coalesce("_predicted", F.lit(0)) != 1) | (F.coalesce("_gold", F.lit(0)) != 1)
+    def once(df: DataFrame, name: str) -> DataFrame:
+        rest = F.struct(*[c for c in df.columns if c not in keys])
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.any_value(rest).alias(name))
+
+    both = once(gold, "_gold").join(once(predicted, "_predicted"), keys, "full")  # each side is read once
+    odd = (F.coalesce("_predicted_n", F.lit(0)) != 1) | (F.coalesce("_gold_n", F.lit(0)) != 1)
     named = F.concat(F.lit("rows of predictions and gold differ at "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
-    checked = both.select(*keys, F.when(odd, F.raise_error(named).cast("boolean")).otherwise(F.lit(True)).alias("_paired"))
-    return checked.join(gold, keys, "left").join(predicted, keys, "left").filter("_paired").drop("_paired")
+    checked = both.withColumn("_paired", F.when(odd, F.raise_error(named).cast("boolean")).otherwise(F.lit(True)))
+    return checked.filter("_paired").select(*keys, "_gold.*", "_predicted.*")
 
 
 def field_rates(compared: DataFrame, by: str) -> DataFrame:

@@ -35,7 +35,8 @@ def sequential_batches(spark, sf_dir):
 def aligned_scores(spark, sf_dir):
     """Predictions beside gold reports, paired by key with a guard against missing and repeated rows."""
     keys = ["attempt", "template_family"]
-    both = score.aligned(_noisy(spark, sf_dir).select(*keys, "prediction"), _rendered(spark, sf_dir).select(*keys, "target"), keys)
+    rows = sinks.materialized(_noisy(spark, sf_dir).select(*keys, "prediction", "target"))  # two tables that are read, not made twice
+    both = score.aligned(rows.select(*keys, "prediction"), rows.select(*keys, "target"), keys)
     return both.groupBy("template_family").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("prediction") == F.col("target")).cast("bigint")).alias("equal"), F.sum((F.char_length("prediction") < F.char_length("target")).cast("bigint")).alias("shorter"))
 
 
@@ -122,7 +123,7 @@ def examples_with_slice(spark, sf_dir):
 def release_round_trip(spark, sf_dir):
     """Samples written as JSON lines to the shared folder and read again as evaluation examples."""
     folder = sinks.shared_folder(spark, "release")
-    sinks.json_lines(render.render_cases(exams(spark, sf_dir))).write.text(folder)
+    sinks.json_lines(render.render_cases(exams(spark, sf_dir))).write.option("compression", "gzip").text(folder)
     found = tables.generated(spark, folder, "all")
     return found.select("example_id", "split", "semantic_case_id", F.sha2("input", 256).alias("input_sha256"), "reference_text")
 
@@ -147,7 +148,7 @@ def challenge_round_trip(spark, sf_dir):
         F.lit("synthetic").alias("source"),
     )
     folder = sinks.shared_folder(spark, "challenge")
-    sinks.json_lines(made).write.text(folder)
+    sinks.json_lines(made).write.option("compression", "gzip").text(folder)
     found = tables.challenge(spark, folder)
     return found.select("example_id", "split", "semantic_case_id", "reference_text", F.array_join("difficulty_tags", ",").alias("tags"))
 
