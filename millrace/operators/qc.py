@@ -21,9 +21,9 @@ def finding(rule: str, severity: str, field: str | None = None, evidence: Column
     return F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(field).cast("string").alias("field"), text.cast("string").alias("evidence")).cast(FINDING)
 
 
-def text_findings(body: Column, parseable: Column) -> list[Column]:
-    """Findings from the text alone, in order; null where a rule doesn't fire."""
-    short = clip(body)
+def text_findings(body: Column, parseable: Column, short: Column | None = None) -> list[Column]:
+    """Findings from the text alone, in order; null where a rule doesn't fire. short: the text as evidence, if it is known."""
+    short = clip(body) if short is None else short
     out = [F.when(body.contains(t), finding("QC.DIAGNOSTIC_LANGUAGE", "error", None, F.lit(t))) for t in vocab.DIAGNOSTIC]
     contradictions = {
         "location_side": body.contains("左叶") & body.contains("右叶"),
@@ -31,14 +31,15 @@ def text_findings(body: Column, parseable: Column) -> list[Column]:
         "echogenicity": body.contains("实性") & body.contains("无回声") & ~body.contains("囊"),
     }
     out += [F.when(c, finding("QC.TEXT_FIELD_CONTRADICTION", "error", f, short)) for f, c in contradictions.items()]
-    out.append(F.when(body.rlike(vocab.MM_MEASURE) & body.rlike(vocab.CM_MEASURE), finding("QC.UNIT_MIXED_MM_CM", "warning", "dimensions_mm", short)))
+    units = F.lower(body)  # both units must be named at all before the patterns look for them
+    out.append(F.when(units.contains("mm") & units.contains("cm") & body.rlike(vocab.MM_MEASURE) & body.rlike(vocab.CM_MEASURE), finding("QC.UNIT_MIXED_MM_CM", "warning", "dimensions_mm", short)))
     out.append(F.when(~parseable, finding("QC.UNPARSEABLE_REPORT", "error")))
     return out
 
 
-def record_findings(body: Column, prefix: str) -> list[Column]:
+def record_findings(body: Column, prefix: str, short: Column | None = None) -> list[Column]:
     """Findings from the text held against the row's record."""
-    short = clip(body)
+    short = clip(body) if short is None else short
     found, gold = F.col(prefix + "dims"), F.col("dims")
     differs = lambda f: F.col(prefix + f) != F.col(f)
     out = [F.when(field_stated("location_side") & differs("location_side"), finding("QC.TEXT_LOCATION_MISMATCH", "error", "location_side", short))]
@@ -54,14 +55,16 @@ def record_findings(body: Column, prefix: str) -> list[Column]:
 
 def run_qc(df: DataFrame, text: str, with_record: bool = True, prefix: str = "parsed_") -> DataFrame:
     """Adds findings, error_count, warning_count and passed. An empty report has one finding and no others."""
-    out = extract(df, text, prefix)
-    body = strip(F.col(text))
-    found = text_findings(body, F.col(prefix + "parseable")) + (record_findings(body, prefix) if with_record else [])
+    out = computed_once(extract(df, text, prefix), {"_body": strip(F.col(text))})
+    body = F.col("_body")
+    out = computed_once(out, {"_short": clip(body)})
+    short = F.col("_short")
+    found = text_findings(body, F.col(prefix + "parseable"), short) + (record_findings(body, prefix, short) if with_record else [])
     findings = F.array_compact(F.array(*found))
     if with_record:
         broken = F.transform(violations(), lambda v: F.struct(F.lit("QC.STRUCTURE_INTERNAL_CONSISTENCY").alias("rule_id"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("field"), v.alias("evidence")).cast(FINDING))
         findings = F.concat(findings, broken)
-    out = computed_once(out, {"findings": F.when(body == "", F.array(finding("QC.EMPTY_REPORT", "error"))).otherwise(findings)})
+    out = computed_once(out, {"findings": F.when(body == "", F.array(finding("QC.EMPTY_REPORT", "error"))).otherwise(findings)}).drop("_body", "_short")
     count = lambda s: F.size(F.filter("findings", lambda f: f["severity"] == s))
     return out.withColumn("error_count", count("error")).withColumn("warning_count", count("warning")).withColumn("passed", F.col("error_count") == 0)
 
@@ -103,6 +106,11 @@ def mutations(body: Column) -> dict[str, Column]:
 
 def inject(df: DataFrame, text: str, example: str, per_defect: int | None = None) -> DataFrame:
     """A row for each defect that fits: defect_id, expected_rule, the mutated text and record; the first per_defect by example."""
+    if per_defect is not None:  # ids and defects alone say which rows are asked for; those rows are then the only ones that go on
+        fits = F.array_compact(F.array(*[F.when(m.isNotNull(), F.lit(d)) for d, m in mutations(F.col(text)).items()]))
+        pairs = materialized(df.select(F.col(example).alias("_id"), F.explode(fits).alias("_defect")))
+        first = materialized(first_rows(pairs, "_defect", "_id", per_defect).select("_id").distinct())
+        df = df.join(F.broadcast(first), F.col(example) == F.col("_id"), "left_semi")
     made = F.array(*[F.struct(F.lit(d).alias("defect_id"), F.lit(vocab.DEFECTS[d][0]).alias("expected_rule"), m.alias("mutated")) for d, m in mutations(F.col(text)).items()])
     rows = df.withColumn("_made", F.explode(made)).select("*", "_made.*").drop("_made").filter("mutated is not null")
     rows = rows.withColumn("vascularity", F.when(F.col("defect_id") == "negation_mislabeled", "not_mentioned").otherwise(F.col("vascularity")))
