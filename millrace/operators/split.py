@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab
@@ -40,13 +40,33 @@ def partition_columns(total: Column, ratios: tuple[float, ...]) -> list[Column]:
 
 def assign(df: DataFrame, case: str, ratios: tuple[float, ...] = (0.8, 0.1, 0.1), seed: int = vocab.SEED, unique: bool = False) -> DataFrame:
     """Adds split: whole cases (equal ids) in the order of sha256(seed:id), cut at the ratios' counts. Rows follow their case. unique: each
-    case is one row, which spares the join. The cases' number comes from the ranks' own bucket counts, in the same query."""
-    cases = df if unique else df.select(case).distinct()
+    case is one row, which spares the join and the shuffle; such a table is read three times and best written before. The cases' number comes from
+    the ranks' own bucket counts, in the same query."""
+    if unique:
+        return _cut(df, case, ratios, seed)
+    cases = df.select(case).distinct()
     ranked = digest_rank(cases.withColumn("_digest", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(case)), 256)), "_digest", "_rank", total="_total")
     train, validation, _ = partition_columns(F.col("_total"), ratios)
     split = F.when(F.col("_rank") <= train, SPLITS[0]).when(F.col("_rank") <= train + validation, SPLITS[1]).otherwise(SPLITS[2])
-    ranked = ranked.withColumn("split", split).drop("_digest", "_rank", "_total")
-    return ranked if unique else df.join(ranked.select(case, "split"), case)
+    return df.join(ranked.withColumn("split", split).select(case, "split"), case)
+
+
+def _cut(df: DataFrame, case: str, ratios: tuple[float, ...], seed: int) -> DataFrame:
+    """assign of unique cases: rows stay where they are and are held against the digests at the counts' ranks. Those are found by the counts of buckets
+    (65,536 at most), inside at most two of which digests are put in order."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(case)), 256)
+    digests = df.select(digest.alias("_digest")).filter("_digest is not null").withColumn("_bucket", F.substring("_digest", 1, 4))
+    counts = digests.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_bucket"))).withColumn("_total", F.sum("_n").over(Window.partitionBy()))
+    train, validation, _ = partition_columns(F.col("_total"), ratios)
+    ends = F.array(F.struct(F.lit(0).alias("_k"), train.alias("_end")), F.struct(F.lit(1).alias("_k"), (train + validation).alias("_end")))
+    wanted = ordered.select("_bucket", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", F.explode(ends).alias("_e")).select("_bucket", "_before", "_upto", "_e.*")
+    wanted = wanted.filter((F.col("_end") > F.col("_before")) & (F.col("_end") <= F.col("_upto"))).drop("_upto")
+    inside = digests.join(F.broadcast(wanted), "_bucket").withColumn("_rank", F.row_number().over(Window.partitionBy("_k").orderBy("_digest")) + F.col("_before"))
+    at = lambda k: F.coalesce(F.max(F.when((F.col("_k") == k) & (F.col("_rank") == F.col("_end")), F.col("_digest"))), F.lit(""))
+    cuts = inside.agg(at(0).alias("_train"), at(1).alias("_validation"))  # one row; a count of 0 has no digest
+    split = F.when(digest <= F.col("_train"), SPLITS[0]).when(digest <= F.col("_validation"), SPLITS[1]).otherwise(SPLITS[2])
+    return df.crossJoin(F.broadcast(cuts)).filter(F.col(case).isNotNull()).withColumn("split", split).drop("_train", "_validation")
 
 
 def template_splits(cases_with_split: DataFrame, held_out: str = vocab.HELD_OUT) -> DataFrame:

@@ -10,6 +10,7 @@ from millrace.functions.exprs import computed_once, length_statistics
 from millrace.operators.constraints import violations
 from millrace.operators.render import fragments, rendered, sample_id
 from millrace.sources.cases import canonical_json, parse_json
+from millrace.sources.sinks import materialized
 
 SPECIFIED = {"location.side": "location_side", "location.segment": "location_segment"} | {f: f for f in vocab.FIELDS if not f.startswith("location")}
 
@@ -51,32 +52,90 @@ def duplicates(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return wide.unpivot([by], columns, "column_name", "repeated_rows")
 
 
+def _digest(column: str) -> list[Column]:
+    """A value's 128 bits of hash as two whole numbers; null for null."""
+    return [F.when(F.col(column).isNotNull(), F.xxhash64(*seed, column)) for seed in ((), (F.lit(1),))]
+
+
+def _length_table(lengths: DataFrame, by: str) -> DataFrame:
+    """min, max, mean (three digits) and nearest-rank percentiles by group of a table (by, chars, n) that says how many texts have each length."""
+    group = Window.partitionBy(by)
+    placed = lengths.withColumn("_upto", F.sum("n").over(group.orderBy("chars"))).withColumn("_all", F.sum("n").over(group))
+    rank = lambda p: F.min(F.when(F.col("_upto") * 100 >= F.col("_all") * p, F.col("chars"))).alias(f"p{p}")
+    mean = F.round(F.sum(F.col("chars") * F.col("n")).cast("double") / F.sum("n"), 3).alias("mean_length")
+    return placed.groupBy(by).agg(F.min("chars").alias("min_length"), F.max("chars").alias("max_length"), mean, *[rank(p) for p in (50, 90, 95, 99)])
+
+
 def assembled(rows: DataFrame, by: str, everything: str = "all") -> DataFrame:
     """A release's statistics as one long table (by, statistic, name, value), for each group and for all rows together: samples, cases, families, coded
-    fields and missing states over distinct cases, measurements, text lengths, repeated rows. Each of its pieces is one aggregation."""
-    both = rows.withColumn(by, F.explode(F.array(F.col(by), F.lit(everything))))
+    fields and missing states over distinct cases, measurements, text lengths, repeated rows.
 
-    def long(df: DataFrame, statistic: str, name: Column, value: str) -> DataFrame:
-        return df.select(by, F.lit(statistic).alias("statistic"), name.cast("string").alias("name"), F.col(value).cast("double").alias("value"))
+    Rows are read once: what is counted of them (lengths, and 128 bits of hash for texts and ids) is written and read back. A value's or a case's groups
+    are bits of whole numbers, so that it goes through one shuffle for all groups and the whole; the groups' names are on the driver, as a manifest's are.
+    """
+    texts, ids = ["input", "target"], ["sample_id", "semantic_case_id", "input", "target"]
+    hashes = {f"_{c}_{k}": h for c in ids for k, h in enumerate(_digest(c))}
+    slim = materialized(rows.select(by, "template_family", *SPECIFIED.values(), "dims_state", F.when(F.col("dims").isNotNull(), F.size("dims")).alias("_arity"), F.array_min("dims").alias("_least"), F.array_max("dims").alias("_largest"), *[F.char_length(c).cast("bigint").alias(f"_{c}_chars") for c in texts], *[h.alias(c) for c, h in hashes.items()]))
+    groups = [r[0] for r in slim.select(by).distinct().collect()]
+    words = range(-(-len(groups) // 63) or 1)
+    named = [F.lit(g).cast("string") for g in groups]
+
+    def bits(word: int) -> Column:
+        out = F.lit(0).cast("bigint")
+        for k, g in enumerate(named[word * 63 : word * 63 + 63]):
+            out = F.when(F.col(by).eqNullSafe(g), F.lit(1 << k).cast("bigint")).otherwise(out)
+        return out
+
+    marks = [F.bit_or(bits(w)).alias(f"_in_{w}") for w in words]
+    held = [f"_in_{w}" for w in words]
+
+    def by_groups(df: DataFrame) -> DataFrame:
+        """A row for each group that a row's bits name, and one for the whole."""
+        own = [F.when(F.col(f"_in_{k // 63}").bitwiseAND(F.lit(1 << k % 63).cast("bigint")) != 0, F.struct(g.alias("g"))) for k, g in enumerate(named)]
+        every = F.array_distinct(F.array_append(F.array_compact(F.array(*own)), F.struct(F.lit(everything).alias("g"))))
+        return df.withColumn("_group", F.explode(every)).withColumn(by, F.col("_group.g")).drop("_group", *held)
+
+    def long(df: DataFrame, statistic: Column | str, name: Column, value: Column | str) -> DataFrame:
+        statistic = F.lit(statistic) if isinstance(statistic, str) else statistic
+        return df.select(by, statistic.alias("statistic"), name.cast("string").alias("name"), F.col(value).cast("double").alias("value") if isinstance(value, str) else value.cast("double").alias("value"))
 
     def wide(df: DataFrame, statistic: str) -> DataFrame:
         names = [c for c in df.columns if c != by]
         return long(df.select(by, *[F.col(c).cast("double").alias(c) for c in names]).unpivot([by], names, "name", "value"), statistic, F.col("name"), "value")
 
-    n = F.count(F.lit(1)).alias("n")
-    sizes = dimension_statistics(both, by)
-    fields = field_distribution(both, by).select(by, F.concat(F.lit("field "), F.col("field")).alias("statistic"), F.col("value").alias("name"), F.col("n").cast("double").alias("value"))
+    n, total = F.count(F.lit(1)).alias("n"), F.sum("n").alias("n")
+    sizes = materialized(slim.groupBy(by, "template_family", *[f"_{c}_chars" for c in texts]).agg(n))
+    sizes = sizes.withColumn(by, F.explode(F.array(F.col(by), F.lit(everything))))
+    samples = sizes.groupBy(by).agg(total)
+
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_{c}_0").alias("a"), F.col(f"_{c}_1").alias("b")) for k, c in enumerate(ids)]))
+    different = slim.select(by, values.alias("_v")).filter("_v.a is not null").groupBy("_v.k", "_v.a", "_v.b").agg(*marks)
+    different = materialized(by_groups(different.groupBy("k", *held).agg(n)).groupBy(by).agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in enumerate(ids)]))
+    both = samples.join(F.broadcast(different), samples[by].eqNullSafe(different[by]), "left").select(samples[by], "n", *[F.coalesce(c, F.lit(0)).alias(c) for c in ids])
+
+    record = F.struct(*SPECIFIED.values(), "dims_state", "_arity", "_least", "_largest")
+    once = slim.groupBy("_semantic_case_id_0", "_semantic_case_id_1").agg(F.first(record).alias("r"), *marks)
+    told = [F.struct(F.lit(f"field {f}").alias("statistic"), F.col(f"r.{c}").alias("name")) for f, c in SPECIFIED.items()]
+    told += [F.when(F.col(f"r.{c}").isNotNull(), F.struct(F.lit(s).alias("statistic"), F.col(f"r.{c}").cast("string").alias("name"))) for s, c in (("missing_state", "dims_state"), ("dimension_count", "_arity"))]
+    facts = once.select(*held, F.col("r._least").alias("least"), F.col("r._largest").alias("largest"), F.explode(F.array(*told)).alias("_t")).filter("_t is not null")
+    facts = facts.groupBy(*held, "_t.statistic", "_t.name").agg(n, F.min("least").alias("least"), F.max("largest").alias("largest"))
+    facts = materialized(by_groups(facts).groupBy(by, "statistic", "name").agg(total, F.min("least").alias("least"), F.max("largest").alias("largest")))
+    fields = facts.filter(F.col("statistic").startswith("field "))
+    states = facts.filter("statistic = 'missing_state'").unionByName(fields.filter(F.col("name").isin(list(vocab.MISSING))))
+    measured = facts.filter("statistic = 'dimension_count'")
+
     pieces = [
-        wide(both.groupBy(by).agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("semantic_case_id").alias("semantic_cases")), "rows"),
-        long(both.groupBy(by, "template_family").agg(n), "template_family", F.col("template_family"), "n"),
-        fields,
-        long(missing_states(both, by), "missing_state", F.col("state"), "n"),
-        long(sizes, "dimension_count", F.col("arity"), "n"),
-        wide(sizes.groupBy(by).agg(F.min("least_mm").alias("least"), F.max("largest_mm").alias("largest")), "dimension_mm"),
-        *[wide(both.withColumn("chars", F.char_length(c).cast("bigint")).groupBy(by).agg(*length_statistics("chars")), f"{c}_chars") for c in ("input", "target")],
+        wide(both.select(by, F.col("n").alias("samples"), F.col("semantic_case_id").alias("semantic_cases")), "rows"),
+        long(sizes.groupBy(by, "template_family").agg(total), "template_family", F.col("template_family"), "n"),
+        long(fields, F.col("statistic"), F.col("name"), "n"),
+        long(states.groupBy(by, "name").agg(total), "missing_state", F.col("name"), "n"),
+        long(measured, "dimension_count", F.col("name"), "n"),
+        wide(measured.groupBy(by).agg(F.min("least").alias("least"), F.max("largest").alias("largest")), "dimension_mm"),
     ]
-    again = duplicates(both, by, ["sample_id", "semantic_case_id", "input", "target"])
-    pieces.append(long(again, "duplicate_rows", F.col("column_name"), "repeated_rows"))
+    for c in texts:
+        table = _length_table(sizes.filter(F.col(f"_{c}_chars").isNotNull()).groupBy(by, F.col(f"_{c}_chars").alias("chars")).agg(total), by)
+        pieces.append(wide(samples.join(table, samples[by].eqNullSafe(table[by]), "left").select(samples[by], *[x for x in table.columns if x != by]), f"{c}_chars"))
+    pieces.append(wide(both.select(by, *[(F.col("n") - F.col(c)).alias(c) for c in ids]), "duplicate_rows"))
     out = pieces[0]
     for piece in pieces[1:]:
         out = out.unionByName(piece)

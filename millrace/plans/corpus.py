@@ -9,7 +9,7 @@ from millrace.functions import vocab
 from millrace.functions.exprs import computed_once, contains_any, content_id, length_statistics, number_text
 from millrace.operators import extract, qc, render, split, stats, tokens, training
 from millrace.plans import duck
-from millrace.plans.records import _rendered, exams
+from millrace.plans.records import _rendered, exams, held_exams
 from millrace.plans.registry import register
 from millrace.sources.sinks import materialized
 from millrace.sources.tables import dealt, load, spread
@@ -59,7 +59,7 @@ def split_duplicates(spark, sf_dir):
 
 def _split_cases(spark, sf_dir) -> DataFrame:
     """All records with their split; drawn once."""
-    return split.assign(materialized(exams(spark, sf_dir)), "semantic_case_id", unique=True)
+    return split.assign(held_exams(spark, sf_dir), "semantic_case_id", unique=True)
 
 
 def _case_rows(spark, sf_dir, texts: bool = True, cases: DataFrame | None = None) -> DataFrame:
@@ -366,7 +366,7 @@ def challenge_validation(spark, sf_dir):
     """Paraphrases of all records held against templates, terms and the frozen training cases."""
     from millrace.operators.challenge import validate
 
-    cases = split.assign(materialized(exams(spark, sf_dir)), "semantic_case_id", unique=True)
+    cases = split.assign(held_exams(spark, sf_dir), "semantic_case_id", unique=True)
     rows = render.fragments(cases)
     plain = render.report("location_first_v2")
     other = F.replace(plain, F.lit("见一枚"), F.lit("可见单个"))

@@ -70,7 +70,7 @@ def _statistics_sql() -> str:
 @register("dataset_statistics", _statistics_sql())
 def dataset_statistics(spark, sf_dir):
     """All statistics of a release in one long table, for each part and for all."""
-    return stats.assembled(sinks.materialized(_case_rows(spark, sf_dir)), "part")
+    return stats.assembled(_case_rows(spark, sf_dir), "part")
 
 
 _PADDED_SQL = f"""{_BATCH_SQL}, pi AS (SELECT doc_id, batch, list_transform(range(1, n_chars % 9 + 2), lambda k: (doc_id + k)::INT) AS ids FROM bb),

@@ -192,3 +192,50 @@ def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
 def test_statistics_of_no_rows(spark):
     empty = spark.createDataFrame([], ", ".join([*(f"{f} string" for f in vocab.FIELDS), "dims array<double>", "dims_state string", "part string", "sample_id string", "semantic_case_id string", "input string", "target string", "template_family string"]))
     assert stats.assembled(empty, "part").collect() == []
+
+
+def test_statistics_of_odd_rows(spark, monkeypatch):
+    """Nulls, repeated rows and cases in several groups are counted as plain Python does; no text is written or shuffled on the way."""
+    r = random.Random(3)
+    base = {f: codes[0] for f, codes in vocab.DOMAINS.items()}
+    rows = []
+    for k in range(160):
+        case = r.randrange(60)
+        record = base | {"margin": (None, "smooth", "unknown", "odd")[case % 4], "dims": None if case % 5 == 0 else [1.0 + case, 2.0, 3.0][: 2 + case % 2], "dims_state": "unknown" if case % 5 == 0 else None}
+        own = {"part": r.choice(["train", "test", "all", None]), "sample_id": f"s{r.randrange(120)}", "semantic_case_id": None if case == 7 else f"c{case}", "input": f"i{case}", "target": None if k % 9 == 0 else "t" * r.randrange(30), "template_family": r.choice(["f", "g"])}
+        rows.append(record | own)
+    names = [*vocab.FIELDS, "dims", "dims_state", "part", "sample_id", "semantic_case_id", "input", "target", "template_family"]
+    kinds = ", ".join(f"{c} {'array<double>' if c == 'dims' else 'string'}" for c in names)
+    written, whole = [], sinks.materialized
+    monkeypatch.setattr(stats, "materialized", lambda df: written.append(df) or whole(df))
+    found = {(x["part"], x["statistic"], x["name"]): x["value"] for x in stats.assembled(spark.createDataFrame([tuple(x[c] for c in names) for x in rows], kinds), "part").collect()}
+    assert written and not any({("input", "string"), ("target", "string")} & set(df.dtypes) for df in written)
+    wanted = {}
+    both = [*rows, *[x | {"part": "all"} for x in rows]]
+    for part in {x["part"] for x in both}:
+        own = [x for x in both if x["part"] == part]
+        once = {x["semantic_case_id"]: x for x in own}
+        known = lambda c: {x[c] for x in own if x[c] is not None}  # noqa: E731, B023
+        wanted |= {(part, "rows", "samples"): len(own), (part, "rows", "semantic_cases"): len(known("semantic_case_id"))}
+        wanted |= {(part, "duplicate_rows", c): len(own) - len(known(c)) for c in ("sample_id", "semantic_case_id", "input", "target")}
+        for c in ("input", "target"):
+            n = sorted(len(x[c]) for x in own if x[c] is not None)
+            wanted |= {(part, f"{c}_chars", "min_length"): n[0], (part, f"{c}_chars", "max_length"): n[-1], (part, f"{c}_chars", "mean_length"): round(sum(n) / len(n), 3)}
+            wanted |= {(part, f"{c}_chars", f"p{p}"): n[-(-len(n) * p // 100) - 1] for p in (50, 90, 95, 99)}
+        single = [(f"field {n}", x[c]) for n, c in stats.SPECIFIED.items() for x in once.values()] + [("template_family", x["template_family"]) for x in own]
+        single += [("missing_state", v) for x in once.values() for v in [*(x[c] for c in stats.SPECIFIED.values()), x["dims_state"]] if v in vocab.MISSING]
+        single += [("dimension_count", str(len(x["dims"]))) for x in once.values() if x["dims"]]
+        for statistic, name in single:
+            wanted[part, statistic, name] = wanted.get((part, statistic, name), 0) + 1
+        sizes = [v for x in once.values() for v in x["dims"] or ()]
+        wanted |= {(part, "dimension_mm", "least"): min(sizes), (part, "dimension_mm", "largest"): max(sizes)}
+    assert found == wanted
+
+
+def test_unique_cases_are_cut_where_they_lie(spark):
+    rows = spark.createDataFrame([(f"case {k}", "x") for k in range(500)], "c string, other string")
+    for ratios in ((0.8, 0.1, 0.1), (0.0, 1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.25, 0.25, 0.5)):
+        both = [{x["c"]: x["split"] for x in split.assign(rows, "c", ratios, unique=u).collect()} for u in (False, True)]
+        assert both[0] == both[1]
+    plan = split.assign(rows, "c", unique=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "other" not in "".join(line for line in plan.splitlines() if "Window" in line or "Aggregate" in line) and "Join Cross" in plan
