@@ -99,7 +99,7 @@ def resumed_pauses(spark, sf_dir):
     from millrace.streaming.progress import hysteresis
     from millrace.streaming.run import available_rows
 
-    rows = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = load(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     middle = rows.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]
     folder = shared_folder(spark, "resumed")
     out = None

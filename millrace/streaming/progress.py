@@ -18,24 +18,35 @@ def windows(events: DataFrame, ts: str, by: str, value: str, optional: str, size
     return rows.select(F.col("window.start").alias("start"), by, "n", "max_value", "mean_value", "max_optional", "mean_optional", "n_optional")
 
 
-def hysteresis(events: DataFrame, by: str, ts: str, order: str, value: str, limit: float, resume: float) -> DataFrame:
-    """Ended pauses as they end. A group's state is whether it is paused, the pause's number and its start."""
+def hysteresis(events: DataFrame, by: str, ts: str, order: str, value: str, limit: float, resume: float, buckets: int = 512) -> DataFrame:
+    """Ended pauses as they end. A group's state is whether it is paused, the pause's number and its start.
+
+    Groups share a state row by a hash of their key, as a call for each would cost more than its events; a checkpoint holds for one number of buckets.
+    Values that can't begin or end a pause aren't shuffled.
+    """
+    kind = dict(events.dtypes)[by]
+    last = 9_223_372_036_854_775  # where a row without a time is put
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        paused, number, start = state.get if state.exists else (False, 0, 0)
+        known = {g: (p, n, s) for g, p, n, s in zip(*state.get, strict=True)} if state.exists else {}
         out = []
-        rows = pd.concat(list(frames)).sort_values([ts, order])
-        for at, v in zip(rows[ts], rows[value], strict=True):
+        rows = pd.concat(list(frames)).sort_values(["_at", "_order"])
+        for g, at, v in zip(rows["_key"].tolist(), rows["_at"].tolist(), rows["_value"].tolist(), strict=True):
+            paused, number, start = known.get(g, (False, 0, 0))
             if not paused and v >= limit:
-                paused, number, start = True, number + 1, int(at.value // 1000)
+                known[g] = True, number + 1, at
             elif paused and v <= resume:
-                paused = False
-                out.append((key[0], number, pd.Timestamp(start * 1000), at, (at.value // 1000 - start) / 1e6))
-        state.update((paused, number, start))
-        yield pd.DataFrame(out, columns=[by, "episode", "start_ts", "end_ts", "seconds"])
-
-    kind = dict(events.dtypes)[by]
-    return events.groupBy(by).applyInPandasWithState(follow, f"{by} {kind}, episode long, start_ts timestamp, end_ts timestamp, seconds double", "paused boolean, number long, start long", "append", GroupStateTimeout.NoTimeout)
+                known[g] = False, number, start
+                out.append((g, number, start, at))
+        state.update(tuple(map(list, zip(*[(g, *s) for g, s in known.items()], strict=True))) if known else ([], [], [], []))
+        yield pd.DataFrame(out, columns=["_key", "episode", "_start", "_end"])
+
+    signals = events.filter((F.col(value) >= limit) | (F.col(value) <= resume))
+    text = F.col(by).cast("string")
+    rows = signals.select(F.pmod(F.xxhash64(by), F.lit(buckets)).alias("_bucket"), text.alias("_key"), F.coalesce(F.unix_micros(ts), F.lit(last)).alias("_at"), F.col(order).alias("_order"), F.col(value).alias("_value"))
+    found = rows.groupBy("_bucket").applyInPandasWithState(follow, "_key string, episode long, _start long, _end long", "keys array<string>, paused array<boolean>, number array<long>, start array<long>", "append", GroupStateTimeout.NoTimeout)
+    seconds = (F.col("_end") - F.col("_start")) / 1e6
+    return found.select(F.col("_key").cast(kind).alias(by), "episode", F.timestamp_micros("_start").alias("start_ts"), F.timestamp_micros("_end").alias("end_ts"), seconds.alias("seconds"))
 
 
 def stalls(events: DataFrame, by: str, ts: str, order: str, stall_seconds: float, late: str = "1 hour") -> DataFrame:

@@ -53,3 +53,26 @@ def test_batch_pauses(spark):
     assert [(r["seconds"], r["ended"]) for r in found] == [(3.0, True), (0.0, False)]
     none = batch.throughput(rows.limit(1), "g", "ts", "v").first()
     assert none["events_per_second"] == 0.0
+
+
+def test_pauses_of_many_keys_in_few_calls(spark, tmp_path):
+    """Keys share calls and states, and keep pauses of their own over restarts; null and textual keys too."""
+    from pyspark.sql import Row
+
+    rows, wanted = [], set()
+    for k in range(60):
+        g = None if k == 0 else f"g{k}"
+        rows += [Row(g=g, i=3 * k + n, t=10 * n + k, v=v) for n, v in enumerate((90.0, 60.0, 40.0, None, 85.0, float(k)))]
+        wanted |= {(g, 1, 20.0)} | ({(g, 2, 10.0)} if k <= 40 else set())
+    table = spark.createDataFrame(rows, "g string, i long, t long, v double").withColumn("ts", F.timestamp_seconds("t"))
+    found = None
+    for half in (F.col("i") % 3 < 0, F.col("t") < 45, F.col("t") >= 45):
+        table.filter(half).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in")
+        pauses = stream.hysteresis(source, "g", "ts", "i", "v", 80, 40, buckets=3)
+        found = available_rows(pauses, f"file://{tmp_path}/run")
+    ordered = table.orderBy("ts").collect()
+    assert {tuple(r) for r in found.select("g", "episode", "seconds").collect()} == wanted and len(ordered) == 360
+    assert found.filter("unix_micros(end_ts) - unix_micros(start_ts) <> seconds * 1e6").isEmpty()
+    log = spark.read.format("state-metadata").load(f"file://{tmp_path}/run/log")
+    assert log.count() > 0 and spark.read.format("statestore").load(f"file://{tmp_path}/run/log").count() == 3
