@@ -142,7 +142,7 @@ def dataset_dimensions(spark, sf_dir):
 @register("dataset_integrity", f"WITH {duck.RENDERED}, k AS (SELECT *, attempt % 4 AS kind FROM r1) SELECT CASE kind WHEN 0 THEN 'target' WHEN 1 THEN 'sample_id' WHEN 2 THEN 'versions' ELSE '' END AS problems, count(*) AS n FROM k GROUP BY 1")
 def dataset_integrity(spark, sf_dir):
     """Rows of all families, three quarters of them tampered with in one way each."""
-    rows = render.render_cases(exams(spark, sf_dir), carry=("attempt",)).withColumn("kind", F.pmod("attempt", F.lit(4))).drop("attempt")
+    rows = render.render_cases(held_exams(spark, sf_dir), carry=("attempt",)).withColumn("kind", F.pmod("attempt", F.lit(4))).drop("attempt")
     broken = rows.withColumn("target", F.when(F.col("kind") == 0, F.concat("target", F.lit("!"))).otherwise(F.col("target")))
     broken = broken.withColumn("sample_id", F.when(F.col("kind") == 1, F.concat("sample_id", F.lit("0"))).otherwise(F.col("sample_id")))
     broken = broken.withColumn("renderer_version", F.when(F.col("kind") == 2, "0.9.0").otherwise(F.col("renderer_version"))).drop("kind")

@@ -76,13 +76,22 @@ def canonical_json(df_dims: Column | None = None) -> Column:
     return F.concat(F.lit("{"), quoted("lymph_nodes", "lymph_nodes"), F.lit(',"nodules":[{'), nodule, F.lit(f'}}],"organ":"{vocab.ORGAN}","schema_version":"{vocab.SCHEMA_VERSION}"}}'))
 
 
-def parse_json(df: DataFrame, column: str = "input") -> DataFrame:
-    """Adds the record's fields from its JSON; dims_state or dims, as the union says; fields left out are not_mentioned."""
-    at = lambda path: F.get_json_object(column, path)
-    paths = {f: f"$.nodules[0].{f}" for f in FIELDS} | {"location_side": "$.nodules[0].location.side", "location_segment": "$.nodules[0].location.segment", "lymph_nodes": "$.lymph_nodes"}
-    dims = at("$.nodules[0].dimensions_mm")
+_OWN = [f for f in FIELDS if not f.startswith("location") and f != "lymph_nodes"]
+_RECORD = f"lymph_nodes string, schema_version string, nodules array<struct<{', '.join(f'{f}: string' for f in _OWN)}, dimensions_mm: string, location: struct<side: string, segment: string>>>"
+
+
+def parse_json(df: DataFrame, column: str = "input", version: str | None = None) -> DataFrame:
+    """Adds the record's fields from its JSON, which is read through once; dims_state or dims, as the union says; fields left out are not_mentioned.
+    version: name of a column for the record's own schema_version, null without one."""
+    an_object = F.ltrim(F.col(column), F.lit(" \t\r\n")).startswith("{")  # an array of records is none
+    rows = computed_once(df, {"_record": F.when(an_object, F.from_json(column, _RECORD))})
+    nodule = F.get("_record.nodules", F.lit(0))
+    found = {f: nodule[f] for f in _OWN} | {"location_side": nodule["location"]["side"], "location_segment": nodule["location"]["segment"], "lymph_nodes": F.col("_record.lymph_nodes")}
+    dims = nodule["dimensions_mm"]
     listed = F.from_json(F.when(dims.startswith("["), dims), "array<double>")
-    return df.withColumns({f: F.coalesce(at(p), F.lit("not_mentioned")) for f, p in paths.items()}).withColumn("dims", listed).withColumn("dims_state", F.when(listed.isNull(), F.coalesce(dims, F.lit("not_mentioned"))))
+    rows = computed_once(rows, {f: F.coalesce(found[f], F.lit("not_mentioned")) for f in FIELDS} | {"dims": listed})
+    rows = rows.withColumn("dims_state", F.when(F.col("dims").isNull(), F.coalesce(dims, F.lit("not_mentioned"))))
+    return (rows.withColumn(version, F.col("_record.schema_version")) if version else rows).drop("_record")
 
 
 def identified(df: DataFrame) -> DataFrame:

@@ -163,3 +163,27 @@ def test_audit_finds_leaks(spark):
 def test_integrity_of_untouched_rows(spark):
     rows = render.render_cases(cases.unique_cases(cases.identified(cases.draw_exams(cases.attempts(spark, 200)))))
     assert stats.integrity(rows).filter(F.size("problems") > 0).isEmpty()
+
+
+def test_integrity_of_odd_rows(spark):
+    """Odd JSON is read as path by path; rows aren't shuffled, and a case with several inputs is found."""
+    good = cases.identified(exam(spark)).first()["input"]
+    odd = [good, "", "{", "[]", f"[{good}]", "null", None, good[:-9], " \n" + good, good.replace("smooth", "  "), good.replace('"smooth"', "null"), good.replace('"smooth"', "7"), good.replace('"smooth"', "[1, 2]"), good.replace("[9.0,6.5]", "[ 9, 6.50 ]"), good.replace("[9.0,6.5]", '"unknown"'), good.replace("[9.0,6.5]", "5"), good.replace('"nodules"', '"n"'), good.replace('{"segment":"upper","side":"left"}', '"left"'), '{"nodules":[],"schema_version":2}', '{"nodules":{"margin":"smooth"},"lymph_nodes":"unknown"}']
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, input string")
+    at = lambda path: F.get_json_object("input", path)
+    paths = {f: f"$.nodules[0].{f}" for f in vocab.FIELDS} | {"location_side": "$.nodules[0].location.side", "location_segment": "$.nodules[0].location.segment", "lymph_nodes": "$.lymph_nodes"}
+    dims = at("$.nodules[0].dimensions_mm")
+    listed = F.from_json(F.when(dims.startswith("["), dims), "array<double>")
+    wanted = rows.select("k", *[F.regexp_replace(F.coalesce(at(p), F.lit("not_mentioned")), " ", "").alias(f) for f, p in paths.items()], listed.alias("dims"), F.when(listed.isNull(), F.coalesce(dims, F.lit("not_mentioned"))).alias("dims_state"), at("$.schema_version").alias("v"))
+    found = cases.parse_json(rows, version="v").select("k", *[F.regexp_replace(f, " ", "").alias(f) for f in paths], "dims", "dims_state", "v")
+    assert found.orderBy("k").collect() == wanted.orderBy("k").collect()
+
+    made = render.render_cases(cases.identified(exam(spark, {}, {"margin": "ill_defined"})))
+    first, second = sorted({(r["semantic_case_id"], r["input"]) for r in made.collect()})
+    twisted = made.withColumn("input", F.when((F.col("semantic_case_id") == first[0]) & (F.col("template_family") == vocab.HELD_OUT), F.lit(second[1])).otherwise(F.col("input")))
+    checked = stats.integrity(twisted)
+    assert {(r["semantic_case_id"] == first[0], "case_has_several_inputs" in r["problems"]) for r in checked.collect()} == {(True, True), (False, False)}
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and "get_json_object" not in plan
+    nulls = stats.integrity(made.withColumn("semantic_case_id", F.lit(None).cast("string"))).collect()
+    assert len(nulls) == 8 and all("case_has_several_inputs" in r["problems"] for r in nulls)
