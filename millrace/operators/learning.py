@@ -2,7 +2,7 @@
 
 A step is one job over its micro-batches. Tasks work out each sample's gradient by itself and add it up in fixed point, whole numbers whose sums depend on no order, so a step is the same, bit for bit,
 however the samples lie in partitions and whichever tasks run again. Partial sums leave a task in slices of the parameters, and each slice is added up in a task of its own; the driver gets the sum, as large as
-the model, and holds weights and moments. Attention is worked through in blocks of places, forth and back, with a running maximum and sum over blocks of keys, so a long sample needs memory for a block, not for its square.
+the model, and holds weights and moments. Attention is worked through in blocks of places, forth and back, with running sums over blocks of keys; shares are kept for the way back as far as a fixed room goes, so a long sample needs memory for that, not for its square.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from millrace.operators import decoder, training
 from millrace.operators.decoder import Config
 from millrace.sources.sinks import shared_folder
 
-#: Places of a block of attention or of scores.
-BLOCK = 256
+#: Places of a block; of attention it is half of that by as many keys. Shares of attention that a task keeps (64 MB).
+BLOCK, HELD = 256, 1 << 23
 #: Bits after the point of the sums, the half of them that goes apart, and parameters of a slice.
 POINT, HALF, SLICE = 40, 32, 1 << 16
 EPSILON = 1e-5
@@ -87,8 +87,10 @@ def norm_back(dy: np.ndarray, scale: np.ndarray, held: tuple) -> tuple[np.ndarra
 
 def gelu(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The value, and its slope."""
-    t = np.tanh(0.7978845608 * (u + 0.044715 * u**3))
-    return 0.5 * u * (1 + t), 0.5 * (1 + t) + 0.5 * u * (1 - t**2) * 0.7978845608 * (1 + 3 * 0.044715 * u**2)
+    square = u * u
+    t = 1 - 2 / (np.exp(2 * 0.7978845608 * (u + 0.044715 * (square * u))) + 1)  # the hyperbolic tangent; np.tanh takes longer
+    half = 0.5 * (1 + t)
+    return u * half, half + 0.5 * u * (1 - t * t) * 0.7978845608 * (1 + 3 * 0.044715 * square)
 
 
 def _blocks(n: int) -> Iterator[slice]:
@@ -96,46 +98,114 @@ def _blocks(n: int) -> Iterator[slice]:
         yield slice(low, min(low + BLOCK, n))
 
 
-def _scores(q: np.ndarray, key: np.ndarray, rows: slice, columns: slice) -> np.ndarray:
-    """What the places of a block make of those of another, no later than themselves."""
-    s = q[:, rows] @ key[:, columns].transpose(0, 2, 1) / math.sqrt(q.shape[-1])
-    if columns.stop > rows.start + 1:
-        s = np.where(np.arange(columns.start, columns.stop) <= np.arange(rows.start, rows.stop)[:, None], s, -np.inf)
-    return s
-
-
-def attention(q: np.ndarray, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of heads by places by width: what each place takes from those before, and the logarithm of its scores' sum, block by block."""
-    out, logs = np.empty_like(value), np.empty(q.shape[:2])
-    for rows in _blocks(q.shape[1]):
-        top = np.full((len(q), rows.stop - rows.start, 1), -np.inf)
-        total, taken = np.zeros_like(top), np.zeros_like(value[:, rows])
-        for columns in _blocks(rows.stop):
-            s = _scores(q, key, rows, columns)
-            higher = np.maximum(top, s.max(-1, keepdims=True))
-            share, fade = np.exp(s - higher), np.exp(top - higher)
-            total, taken, top = total * fade + share.sum(-1, keepdims=True), taken * fade + share @ value[:, columns], higher
-        out[:, rows], logs[:, rows] = taken / total, (top + np.log(total))[..., 0]
-    return out, logs
-
-
-def attention_back(d: np.ndarray, q: np.ndarray, key: np.ndarray, value: np.ndarray, out: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The slopes of queries, keys and values; shares are worked out again, block by block."""
-    dq, dk, dv = np.zeros_like(q), np.zeros_like(key), np.zeros_like(value)
-    scale = 1 / math.sqrt(q.shape[-1])
-    for rows in _blocks(q.shape[1]):
-        own = (d[:, rows] * out[:, rows]).sum(-1, keepdims=True)
-        for columns in _blocks(rows.stop):
-            share = np.exp(_scores(q, key, rows, columns) - logs[:, rows, None])
-            dv[:, columns] += share.transpose(0, 2, 1) @ d[:, rows]
-            ds = share * (d[:, rows] @ value[:, columns].transpose(0, 2, 1) - own) * scale
-            dq[:, rows] += ds @ key[:, columns]
-            dk[:, columns] += ds.transpose(0, 2, 1) @ q[:, rows]
-    return dq, dk, dv
-
-
-def sample_gradient(config: Config, w: dict[str, np.ndarray], ids: np.ndarray, wanted: np.ndarray) -> tuple[float, int, dict[str, np.ndarray]]:
-    """The summed loss of a sample's unmasked places, their number, and the loss's slope for every weight. ids and wanted: the sequence without its last id, and the labels one place on."""
+class Room:
+    """A task's memory for attention: shares that the way back reads again, as many as fit; the others are worked out twice."""
+
+    def __init__(self, cells: int | None = None):
+        self.cells, self.used, self.spare = np.empty(HELD if cells is None else cells), 0, [np.empty(0)] * 3
+
+    def kept(self, rows: int, columns: int) -> np.ndarray | None:
+        low, high = self.used, self.used + rows * columns
+        if high > len(self.cells):
+            return None
+        self.used = high
+        return self.cells[low:high].reshape(rows, columns)
+
+    def passing(self, k: int, rows: int, columns: int) -> np.ndarray:
+        """One of three stretches that the next block writes over."""
+        if len(self.spare[k]) < rows * columns:
+            self.spare[k] = np.empty(rows * columns)
+        return self.spare[k][: rows * columns].reshape(rows, columns)
+
+
+def _strips(n: int) -> Iterator[tuple[slice, list[slice]]]:
+    """Blocks of places, each with the blocks of keys they see, of a size that stays in a core's cache."""
+    for low in range(0, n, half := max(1, BLOCK // 2)):
+        high = min(low + half, n)
+        yield slice(low, high), [slice(a, min(a + half, high)) for a in range(0, high, half)]
+
+
+def _scores(q: np.ndarray, key: np.ndarray, rows: slice, columns: slice, out: np.ndarray, later: float) -> np.ndarray | None:
+    """What the places of a block make of those of another; the part where keys come later is set to a number, and returned with where."""
+    np.matmul(q[rows], key[columns].T, out=out)
+    first = max(rows.start + 1, columns.start)
+    if columns.stop <= first:
+        return None
+    where = np.arange(first, columns.stop) > np.arange(rows.start, rows.stop)[:, None]
+    np.copyto(out[:, first - columns.start :], later, where=where)
+    return where
+
+
+def attention(q: np.ndarray, key: np.ndarray, value: np.ndarray, room: Room) -> tuple[np.ndarray, tuple]:
+    """Of heads by places by width: what each place takes from those before, block by block, and what the way back needs. Scores whose bound is small need no maximum taken off."""
+    q, key = np.ascontiguousarray(q) / math.sqrt(q.shape[-1]), np.ascontiguousarray(key)
+    more = np.concatenate([value, np.ones((*value.shape[:2], 1))], -1)  # the shares' sum comes with what is taken
+    bound = math.sqrt((q * q).sum(-1).max(initial=0) * (key * key).sum(-1).max(initial=0))
+    bounded, halved = bound < 300, decoder.halvings(bound)
+    asked = q if halved is None else q / 2**halved
+    out, total, top, held = np.empty(value.shape), np.empty((*q.shape[:2], 1)), np.zeros((*q.shape[:2], 1)), []
+    for h in range(len(q)):
+        for rows, seen in _strips(q.shape[1]):
+            taken, high = np.zeros((rows.stop - rows.start, more.shape[-1])), np.full((rows.stop - rows.start, 1), -np.inf)
+            for columns in seen:
+                size = rows.stop - rows.start, columns.stop - columns.start
+                s = room.kept(*size) if bounded else None
+                held.append(s)
+                s = room.passing(0, *size) if s is None else s
+                where = _scores(asked[h], key[h], rows, columns, s, 0.0 if bounded else -np.inf)
+                if not bounded:
+                    higher = np.maximum(high, s.max(-1, keepdims=True))
+                    taken *= np.exp(high - higher)
+                    s -= higher
+                    high = higher
+                _powers(s, halved, room)
+                if where is not None and bounded:
+                    np.copyto(s[:, s.shape[1] - where.shape[1] :], 0.0, where=where)
+                taken += s @ more[h, columns]
+            total[h, rows] = taken[:, -1:]
+            out[h, rows] = taken[:, :-1] / total[h, rows]
+            if not bounded:
+                top[h, rows] = high
+    return out, (q, asked, key, more, total, top, halved, held)
+
+
+def _powers(s: np.ndarray, halved: int | None, room: Room) -> None:
+    if halved is None:
+        np.exp(s, out=s)
+    else:
+        decoder.exponentials(s, halved, (room.passing(1, *s.shape), room.passing(2, *s.shape)))
+
+
+def attention_back(d: np.ndarray, out: np.ndarray, known: tuple, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slopes of queries, keys and values; shares that weren't kept are worked out again, block by block."""
+    q, asked, key, more, total, top, halved, held = known
+    dq, dk, dv, blocks = np.zeros_like(q), np.zeros_like(key), np.zeros_like(out), iter(held)
+    for h in range(len(q)):
+        for rows, seen in _strips(q.shape[1]):
+            own = d[h, rows] / total[h, rows]
+            less = np.concatenate([own, -(own * out[h, rows]).sum(-1, keepdims=True)], -1)
+            for columns in seen:
+                size, share = (rows.stop - rows.start, columns.stop - columns.start), next(blocks)
+                if share is None:
+                    share = room.passing(0, *size)
+                    where = _scores(asked[h], key[h], rows, columns, share, -np.inf if halved is None else 0.0)
+                    if halved is None:
+                        share -= top[h, rows]
+                    _powers(share, halved, room)
+                    if where is not None:
+                        np.copyto(share[:, share.shape[1] - where.shape[1] :], 0.0, where=where)
+                dv[h, columns] += share.T @ own
+                ds = np.matmul(less, more[h, columns].T, out=room.passing(1, *size))
+                ds *= share
+                dq[h, rows] += ds @ key[h, columns]
+                dk[h, columns] += ds.T @ q[h, rows]
+    return dq / math.sqrt(q.shape[-1]), dk, dv  # the queries were divided
+
+
+def sample_gradient(config: Config, w: dict[str, np.ndarray], ids: np.ndarray, wanted: np.ndarray, room: Room | None = None) -> tuple[float, int, dict[str, np.ndarray]]:
+    """The summed loss of a sample's unmasked places, their number, and the loss's slope for every weight. ids and wanted: the sequence without its last id, and the labels one place on. room: a task's, for one sample after the other."""
+    room = Room() if room is None else room
+    room.used = 0
     n, d, heads = len(ids), config.width, config.heads
     if n > config.longest:
         raise ValueError("sequence over the longest length")
@@ -146,37 +216,42 @@ def sample_gradient(config: Config, w: dict[str, np.ndarray], ids: np.ndarray, w
     for k in range(config.layers):
         h1, held1 = norm(x, w[f"{k}.norm1"])
         q, key, value = (split(p) for p in np.split(h1 @ w[f"{k}.qkv"], 3, axis=-1))
-        out, logs = attention(q, key, value)
+        out, known = attention(q, key, value, room)
         y = x + joined(out) @ w[f"{k}.out"]
         h2, held2 = norm(y, w[f"{k}.norm2"])
         act, slope = gelu(h2 @ w[f"{k}.up"])
-        layers.append((h1, held1, q, key, value, out, logs, h2, held2, act, slope))
+        layers.append((h1, held1, out, known, h2, held2, act, slope))
         x = y + act @ w[f"{k}.down"]
     states, held = norm(x, w["norm"])
     unmasked = np.flatnonzero(wanted != IGNORED_LABEL)
     loss, ds = 0.0, np.zeros_like(states)
+    bound = math.sqrt((states * states).sum(-1).max(initial=0) * (w["token"] * w["token"]).sum(-1).max())
+    halved = decoder.halvings(bound)
     for some in _blocks(len(unmasked)):
         at = unmasked[some]
-        scores = states[at] @ w["token"].T
-        scores -= scores.max(-1, keepdims=True)
-        share = np.exp(scores)
-        total = share.sum(-1, keepdims=True)
-        own = np.arange(len(at)), wanted[at]
-        loss -= float((scores[own] - np.log(total[:, 0])).sum())
-        share /= total
-        share[own] -= 1
-        ds[at] = share @ w["token"]
-        g["token"] += share.T @ states[at]
+        scores, own = states[at] @ w["token"].T, (np.arange(len(at)), wanted[at])
+        if halved is None:
+            scores -= scores.max(-1, keepdims=True)
+        said = scores[own]
+        if halved:
+            scores /= 2**halved
+        _powers(scores, halved, room)
+        total = scores.sum(-1, keepdims=True)
+        loss -= float((said - np.log(total[:, 0])).sum())
+        scores /= total
+        scores[own] -= 1
+        ds[at] = scores @ w["token"]
+        g["token"] += scores.T @ states[at]
     dx, g["norm"] = norm_back(ds, w["norm"], held)
     for k in range(config.layers - 1, -1, -1):
-        h1, held1, q, key, value, out, logs, h2, held2, act, slope = layers[k]
+        h1, held1, out, known, h2, held2, act, slope = layers[k]
         g[f"{k}.down"] = act.T @ dx
         du = dx @ w[f"{k}.down"].T * slope
         g[f"{k}.up"] = h2.T @ du
         back, g[f"{k}.norm2"] = norm_back(du @ w[f"{k}.up"].T, w[f"{k}.norm2"], held2)
         dy = dx + back
         g[f"{k}.out"] = joined(out).T @ dy
-        slopes = attention_back(split(dy @ w[f"{k}.out"].T), q, key, value, out, logs)
+        slopes = attention_back(split(dy @ w[f"{k}.out"].T), out, known, room)
         dqkv = np.concatenate([joined(a) for a in slopes], axis=-1)
         g[f"{k}.qkv"] = h1.T @ dqkv
         back, g[f"{k}.norm1"] = norm_back(dqkv @ w[f"{k}.qkv"].T, w[f"{k}.norm1"], held1)
@@ -210,10 +285,10 @@ def batch_gradient(df: DataFrame, config: Config, weights: dict[str, np.ndarray]
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), slices)
 
     def run(batches):
-        w, high, low, tokens = shared.value, None, None, 0
+        w, high, low, tokens, room = shared.value, None, None, 0, Room()
         for batch in batches:
             for i, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                loss, n, g = sample_gradient(config, w, np.array(i[:-1], np.int64), np.array(l[1:], np.int64))
+                loss, n, g = sample_gradient(config, w, np.array(i[:-1], np.int64), np.array(l[1:], np.int64), room)
                 own = fixed(np.append(flat(g), loss))
                 if high is None:
                     high, low = np.zeros_like(own), np.zeros_like(own)

@@ -129,3 +129,29 @@ def test_overfit(spark):
     assert still["final_loss"] == still["initial_loss"]
     with pytest.raises(ValueError, match="target"):
         learning.target_metrics(df.limit(0), CONFIG, start, "k")
+
+
+def test_exponentials_are_those_of_numpy():
+    r = np.random.default_rng(4)
+    for bound in (0.0, 0.05, 0.3, 1.0, 4.0):
+        x = r.uniform(-bound, bound, (40, 50))
+        halved = decoder.halvings(bound)
+        found = x / 2**halved
+        decoder.exponentials(found, halved, (np.empty_like(x), np.empty_like(x)))
+        assert np.allclose(found, np.exp(x), rtol=3e-14, atol=0)
+    assert decoder.halvings(50.0) is None and decoder.halvings(math.nan) is None
+
+
+@pytest.mark.parametrize("times", [1, 30, 3000])
+def test_shares_kept_or_worked_out_twice(monkeypatch, times):
+    """A room that holds all shares, some, or none gives the same slopes, for small scores and for those that overflow without their maximum; it grows by no sample."""
+    monkeypatch.setattr(learning, "BLOCK", 8)
+    w = {k: v * (times if "qkv" in k else 1) for k, v in weights().items()}
+    _, ids, labels = samples(1, 5)[0]
+    ids, labels = ids * 2, labels * 2
+    args = CONFIG, w, np.array(ids[:-1]), np.array(labels[1:])
+    room = learning.Room(1 << 12)
+    whole = [learning.sample_gradient(*args, room) for _ in range(3)]
+    assert len(room.cells) == 1 << 12 and all(len(x) <= 16 for x in room.spare[:1])
+    for other in (whole[1], whole[2], learning.sample_gradient(*args, learning.Room(100)), learning.sample_gradient(*args, learning.Room(0))):
+        assert other[:2] == whole[0][:2] and all(np.allclose(other[2][k], whole[0][2][k], rtol=1e-12, atol=1e-14) for k in w)
