@@ -88,7 +88,8 @@ def norm_back(dy: np.ndarray, scale: np.ndarray, held: tuple) -> tuple[np.ndarra
 def gelu(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The value, and its slope."""
     square = u * u
-    t = 1 - 2 / (np.exp(2 * 0.7978845608 * (u + 0.044715 * (square * u))) + 1)  # the hyperbolic tangent; np.tanh takes longer
+    with np.errstate(over="ignore"):
+        t = 1 - 2 / (np.exp(2 * 0.7978845608 * (u + 0.044715 * (square * u))) + 1)  # the hyperbolic tangent; np.tanh takes longer
     half = 0.5 * (1 + t)
     return u * half, half + 0.5 * u * (1 - t * t) * 0.7978845608 * (1 + 3 * 0.044715 * square)
 

@@ -1,6 +1,7 @@
 """What keeps queries in bounds as their tables grow."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab
@@ -118,3 +119,31 @@ def test_reports_of_a_kind_are_checked_once(spark):
     assert said.count() == len(texts)
     rules = [*vocab.DIAGNOSTIC, *vocab.ANCHORS, *vocab.NO_DIMENSIONS, *(p for own in vocab.PHRASES.values() for p in own.values())]
     assert not any(c.isdigit() for p in rules for c in p)
+
+
+@pytest.mark.parametrize("size", [0.1, 2.0, 60.0])
+def test_attention_in_small_blocks(monkeypatch, size):
+    """Blocks of any size, and scores that are small, middling or too large for exponentials without their maximum, give what plain shares give."""
+    r = np.random.default_rng(6)
+    q, key, value = (r.normal(0, s, (2, 2, 40, 4)) for s in (size, size, 1.0))
+    at = np.array([0, 5, 6, 7, 21, 39])
+    scores = q[:, :, at] @ key.transpose(0, 1, 3, 2) / 2
+    scores[..., np.arange(40) > at[:, None]] = -np.inf
+    share = np.exp(scores - scores.max(-1, keepdims=True))
+    wanted = share @ value / share.sum(-1, keepdims=True)
+    for places in (1, 3, 7, 192):
+        monkeypatch.setattr(decoder, "PLACES", places)
+        assert np.allclose(decoder.attended(q[:, :, at], key, value, at), wanted, rtol=1e-11, atol=1e-12)
+
+
+@pytest.mark.parametrize("size", [1.0, 300.0])
+def test_scores_without_their_maximum(spark, size):
+    config = decoder.Config(30, width=4, heads=2, layers=1, longest=20)
+    weights = decoder.random_weights(config, 2)
+    weights["token"] = weights["token"] * size
+    ids = [1, 2, 3, 9, 8, 29, 7]
+    row = decoder.score(spark.createDataFrame([(1, ids, [-100, -100, *ids[2:]])], "k int, input_ids array<int>, labels array<int>"), config, weights, "k").first()
+    logits = decoder.Decoder(config, weights).logits(np.array([ids[:-1]]))[0, 1:]
+    logs = logits - logits.max(-1, keepdims=True)
+    logs -= np.log(np.exp(logs).sum(-1, keepdims=True))
+    assert row["tokens"] == 5 and row["correct"] == int((logs.argmax(-1) == ids[2:]).sum()) and np.isclose(row["loss_sum"], -logs[np.arange(5), ids[2:]].sum(), rtol=1e-12)
